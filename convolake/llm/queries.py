@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convolake.tables import read
 
-from . import conversations, encoding, mixing, splitting
+from . import conversations, encoding, mixing, pii, splitting
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,17 @@ def p2_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(read(spark, d, "oc_message"), read(spark, d, "oc_part"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each mention once; repeated rows give equal mentions, which are dropped after the texts are gone."""
+    found = pii.find_mentions(read(spark, d, "messages"), "id", "text", read(spark, d, "contributors"))
+    return found.select(F.col("id").alias("message_id"), "pii_type", "start_pos").distinct()
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all messages with placeholders; repeated rows stay repeated."""
+    return pii.mask_texts(read(spark, d, "messages"), "id", "text", read(spark, d, "contributors"), "a key of the caller's own").withColumnRenamed("id", "message_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(read(spark, d, "documents"), "doc_id", "text")
 
@@ -55,7 +66,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p6_ids, p6_offsets, p6_decoded, p7_found, p7_mix, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_masked, p6_ids, p6_offsets, p6_decoded, p7_found, p7_mix, p7_report)}
 
 _TURNS = """
 WITH m AS (
