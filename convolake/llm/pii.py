@@ -101,6 +101,7 @@ class People:
                 self.given.add(parts[0].lower())
                 self.surnames.add(" ".join(parts[1:]).lower())
         self.last_words = {s.split()[-1] for s in self.surnames}
+        self.tails = {s.rpartition("-")[2] for s in self.last_words if "-" in s}
         ends: Counter[str] = Counter()
         starts: Counter[str] = Counter()
         for s in self.last_words:
@@ -121,13 +122,15 @@ class People:
         for e in self.ends:
             if len(e) >= 4 and not any(e != x and e.endswith(x) and len(x) >= 4 for x in self.ends):
                 self.automaton.add_word(e, ("sur", len(e), len(e)))
+        for e in self.tails:
+            self.automaton.add_word("-" + e, ("sur", len(e) + 1, len(e) + 1))
         for g in self.given:
             self.automaton.add_word(g, (PERSON, len(g), len(g)))
         self.automaton.make_automaton()
 
     def surname_word(self, word: str) -> bool:
         w = word.lower().replace("’", "'")
-        if w in self.last_words:
+        if w in self.last_words or (len(w.partition("-")[0]) >= 3 and w.rpartition("-")[2] in self.tails):
             return True
         if w.startswith("o'") or w.startswith("mc"):
             w = w[2:]
@@ -182,7 +185,7 @@ def find_names(text: str, hits: list[tuple[int, int]], people: People) -> Iterat
             done = found[1]
 
 
-_SURNAME_LEFT = re.compile(r"(?P<given>[^\W\d_]{2,}(?:-[^\W\d_]+)?)[  ](?:[^\W\d_]\.?[  ])?(?:(?:van|von|der|den|de|da|di|del)[ ])*(?P<sur>(?:[OD]['’])?[^\W\d_]+(?:-[^\W\d_]+)*)$")
+_SURNAME_LEFT = re.compile(r"(?P<given>[^\W\d_]{2,}(?:-[^\W\d_]+)?)[  ](?:[A-ZÀ-ÞА-ЯЁ]\.?[  ])?(?:(?:van|von|der|den|de|da|di|del)[ ])*(?P<sur>(?:[OD]['’])?[^\W\d_]+(?:-[^\W\d_]+)*)$")
 _SURNAME_RIGHT = re.compile(r",[ ](?P<given>[^\W\d_]{2,}(?:-[^\W\d_]+)?)(?:[ ][^\W\d_]\.)?(?![\w@])")
 _SURNAME = re.compile(r"(?:[OD]['’])?[^\W\d_]+(?:-[^\W\d_]+)*$")
 # Titles and words that introduce a person and so are no given name.
@@ -199,7 +202,7 @@ def find_by_surname(text: str, ends: list[int], people: People) -> Iterator[tupl
         if not _word_ends(text, end):
             continue
         m = _SURNAME.search(text, max(0, end - 40), end)
-        if not m or not people.surname_word(m[0].split("-")[0] if m[0].lower() not in people.last_words and "-" in m[0] else m[0]):
+        if not m or not people.surname_word(m[0]):
             continue
         begin = m.start()
         if begin and (text[begin - 1] in "_@." or text[begin - 1].isdigit()):

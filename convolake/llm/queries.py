@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convolake.tables import read
 
-from . import conversations, encoding, mixing, pii, splitting
+from . import conversations, encoding, mixing, pii, sentences, splitting
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,15 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_masked, p6_ids, p6_offsets, p6_decoded, p7_found, p7_mix, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "start_pos")
+
+
+def p8_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(read(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_masked, p6_ids, p6_offsets, p6_decoded, p7_found, p7_mix, p7_report, p8_found, p8_units)}
 
 _TURNS = """
 WITH m AS (
