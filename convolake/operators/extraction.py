@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TODOS_A_THREAD, PATHS_A_THREAD = 25, 200
-# The file endings of paths without a slash, and the marks of an error line.
-ENDINGS = "rs ts tsx js jsx py go java kt swift c h cpp hpp cs rb php sql sh toml yaml yml json md css scss html vue svelte lock xml ini cfg env txt csv proto ex exs lua zig dart scala".split()
-ERROR_STARTS = ("error", "fatal", "panic", "traceback", "exception", "uncaught")
-ERROR_PARTS = ("error:", "error[", "exception:", "panicked at", "fatal:", "traceback (", "err=", "failed:", "segfault", "unhandled", "cannot find")
+# The endings of files named without a slash, and the marks of an error line.
+ENDINGS = (
+    "rs ts tsx js jsx mjs cjs py go java kt rb php c cc cpp h hpp cs swift sql sh bash zsh toml yaml yml json "
+    "md mdx css scss html xml lock cfg ini vue svelte proto gradle ex exs scala dart lua"
+).split()
+ERROR_STARTS = ("error[", "error:", "error ", "fatal:", "fatal error", "panic:")
+ERROR_PARTS = (
+    "error:", "exception:", "panicked at", "traceback (most recent call last)", "command not found", "undefined reference",
+    "cannot find", "assertion failed", "assertion `", "no such file", "segmentation fault",
+)
 
 
 def lines(messages: DataFrame, *keep: str) -> DataFrame:
@@ -70,8 +78,7 @@ def normal_error(line: Column) -> Column:
 
 def is_error(line: Column) -> Column:
     head = F.lower(F.substring(line, 1, 64))
-    starts = "|".join(ERROR_STARTS)
-    parts = "|".join(p.replace("[", r"\[").replace("(", r"\(") for p in ERROR_PARTS)
+    starts, parts = ("|".join(re.escape(p) for p in marks) for marks in (ERROR_STARTS, ERROR_PARTS))
     return head.rlike(f"^(?:{starts})|(?:{parts})")
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from convolake.operators import nearest_time, nested
+from convolake.sources import connectors
 from convolake.tables import read
 
 
@@ -46,3 +48,20 @@ WITH latest AS (
 SELECT sha, thread_id FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY dist, thread_id) AS rn FROM pairs WHERE dist <= 7200) WHERE rn = 1
 """,
 }
+
+
+def ingested_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of the raw transcript lines, of each line its payload received last."""
+    return connectors.parse_lines(_latest_lines(spark, d)).where("role IS NOT NULL").select("source_kind", "external_id", "line_no", "block_no", "role", "text", "tool_name", "ts")
+
+
+def ingested_threads(spark: SparkSession, d: str) -> DataFrame:
+    return connectors.thread_rows(connectors.parse_lines(_latest_lines(spark, d)))
+
+
+def _latest_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "raw_records").where("source_kind IS NOT NULL")
+    return rows.groupBy("source_kind", "external_id", "line_no").agg(F.max_by("payload", F.struct("received_at", "record_id")).alias("payload"))
+
+
+QUERIES |= {"ingested_messages": ingested_messages, "ingested_threads": ingested_threads}
