@@ -485,6 +485,22 @@ def _date(digits: str, key: bytes, tweak: str) -> str:
     return f"{out.year % 100:02d}{out.month:02d}{out.day:02d}"
 
 
+def _nir(s: str, digits: str, key: bytes) -> str:
+    """Sex kept; year, month and the rest permuted together, a month remaining one; the key computed again."""
+    if len(digits) < 15:  # a department with a letter stays; the last six digits before the key move
+        tail = f"{feistel(int(digits[-8:-2]), 10**6, key, 'nir tail'):06d}"
+        number = int(("".join(c for c in s if c.isalnum())[:7] + tail).replace("2A", "19").replace("2B", "18"))
+        return _refill(s, digits[:-8] + tail + f"{97 - number % 97:02d}")
+    month, rest = int(digits[3:5]), digits[1:3] + digits[5:13]
+    if 1 <= month <= 12:
+        rest_n, month_n = divmod(feistel(int(rest) * 12 + month - 1, 12 * 10**10, key, "nir"), 12)
+        rest, months = f"{rest_n:010d}", f"{month_n + 1:02d}"
+    else:
+        rest, months = f"{feistel(int(rest), 10**10, key, 'nir other'):010d}", digits[3:5]
+    body = digits[0] + rest[:2] + months + rest[2:]
+    return _refill(s, body + f"{97 - int(body) % 97:02d}")
+
+
 def pseudonym(kind: str, s: str, key: bytes) -> str:
     """The value that stands for s: a number of the same format for phones and identity numbers, else a keyed hash of its normal form."""
     if kind == NATIONAL_ID:
@@ -496,9 +512,7 @@ def pseudonym(kind: str, s: str, key: bytes) -> str:
             letter = _DNI_LETTERS[int(("012"["XYZ".index(lead)] if lead else "") + body) % 23]
             return _refill(s[:-1], body) + letter
         if which == "nir":
-            body = digits[0] + f"{feistel(int(digits[1:13]), 10**12, key, 'nir'):012d}" if len(digits) == 15 else digits
-            body = body[:13]
-            return _refill(s, body + f"{97 - int(body) % 97:02d}")
+            return _nir(s, digits, key)
         if which == "personnummer":
             short, century = digits[-10:], digits[:-10]
             day = int(short[4:6])

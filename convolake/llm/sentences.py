@@ -111,12 +111,14 @@ INSIDE = rf"((?:[{_OPEN}](?=[^{_OPEN}{_CLOSE}]{{0,600}}+[{_CLOSE}])|\G(?!\A))[^{
 #: A blank was left out after the stop: a word or number before it, a capitalised word after it.
 _NO_BLANK = rf"(?<=(?:\p{{Ll}}{{2}}|[\d%){MARK['»']}{CLOSE}])[.!?])(?=\p{{Lu}}\p{{Ll}}*[ ,])"
 _WHOLE = r"(?<![\p{L}\p{N}\p{M}_])"
+#: One letter by itself, not a unit after a number: a capital, or small ones in a row (d. h., z. B.), but not the end of т. д.
+_SINGLE = r"(?<![\p{L}\p{N}\p{M}_.])(?<!\p{N}\s)"
 #: Dots that end nothing: inside decimals, versions, paths and URLs; after abbreviations and initials; after an ordinal before a month.
 NO_END = (
     rf"\.(?:(?<=[\p{{L}}\p{{N}}_)/\-]\.)(?=[\p{{L}}\p{{N}}_/])(?!{_NO_BLANK})"
     rf"|(?=\s)(?:(?<={_WHOLE}(?:{_trie(_capital(ALWAYS))})\.)"
     rf"|(?=\s{{1,3}}[(]?[vV]?\p{{N}})(?<={_WHOLE}(?:{_trie(_capital(BEFORE_NUMBER))})\.)"
-    rf"|(?<=(?<![\p{{L}}\p{{N}}\p{{M}}_.])(?<!\p{{N}}\s)[\p{{Lu}}\p{{Ll}}](?<!т[.]\s[дп])\.)"
+    rf"|(?<={_SINGLE}[\p{{Lu}}г]\.)|(?<={_SINGLE}(?<=(?<!\p{{L}})\p{{L}}[.]\s)\p{{Ll}}(?<!т[.]\s[дп])\.)|(?=\s\p{{Lu}}\.)(?<={_SINGLE}\p{{Ll}}\.)"
     rf"|(?=\s(?:{MONTHS})(?!\p{{L}}))(?<=(?<![\p{{N}}.,])\d{{1,2}}\.)))"
 )
 _FULL = f".!?{MARK['।']}{MARK['؟']}"
