@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convolake.session import cut
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MOST, PER_THREAD = 500, 3
 
@@ -30,10 +32,16 @@ def _frequency(terms: Column, prefix: str) -> Column:
 
 
 def bm25(messages: DataFrame, query: str) -> DataFrame:
-    """(*columns, dl, matched, score) of the rows of which at least one term is matched; `text` is scored, and statistics are over all rows."""
+    """(id, thread_id, dl, matched, score) of each message that matches at least one term; statistics are over all messages.
+
+    `messages` has id, thread_id and text. A text is reduced to its length and its terms' frequencies where it is read, so
+    neither the removal of repeated rows nor the second pass over these numbers, which are kept in the shared folder,
+    moves texts. Null and empty texts have length 0 and match nothing; a query without words matches nothing.
+    """
     terms = query_terms(query)
-    counted = messages.withColumn("__tokens", tokens(F.col("text"))).withColumn("dl", F.size("__tokens"))
-    counted = counted.withColumns({f"__tf{i}": _frequency(F.col("__tokens"), t) for i, t in enumerate(terms)}).drop("__tokens")
+    frequencies = {f"__tf{i}": _frequency(F.col("__tokens"), t) for i, t in enumerate(terms)}
+    counted = messages.select("id", "thread_id", tokens(F.col("text")).alias("__tokens")).withColumns({"dl": F.size("__tokens")} | frequencies).drop("__tokens")
+    counted = cut(counted.dropDuplicates(["id"]))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, avg = stats["n"], (stats["dl"] or 0) / stats["n"] if stats["n"] else 0.0
     score, matched = F.lit(0.0), F.lit(0)
@@ -42,7 +50,7 @@ def bm25(messages: DataFrame, query: str) -> DataFrame:
         idf = max(math.log((n - df + 0.5) / (df + 0.5)), LEAST_IDF)
         score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (avg or 1.0)))
         matched = matched + (tf > 0).cast("int")
-    return counted.withColumns({"matched": matched, "score": F.round(score, 6)}).where("matched > 0").drop(*[f"__tf{i}" for i in range(len(terms))])
+    return counted.withColumns({"matched": matched, "score": F.round(score, 6)}).where("matched > 0").drop(*frequencies)
 
 
 def ranked(scored: DataFrame, n_terms: int, limit: int, per_thread: int = PER_THREAD) -> DataFrame:

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def metrics(messages: DataFrame) -> DataFrame:
-    """(thread_id, message_count, bytes, distillable_count) of each thread's messages."""
-    return messages.groupBy("thread_id").agg(
-        F.count(F.lit(1)).alias("message_count"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(F.col("role").isin("user", "assistant")).alias("distillable_count")
-    )
+def metrics(messages: DataFrame, repeated: str | None = None) -> DataFrame:
+    """(thread_id, message_count, bytes, distillable_count) of each thread's messages.
+
+    Where rows may come twice `repeated` names their id; texts are measured before repeats are dropped, so they never move.
+    """
+    m = messages.select("thread_id", "role", F.octet_length("text").alias("n"), *([repeated] if repeated else []))
+    if repeated:
+        m = m.dropDuplicates([repeated])
+    return m.groupBy("thread_id").agg(F.count(F.lit(1)).alias("message_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"), F.count_if(F.col("role").isin("user", "assistant")).alias("distillable_count"))
 
 
 def change_kinds(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -27,10 +27,17 @@ def threads(spark: SparkSession, d: str) -> DataFrame:
     return latest.withColumn("project", F.coalesce("project_key", "project_path")).withColumn("starred", F.pmod("id", F.lit(4)) == 0)
 
 
+def message_rows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """id, thread_id, seq and the columns asked for, repeated rows still repeated.
+
+    For operators that reduce a text to little before they need each message once: they drop the repeats after the text is gone.
+    """
+    return read(spark, d, "messages").select("id", "thread_id", "seq", *[epoch_seconds(F.col("ts")).alias("ts") if c == "ts" else F.col(c) for c in columns])
+
+
 def messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """id, thread_id, seq and the columns asked for, each message once; unneeded columns are never read or shuffled."""
-    m = read(spark, d, "messages").select("id", "thread_id", "seq", *[epoch_seconds(F.col("ts")).alias("ts") if c == "ts" else F.col(c) for c in columns])
-    return m.dropDuplicates(["id"])
+    return message_rows(spark, d, *columns).dropDuplicates(["id"])
 
 
 def thread_tags(spark: SparkSession, d: str) -> DataFrame:

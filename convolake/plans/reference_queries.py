@@ -34,7 +34,7 @@ def query(sql: str | None = None, base: bool = True):
 
 
 def _search(spark: SparkSession, d: str, text: str, limit: int, **filters) -> DataFrame:
-    scored = T.bm25(M.messages(spark, d, "text", "role", "ts"), text)
+    scored = T.bm25(M.message_rows(spark, d, "text"), text)
     t = search_filters(M.threads(spark, d), spark, d, **filters).select(F.col("id").alias("thread_id"))
     return T.ranked(scored.join(t, "thread_id", "left_semi"), len(T.query_terms(text)), limit)
 
@@ -99,7 +99,9 @@ def search_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     """The best hits with a window of twelve words around the first match."""
-    return _search(spark, d, QUERY, 20).select("id", "thread_id", "rank", T.snippet(F.col("text"), QUERY).alias("snippet"))
+    hits = _search(spark, d, QUERY, 20).select("id", "rank")
+    texts = M.message_rows(spark, d, "text").join(hits, "id").dropDuplicates(["id"])
+    return texts.select("id", "thread_id", "rank", T.snippet(F.col("text"), QUERY).alias("snippet"))
 
 
 @query(", k AS (SELECT id, unnest(coalesce(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), [])) AS term FROM m) SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM (SELECT term, id, count(*) AS tf FROM k GROUP BY ALL) GROUP BY term")
@@ -304,7 +306,7 @@ def top_threads_by_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT thread_id, count(*) AS message_count, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS distillable_count FROM m GROUP BY thread_id")
 def thread_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return store.metrics(M.messages(spark, d, "role", "text"))
+    return store.metrics(M.message_rows(spark, d, "role", "text"), repeated="id")
 
 
 @query("SELECT id, title, updated_at FROM t WHERE NOT is_subagent AND starred AND id IN (SELECT thread_id FROM tags WHERE tag IN ('wip', 'docs')) ORDER BY updated_at DESC NULLS LAST, id DESC LIMIT 100")
@@ -328,7 +330,7 @@ def thread_detail(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def thread_todos(spark: SparkSession, d: str) -> DataFrame:
-    return X.todos(M.messages(spark, d, "text"))
+    return X.todos(M.message_rows(spark, d, "text"))
 
 
 _ENDINGS = ", ".join(f"'{e}'" for e in X.ENDINGS)
@@ -344,18 +346,18 @@ _PATHS_SQL = f""", w AS (
 
 @query(_PATHS_SQL + "SELECT thread_id, path FROM mentions")
 def file_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return X.paths(M.messages(spark, d, "text"))
+    return X.paths(M.message_rows(spark, d, "text"))
 
 
 @query(_PATHS_SQL + "SELECT id, title FROM t WHERE NOT is_subagent AND id IN (SELECT thread_id FROM mentions WHERE contains(lower(path), 'rank/main')) ORDER BY updated_at DESC NULLS LAST, id DESC LIMIT 40")
 def threads_for_file(spark: SparkSession, d: str) -> DataFrame:
-    return T.threads_with_file(X.paths(M.messages(spark, d, "text")), M.threads(spark, d), "rank/main", 40).select("id", "title")
+    return T.threads_with_file(X.paths(M.message_rows(spark, d, "text")), M.threads(spark, d), "rank/main", 40).select("id", "title")
 
 
 @query()
 def recurring_issues(spark: SparkSession, d: str) -> DataFrame:
     """Error lines of user and tool messages that come in two messages or more."""
-    m = M.messages(spark, d, "role", "text", "ts").where(F.col("role").isin("user", "tool") & F.col("text").isNotNull())
+    m = M.message_rows(spark, d, "role", "text", "ts").where(F.col("role").isin("user", "tool") & F.col("text").isNotNull())
     t = M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id"))
     return X.recurring(X.error_lines(m.join(t, "thread_id", "left_semi")), 20)
 
@@ -378,7 +380,7 @@ _LINKS_SQL = (
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
     spans = G.windows(M.threads(spark, d), M.messages(spark, d, "ts"))
-    return G.thread_commits(spans, X.paths(M.messages(spark, d, "text")), G.clean_commits(read(spark, d, "commits")))
+    return G.thread_commits(spans, X.paths(M.message_rows(spark, d, "text")), G.clean_commits(read(spark, d, "commits")))
 
 
 @query(_LINKS_SQL + "SELECT thread_id, sha, committed_at, overlap FROM links")
