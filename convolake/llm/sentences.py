@@ -133,7 +133,8 @@ _GOES_ON = rf"\s*(?:[と、，,{MARK['。']}]|って|という|を|が|は|の|
 WIDE = rf"({_DOTS}*+[{_WIDE}][{_WIDE}{_DOTS}!?]*+[)\]\ue035\ue036]*+)(?![)\]\ue032-\ue038]|\s*$)"
 WIDE_QUOTE = rf"([{_DOTS}!?]*[{_WIDE}][{_WIDE}{_DOTS}!?]*+[\ue032-\ue034{CLOSE}]++)(?!{_GOES_ON}|\s*$)"
 THAI_BLANK = rf"([{_THAI}])(?=[ \x{{a0}}]+[{_THAI}])"
-SPACELESS_BREAK = rf"(?={_BREAK})(?:(?<=[{_SPACELESS}][ \t]{{0,9}})|(?={_BREAK}[ \t]*[{_SPACELESS}]))"
+#: A line break beside such a script, or between two lines that hold some of it.
+SPACELESS_BREAK = rf"(?={_BREAK})(?:(?<=[{_SPACELESS}][ \t]{{0,9}})|(?={_BREAK}[ \t]*[{_OPEN}‘]*[{_SPACELESS}])|(?<=[{_SPACELESS}][^\n\r]{{0,60}})(?={_BREAK}[^\n\r]{{0,60}}[{_SPACELESS}]))"
 
 #: (what a text must hold: any of these, pattern, replacement), in order; the tests are searches for bytes.
 STEPS = (

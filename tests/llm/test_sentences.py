@@ -24,6 +24,7 @@ CASES = [
     "|「もう一度？」とレビュー担当が尋ねました。|はい。|本当に！？",
     "|ยังไม่เสร็จ |ใครแก้ไฟล์ main.rs เมื่อคืน |งานต่าง ๆ ในคิวหยุด",
     "|该死\n|好的",
+    "|占比升到6.9%\n|“这样行吗？”第二位评审问道\n|v1.2修好了main.go\n|x.rs里只剩",
     "|A line\nthat goes on. |Then\nthe next.",
     "|One thing\n\n|another thing",
     "|# 1.4 Limits. And more\n\n|Text here. |More.",
