@@ -325,8 +325,10 @@ def _number_at(text: str, at: int, n: int) -> tuple[int, int, str] | None:
     for p in (_NIR, _PERSONNUMMER, _SSN, _DNI, _NINO):
         if (m := p.match(text, at)) and _ends(text, m.end(), n) and national_kind(m[0]):
             return at, m.end(), NATIONAL_ID
+    if at > 1 and text[at - 1] == "-" and text[at - 2].isalnum():  # inside an identifier of parts, as a UUID
+        return None
     for p in _PHONES:
-        if (m := p.match(text, at)) and _ends(text, m.end(), n):
+        if (m := p.match(text, at)) and _ends(text, m.end(), n) and not re.match(r"-[0-9A-Za-z]", text[m.end() : m.end() + 2]):
             return at, m.end(), PHONE
     return None
 

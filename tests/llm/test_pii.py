@@ -45,7 +45,7 @@ NONE = [
     "origin is git@forge.example:core/x.git", "ssh runner@192.0.2.129 hangs, postgres://app@db.invalid:9401/main", "icon@2x.png and serde@1.0.47", "@app.route handles /users/466 and the @scope/links package",
     "masked as [EMAIL] and <phone>", "Will Cargo rebuild it? Mark the thread and let Error Budget decide", "Rose Pine is the default theme, Grace Period the default setting", "build 2025-10-7515 passed, ticket 212-6159 is open",
     "It took 904 77 783 cycles at port 3777", "401.703.54 is a build, 31-20-1137 a batch", "offset 1736497909092 was written twice", "epoch 1736239600, size 8692 4826, span 287-166", "19 Main Branch commits took 2 hours",
-    "lists 17 street tiles and 3 Avenue themes", "request b0960763-3172-4453-aeba-4d7d5b2b6c68", "2025-01-12T21:42:34Z took 4479ms rows=74014", "等一下……第316次", "",
+    "lists 17 street tiles and 3 Avenue themes", "request b0960763-3172-4453-aeba-4d7d5b2b6c68", "7b58f62f-0133-4768-ae47-587ecfeefe95", "2025-01-12T21:42:34Z took 4479ms rows=74014", "等一下……第316次", "",
 ]
 
 
