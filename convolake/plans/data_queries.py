@@ -33,6 +33,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p4_found": p4_found, "p4_bridge": p4_bridge, "p4_objects": p4_objects, "p5_found": p5_found}
 
 SQL = {
+    "p4_found": r"""
+WITH whole AS (SELECT record_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM raw_records), nodes AS (
+  SELECT r.record_id, j.fullkey, j.path, j.key, j.type FROM whole r, json_tree(r.payload) j WHERE r.payload IS NOT NULL
+)
+SELECT DISTINCT record_id, regexp_replace(replace(replace(substring(fullkey, 2), ']', ''), '[', '/'), '\.', '/', 'g') AS node_path FROM nodes
+WHERE (type IN ('OBJECT', 'VARCHAR') AND ends_with(fullkey, ']') AND regexp_matches(path, '\.(content|parts)$')) OR (type = 'OBJECT' AND NOT ends_with(fullkey, ']') AND key IN ('content', 'parts'))
+""",
     "p5_found": """
 WITH latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY indexed_at DESC) AS rn FROM thread_windows) WHERE rn = 1
