@@ -242,7 +242,7 @@ def thread_rows(rows: DataFrame) -> DataFrame:
 
 def jsonl_lines(spark: SparkSession, kind: str, root: str, glob: str = "*.jsonl") -> DataFrame:
     """The numbered lines of all files under root; external_id is the path below it. Whole files keep their lines' order."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     below = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     lines = whole.select(F.lit(kind).alias("source_kind"), below.alias("external_id"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "payload"))
     return lines.where(F.trim("payload") != "")
@@ -250,7 +250,7 @@ def jsonl_lines(spark: SparkSession, kind: str, root: str, glob: str = "*.jsonl"
 
 def json_files(spark: SparkSession, kind: str, root: str, glob: str = "*.json") -> DataFrame:
     """Each JSON file under root as one line; line breaks inside it are kept."""
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root)
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
     below = F.regexp_replace("_metadata.file_path", "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
     return whole.select(F.lit(kind).alias("source_kind"), below.alias("external_id"), F.lit(0).alias("line_no"), F.col("value").alias("payload"))
 

@@ -148,6 +148,8 @@ def test_files_and_databases(spark, tmp_path):
     lines = S.jsonl_lines(spark, "claude_code", str(tmp_path))
     assert [r.text for r in S.parse_lines(lines).where("role IS NOT NULL").orderBy("line_no", "block_no").collect()] == ["Hello", "Hi", 'Read: {"p":1}', "out"]
     assert lines.first().external_id == "p/s.jsonl"
+    (tmp_path / "c.json").write_text(json.dumps(LINES["continue"][0], indent=1))
+    assert [r.text for r in S.parse_lines(S.json_files(spark, "continue", str(tmp_path))).collect()] == ["u"]
     db = tmp_path / "g.db"
     with sqlite3.connect(db) as c:
         c.executescript("CREATE TABLE sessions(id, name, description, working_dir); CREATE TABLE messages(id, session_id, role, content_json, created_timestamp);")
