@@ -65,7 +65,7 @@ class Corpus:
         return packing.pack(self.messages("role", "text"), budget)
 
     def project_memory(self, most: int = 60) -> DataFrame:
-        visible = model.facts(self.spark, self.folder).where("NOT hidden AND (kind <> 'todo' OR status = 'open')")
+        visible = model.whole_facts(self.spark, self.folder).where("NOT hidden AND (kind <> 'todo' OR status = 'open')")
         return notes.memory_markdown(visible, most)
 
     def audit(self, shas: list[str], paths: list[str], since: int = 0) -> dict[str, DataFrame]:

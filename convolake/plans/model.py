@@ -47,17 +47,22 @@ def thread_tags(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("thread_id", F.explode(numbers).alias("n")).select("thread_id", F.element_at(F.array(*map(F.lit, TAGS)), (F.col("n") + 1).cast("int")).alias("tag"))
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Notes of the kinds decision, gotcha, todo and summary as facts, with curation by id."""
+def whole_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Notes of the kinds decision, gotcha, todo and summary as facts with their whole texts, with curation by id."""
     doc = read(spark, d, "documents").where(F.col("kind").isin("decision", "gotcha", "todo", "summary") & F.col("text").isNotNull())
     return doc.select(
-        F.col("doc_id").alias("fact_id"), "kind", F.col("text").substr(1, 80).alias("text"), F.rtrim("project_key").alias("project"),
+        F.col("doc_id").alias("fact_id"), "kind", "text", F.rtrim("project_key").alias("project"),
         F.unix_seconds(F.col("created_at").cast("timestamp")).alias("created_at"),
         (F.pmod("doc_id", F.lit(11)) == 0).alias("pinned"), (F.pmod("doc_id", F.lit(13)) == 0).alias("hidden"),
         F.when((F.col("kind") == "todo") & (F.pmod("doc_id", F.lit(3)) == 0), "done").otherwise("open").alias("status"),
     )
 
 
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """whole_facts with the first 80 characters of each text, as BASE_SQL has them."""
+    return whole_facts(spark, d).withColumn("text", F.col("text").substr(1, 80))
+
+
 def fact_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the facts whose id is that of a vector."""
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding", "label")

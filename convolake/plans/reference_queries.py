@@ -21,6 +21,10 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+# BASE_SQL with the whole texts of facts, for the queries named *_whole.
+WHOLE_SQL = BASE_SQL.replace("substring(text, 1, 80) AS text", "text")
+
+
 def query(sql: str | None = None, base: bool = True):
     """Registers a query and its SQL, which continues BASE_SQL unless base is false."""
 
@@ -190,16 +194,26 @@ _RECALL_SQL = """, fq AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE
 """
 
 
-def _recall(spark: SparkSession, d: str) -> DataFrame:
+def _recall(spark: SparkSession, d: str, facts=M.facts) -> DataFrame:
     q = read(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0]
-    f = M.facts(spark, d).where(~F.col("hidden")).select("fact_id", "kind", "project", "text")
+    f = facts(spark, d).where(~F.col("hidden")).select("fact_id", "kind", "project", "text")
     return M.fact_vectors(spark, d).join(f, "fact_id").select("fact_id", "kind", "project", "text", V.cosine(F.col("embedding"), list(q)).alias("similarity"))
 
 
 @query(_RECALL_SQL + "SELECT fact_id, kind, text, similarity FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.15 ORDER BY similarity DESC, fact_id LIMIT 50")
 def recall_facts(spark: SparkSession, d: str) -> DataFrame:
     """Decisions and gotchas most like a query; the floor is a parameter."""
-    r = _recall(spark, d).where(F.col("kind").isin("decision", "gotcha") & (F.col("similarity") >= 0.15))
+    return _recall_facts(spark, d, M.facts)
+
+
+@query(WHOLE_SQL + SQL["recall_facts"].removeprefix(BASE_SQL), base=False)
+def recall_facts_whole(spark: SparkSession, d: str) -> DataFrame:
+    """recall_facts with whole texts."""
+    return _recall_facts(spark, d, M.whole_facts)
+
+
+def _recall_facts(spark: SparkSession, d: str, facts) -> DataFrame:
+    r = _recall(spark, d, facts).where(F.col("kind").isin("decision", "gotcha") & (F.col("similarity") >= 0.15))
     return r.orderBy(F.col("similarity").desc(), "fact_id").limit(50).select("fact_id", "kind", "text", "similarity")
 
 
@@ -257,7 +271,17 @@ def heatmap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT fact_id, kind, text, created_at FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, fact_id DESC) AS r FROM facts WHERE kind IN ('decision', 'gotcha') AND NOT hidden AND created_at >= (SELECT max(created_at) FROM facts) - 7 * 86400) WHERE r <= 40")
 def weekly_digest(spark: SparkSession, d: str) -> DataFrame:
-    f = M.facts(spark, d)
+    return _weekly_digest(spark, d, M.facts)
+
+
+@query(WHOLE_SQL + SQL["weekly_digest"].removeprefix(BASE_SQL), base=False)
+def weekly_digest_whole(spark: SparkSession, d: str) -> DataFrame:
+    """weekly_digest with whole texts."""
+    return _weekly_digest(spark, d, M.whole_facts)
+
+
+def _weekly_digest(spark: SparkSession, d: str, facts) -> DataFrame:
+    f = facts(spark, d)
     newest = f.agg(F.max("created_at")).first()[0] or 0
     w = Window.partitionBy("kind").orderBy(F.col("created_at").desc(), F.col("fact_id").desc())
     kept = f.where(F.col("kind").isin("decision", "gotcha") & ~F.col("hidden") & (F.col("created_at") >= newest - 7 * DAY))
@@ -278,14 +302,34 @@ def list_projects(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT fact_id, project, kind, text FROM (SELECT *, row_number() OVER (PARTITION BY project, kind, lower(trim(text)) ORDER BY pinned DESC, created_at DESC, fact_id DESC) AS r FROM facts WHERE NOT hidden AND (kind <> 'todo' OR status = 'open')) WHERE r = 1")
 def project_memory(spark: SparkSession, d: str) -> DataFrame:
     """The visible facts of each project and kind, equal texts once (pinned ones first, then the latest), todos only if open."""
-    f = M.facts(spark, d).where("NOT hidden AND (kind <> 'todo' OR status = 'open')")
+    return _project_memory(spark, d, M.facts)
+
+
+@query(WHOLE_SQL + SQL["project_memory"].removeprefix(BASE_SQL), base=False)
+def project_memory_whole(spark: SparkSession, d: str) -> DataFrame:
+    """project_memory with whole texts, which are equal only if they agree to their ends."""
+    return _project_memory(spark, d, M.whole_facts)
+
+
+def _project_memory(spark: SparkSession, d: str, facts) -> DataFrame:
+    f = facts(spark, d).where("NOT hidden AND (kind <> 'todo' OR status = 'open')")
     best = f.groupBy("project", "kind", F.lower(F.trim("text")).alias("k")).agg(F.max(F.struct("pinned", "created_at", "fact_id", "text")).alias("s"))
     return best.select("s.fact_id", "project", "kind", "s.text")
 
 
 @query("SELECT fact_id, project, text FROM facts WHERE kind = 'todo' AND status = 'open' AND NOT hidden AND text ILIKE '%retry%' ORDER BY created_at DESC, fact_id DESC LIMIT 50")
 def open_todos(spark: SparkSession, d: str) -> DataFrame:
-    f = M.facts(spark, d).where("kind = 'todo' AND status = 'open' AND NOT hidden").where(F.col("text").ilike("%retry%"))
+    return _open_todos(spark, d, M.facts)
+
+
+@query(WHOLE_SQL + SQL["open_todos"].removeprefix(BASE_SQL), base=False)
+def open_todos_whole(spark: SparkSession, d: str) -> DataFrame:
+    """open_todos searched and returned by whole texts."""
+    return _open_todos(spark, d, M.whole_facts)
+
+
+def _open_todos(spark: SparkSession, d: str, facts) -> DataFrame:
+    f = facts(spark, d).where("kind = 'todo' AND status = 'open' AND NOT hidden").where(F.col("text").ilike("%retry%"))
     return f.orderBy(F.col("created_at").desc(), F.col("fact_id").desc()).limit(50).select("fact_id", "project", "text")
 
 
