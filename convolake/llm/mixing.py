@@ -1,17 +1,19 @@
 """Mixing sources to target shares of tokens by entropy balancing.
 
-Of all document rates w that keep each source's constraints, those are taken that lie nearest to one copy of every
-document in relative entropy. For each source s with needed rate r = target tokens / tokens there are two constraints, on its
-tokens and on its number of documents (else long documents would be repeated instead of short ones):
+Of all document rates w that give each source its tokens, those are taken that lie nearest to one copy of every document
+in relative entropy. For each source s with needed rate r = target tokens / tokens:
 
-    sum w_i t_i = r * sum t_i,    sum w_i = r * n,    with 0 <= w_i <= max_repeats.
+    sum w_i t_i = r * sum t_i,    with 0 <= w_i <= m (max_repeats).
 
-The solution has the form w_i = exp(a_s + b_s * t_i / mean_s), and (a, b) minimise the convex dual
+With x_i = t_i / mean_s the solution has the form w_i = min(m, exp(b_s x_i)), and b is the zero of the increasing function
 
-    sum exp(a_s + b_s x_i) - a_s * r n - b_s * r * sum x_i,
+    sum x_i min(m, exp(b x_i)) - r * sum x_i,
 
-which Newton's method finds: each step sums the gradient and the 2 x 2 Hessian of every source over the documents, on the
-executors, and only these few numbers reach the driver. A source whose r is max_repeats or more takes max_repeats of each.
+the derivative of the convex dual, which Newton's method finds: each step sums it and its own derivative over the documents of
+every source, on the executors, and only these few numbers reach the driver. Steps that leave the interval known to hold the zero
+halve it. So where r > 1 long documents are repeated more than short ones, and where r < 1 they are left out more.
+A second constraint, on the number of documents (sum w_i = r * n), would be met with the first by the flat rate r alone, and
+nothing would be tilted. A source whose r is max_repeats or more takes max_repeats of each.
 
 Rates become copies: each document gets floor(w), and one more if its hash (a uniform number) divided by the fraction of w
 lies under its source's threshold, which is searched in histograms so that the source's tokens come as near to the
@@ -70,7 +72,7 @@ def _lookup(values: dict[str, float]) -> Column:
 
 
 def _solve(histogram: DataFrame, goal: dict[str, tuple[float, float, float, float]]) -> dict[str, tuple[float, float]]:
-    """(a, b) of each source of goal, key -> (documents, sum of x, mean tokens, needed rate)."""
+    """(a, b) of each source of goal, key -> (documents, sum of x, mean tokens, needed rate), with both constraints; mix uses _tilts, as these rates are flat."""
     at = {k: (0.0, 0.0) for k in goal}
     open_ = dict(goal)
     for _ in range(STEPS):
@@ -102,26 +104,58 @@ def _solve(histogram: DataFrame, goal: dict[str, tuple[float, float, float, floa
     return at
 
 
+def _tilts(histogram: DataFrame, goal: dict[str, tuple[float, float, float]]) -> dict[str, float]:
+    """b of each source of goal, key -> (mean tokens, needed rate, most copies), with 0 < needed rate < most copies."""
+    at, low, high = dict.fromkeys(goal, 0.0), dict.fromkeys(goal, -math.inf), dict.fromkeys(goal, math.inf)
+    open_ = dict(goal)
+    for _ in range(STEPS):
+        if not open_:
+            break
+        x = F.col("tokens") / _lookup({k: g[0] for k, g in open_.items()})
+        top = _lookup({k: math.log(g[2]) for k, g in open_.items()})
+        e = _lookup({k: at[k] for k in open_}) * x
+        w = F.exp(F.least(e, top)) * F.col("n")
+        rows = (
+            histogram.where(F.col("key").isin(*open_))
+            .groupBy("key")
+            .agg(F.sum(F.col("n") * x).alias("x"), F.sum(w * x).alias("wx"), F.sum(F.when(e < top, w * x * x).otherwise(0.0)).alias("wxx"))
+            .collect()
+        )
+        for row in rows:
+            key, b, wanted = row["key"], at[row["key"]], open_[row["key"]][1] * row["x"]
+            miss = row["wx"] - wanted
+            if abs(miss) <= CLOSE * wanted:
+                del open_[key]
+                continue
+            (high if miss > 0 else low)[key] = b
+            to = b - miss / row["wxx"] if row["wxx"] > 0 else math.nan
+            if not low[key] < to < high[key]:
+                ends = [v for v in (low[key], high[key]) if math.isfinite(v)]
+                to = sum(ends) / 2 if len(ends) == 2 else 2 * b + math.copysign(1.0, -miss)
+            at[key] = to
+    return at
+
+
 def mix(documents: DataFrame, targets: DataFrame, path: str = encoding.BYTE_BPE, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(copies, report). copies: doc_id, key, tokens, rate, copies of each document of a listed source. report: of each row
     of the list its target, cap, tokens, whether it can be reached, mixed_tokens, actual_share (of the mix) and
     share_of_total (of T, the tokens of all listed documents once, on which the targets are set). Where sources fall short of their
     target the mix is smaller than T, and the actual shares of the others are larger by the same factor.
 
-    Documents of sources that are not listed are not in the mix. Documents without tokens get floor(rate) copies. An
+    Documents of sources that are not listed are not in the mix. Documents without tokens get floor(rate) copies, which is one in a source that is tilted. An
     empty list or corpus gives an empty mix. Tokens are counted once and kept in the shared folder.
     """
     tokens = cut(document_tokens(documents, targets, path))
     cap = {r["key"]: r for r in capacity(tokens, targets.where("source IS NOT NULL")).groupBy("key").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats"), F.max("tokens").alias("tokens"), F.max("documents").alias("documents"), F.max("total").alias("total")).collect()}
     rate = {k: (r["share"] or 0.0) * r["total"] / r["tokens"] for k, r in cap.items() if r["tokens"]}
     full = {k: float(r["repeats"] or 0) for k, r in cap.items()}
-    free = {k: (float(cap[k]["documents"]), float(cap[k]["documents"]), cap[k]["tokens"] / cap[k]["documents"], r) for k, r in rate.items() if 0 < r < full[k]}
+    free = {k: (cap[k]["tokens"] / cap[k]["documents"], r, full[k]) for k, r in rate.items() if 0 < r < full[k]}
     histogram = cut(tokens.groupBy("key", "tokens").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    found = _solve(histogram, free)
-    exponent = _lookup({k: a for k, (a, _) in found.items()}) + _lookup({k: b / free[k][2] for k, (_, b) in found.items()}) * F.col("tokens")
+    found = _tilts(histogram, free)
+    exponent = _lookup({k: b / free[k][0] for k, b in found.items()}) * F.col("tokens")
     flat = {k: min(rate.get(k, 0.0), full[k]) for k in cap if k not in found}
     most = F.coalesce(_lookup(full), F.lit(0.0))
-    rated = tokens.withColumn("rate", F.least(most, F.coalesce(F.exp(exponent), _lookup(flat), F.lit(0.0))))
+    rated = tokens.withColumn("rate", F.least(most, F.coalesce(F.exp(F.least(exponent, F.log(most))), _lookup(flat), F.lit(0.0))))
     # a rate that misses a whole number by rounding only is that number
     rated = rated.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-6, F.round("rate")).otherwise(F.col("rate")))
     rated = rated.withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))

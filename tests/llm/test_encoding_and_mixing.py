@@ -59,3 +59,25 @@ def test_newton_keeps_both_constraints(spark):
     w = {t: math.exp(found["a"][0] + found["a"][1] * t / (total / n)) for t, _ in counts}
     assert abs(sum(w[t] * c for t, c in counts) / (2.7 * n) - 1) < 1e-6 and abs(sum(w[t] * t * c for t, c in counts) / (2.7 * total) - 1) < 1e-6
     assert abs(math.exp(sum(found["b"])) - 0.2) < 1e-6
+
+
+def test_rates_are_tilted_by_length(spark):
+    docs = [(i, "word " * (1 + i % 40), s) for s, shift in (("more", 0), ("less", 10_000)) for i in range(shift, shift + 800)]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("more", 0.8, 3), ("less", 0.2, 3)], "source string, target_share double, max_repeats int")
+    copies, report = X.mix(documents, targets)
+    rates = {k: sorted({(r.tokens, r.rate) for r in copies.collect() if r.key == k}) for k in ("more", "less")}
+    assert rates["more"][0][1] < rates["more"][-1][1] <= 3 and rates["less"][0][1] > rates["less"][-1][1] > 0
+    assert all(abs(r.share_of_total - r.target_share) < 0.005 for r in report.collect())
+
+
+def test_tilts_meet_the_tokens_under_the_bound(spark):
+    import math
+
+    counts = [(0, 5.0), (1, 40.0), (3, 10.0), (50, 2.0), (9, 7.0), (4000, 1.0)]
+    total, n = sum(t * c for t, c in counts), sum(c for _, c in counts)
+    goals = {"a": (total / n, 2.7, 3.0), "b": (total / n, 0.01, 5.0), "c": (total / n, 1.0, 2.0), "d": (total / n, 2.999, 3.0)}
+    found = X._tilts(spark.createDataFrame([(k, t, c) for k in goals for t, c in counts], "key string, tokens bigint, n double"), goals)
+    for k, (mean, r, most) in goals.items():
+        got = sum(c * t * math.exp(min(found[k] * t / mean, math.log(most))) for t, c in counts)
+        assert abs(got / (r * total) - 1) < 1e-6, k
