@@ -60,3 +60,62 @@ def prior_work(recalled: DataFrame, floor: float = PRIOR_FLOOR) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.max("similarity").alias("best"),
         F.max_by(F.struct("kind", "fact_id"), F.struct("similarity", -F.col("fact_id"))).alias("top"),
     ).select("project", "n", "best", F.col("top.kind").alias("kind"), F.col("top.fact_id").alias("fact_id"))
+
+
+#: Vectors of a cell of the search for many queries, and queries scored at a time.
+QUERIES_A_CELL, ROWS_A_CELL, BLOCK = 2048, 16_384, 128
+
+
+def nearest_of_all(queries: DataFrame, rows: DataFrame, floor: float, k: int | None = None) -> DataFrame:
+    """(query_id, query_no, owner, n, similarity, id): for each query the k owners (all, if k is None) with the most similar vector.
+
+    queries has query_id, query_no and embedding; rows has owner, id and embedding. n is the number of an owner's vectors of at least `floor`,
+    id that of the best, the smallest of equals. Both sides are dealt to the cells of a grid, so each pair meets in one cell; a cell's
+    k best owners hold all that can be among the k best. Null and zero vectors and those of another length match nothing.
+    """
+    owner = rows.schema["owner"].dataType.simpleString()
+    across, down = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERIES_A_CELL), (rows, ROWS_A_CELL)))
+
+    def dealt(df: DataFrame, mine: str, parts: int, other: str, others: int, *key: str) -> DataFrame:
+        numbered = df.where("embedding IS NOT NULL").withColumn(mine, F.pmod(F.xxhash64(*key, "embedding"), F.lit(parts).cast("bigint")))
+        return numbered.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))))
+
+    q = dealt(queries.select("query_id", "query_no", "embedding"), "q", across, "r", down, "query_id", "query_no")
+    r = dealt(rows.select("owner", "id", "embedding"), "r", down, "q", across, "owner", "id")
+
+    def score(mine, theirs):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for length in set(mine["embedding"].map(len)) & set(theirs["embedding"].map(len)) - {0}:
+            a, b = (df[df["embedding"].map(len) == length] for df in (mine, theirs))
+            codes, names = pd.factorize(b["owner"], sort=True, use_na_sentinel=False)
+            b = b.assign(code=codes).sort_values(["code", "id"])
+            x, y = (np.stack(df["embedding"].to_list()).astype("float64") for df in (a, b))
+            nx, ny = (np.sqrt((v * v).sum(axis=1)) for v in (x, y))
+            a, x, nx, b, y, ny = a[nx > 0], x[nx > 0], nx[nx > 0], b[ny > 0], y[ny > 0], ny[ny > 0]
+            if not len(a) or not len(b):
+                continue
+            code, ids = b["code"].to_numpy(), b["id"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            ends = np.r_[starts[1:], len(code)]
+            for at in range(0, len(x), BLOCK):
+                s = np.round(x[at : at + BLOCK] @ y.T / (nx[at : at + BLOCK, None] * ny[None, :]), 6)
+                best, count = np.maximum.reduceat(s, starts, axis=1), np.add.reduceat((s >= floor).astype("int64"), starts, axis=1)
+                for i in range(len(s)):
+                    hit = np.flatnonzero(best[i] >= floor)
+                    if k is not None and len(hit) > k:
+                        hit = hit[np.argsort(-best[i][hit], kind="stable")[:k]]
+                    if len(hit):
+                        first = [starts[g] + int(np.argmax(s[i, starts[g] : ends[g]])) for g in hit]
+                        out.append(pd.DataFrame({"query_id": a["query_id"].iloc[at + i], "query_no": a["query_no"].iloc[at + i], "owner": names.take(code[starts[hit]]), "n": count[i][hit], "similarity": best[i][hit], "id": ids[first]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "query_no", "owner", "n", "similarity", "id"])
+
+    found = q.groupBy("q", "r").cogroup(r.groupBy("q", "r")).applyInPandas(score, f"query_id bigint, query_no bigint, owner {owner}, n bigint, similarity double, id bigint")
+    best = found.groupBy("query_id", "query_no", "owner").agg(F.sum("n").alias("n"), F.max(F.struct("similarity", (-F.col("id")).alias("m"))).alias("s"))
+    flat = best.select("query_id", "query_no", "owner", "n", F.col("s.similarity").alias("similarity"), (-F.col("s.m")).alias("id"))
+    if k is None:
+        return flat
+    by = Window.partitionBy("query_id", "query_no").orderBy(F.col("similarity").desc(), "owner")
+    return flat.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= k).drop("__n")

@@ -229,6 +229,110 @@ def check_decision(spark: SparkSession, d: str) -> DataFrame:
     return _recall(spark, d).where((F.col("kind") == "decision") & (F.col("similarity") >= 0.12)).orderBy(F.col("similarity").desc(), "fact_id").limit(8).select("fact_id", "project", "similarity")
 
 
+# The searches of every fiftieth stored vector, in place of one: query_id and query_no are the vector's message and chunk, or its fact and 0.
+_QS_SQL = """, qs AS (SELECT DISTINCT message_id AS query_id, chunk_no::BIGINT AS query_no, embedding::DOUBLE[] AS e FROM chunks WHERE message_id % 50 = 0 AND embedding IS NOT NULL), sims AS (
+  SELECT query_id, query_no, message_id, max(round(list_cosine_similarity(embedding::DOUBLE[], e), 6)) AS similarity FROM vecs, qs GROUP BY ALL
+), near AS (SELECT * FROM sims WHERE similarity >= 0.35)
+"""
+_FACT_QS_SQL = """, qs AS (SELECT DISTINCT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), rec AS (
+  SELECT query_id, f.fact_id, f.kind, f.project, f.text, round(list_cosine_similarity(v.embedding::DOUBLE[], e), 6) AS similarity
+  FROM embeddings v JOIN facts f ON f.fact_id = v.vec_id, qs WHERE NOT f.hidden
+)
+"""
+
+
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "chunks").where(F.col("message_id") % 50 == 0)
+    return c.select(F.col("message_id").alias("query_id"), F.col("chunk_no").cast("bigint").alias("query_no"), "embedding").distinct()
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "chunks").select(F.col("message_id").alias("id"), "embedding")
+
+
+@query(_QS_SQL + "SELECT query_id, query_no, message_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, query_no ORDER BY similarity DESC, message_id) AS r FROM near) WHERE r <= 200")
+def nearest_messages_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 nearest messages of each query vector."""
+    near = V.nearest_of_all(_queries(spark, d), _vectors(spark, d).withColumn("owner", F.col("id")), V.FLOOR, 200)
+    return near.select("query_id", "query_no", F.col("owner").alias("message_id"), "similarity")
+
+
+@query(
+    _BM25_SQL
+    + _QS_SQL
+    + """, sem AS (
+  SELECT * FROM (SELECT query_id, query_no, message_id AS id, similarity, row_number() OVER (PARTITION BY query_id, query_no ORDER BY similarity DESC, message_id) AS rank FROM near
+  WHERE message_id IN (SELECT id FROM m WHERE thread_id IN (SELECT id FROM t WHERE NOT is_subagent))) WHERE rank <= 100
+), words AS (SELECT query_id, query_no, kw.id, kw.rank FROM (SELECT DISTINCT query_id, query_no FROM qs), kw WHERE rank <= 100
+), fused AS (
+  SELECT query_id, query_no, id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce((0.5 + 0.5 * least(1, greatest(0, (b.similarity - 0.35) / 0.65))) / (60 + b.rank), 0), 9) AS rrf
+  FROM words a FULL JOIN sem b USING (query_id, query_no, id)
+) SELECT query_id, query_no, id, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query_id, query_no ORDER BY rrf DESC, id) AS r FROM fused) WHERE r <= 100"""
+)
+def search_hybrid_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword hits fused with the hits of each query vector."""
+    q = _queries(spark, d)
+    allowed = M.messages(spark, d).join(M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id")), "thread_id", "left_semi").select("id")
+    near = V.nearest_of_all(q, _vectors(spark, d).join(allowed, "id", "left_semi").withColumn("owner", F.col("id")), V.FLOOR, 100)
+    key = ["query_id", "query_no"]
+    sem = near.select(*key, F.col("owner").alias("id"), "similarity", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("similarity").desc(), "owner")).alias("rank"))
+    words = q.where("embedding IS NOT NULL").select(*key).distinct().crossJoin(_search(spark, d, QUERY, 100).select("id", "rank"))
+    named = lambda df: df.withColumn("id", F.struct(*key, "id"))
+    fused = V.fuse(named(words), named(sem), "id").select("id.*", "rrf")
+    best = Window.partitionBy(*key).orderBy(F.col("rrf").desc(), "id")
+    return fused.withColumn("r", F.row_number().over(best)).where("r <= 100").drop("r")
+
+
+@query(
+    _QS_SQL
+    + """, hit AS (
+  SELECT query_id, query_no, m.thread_id, n.message_id, n.similarity, row_number() OVER (PARTITION BY query_id, query_no, m.thread_id ORDER BY n.similarity DESC, n.message_id) AS r
+  FROM near n JOIN m ON m.id = n.message_id JOIN t ON t.id = m.thread_id WHERE NOT t.is_subagent
+) SELECT query_id, query_no, thread_id, message_id, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, query_no ORDER BY similarity DESC, thread_id) AS k FROM hit WHERE r = 1) WHERE k <= 50"""
+)
+def related_threads_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 threads with the message nearest to each query vector."""
+    t = M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id"))
+    owner = M.messages(spark, d).join(t, "thread_id", "left_semi").select("id", F.col("thread_id").alias("owner"))
+    near = V.nearest_of_all(_queries(spark, d), _vectors(spark, d).join(owner, "id"), V.FLOOR, 50)
+    return near.select("query_id", "query_no", F.col("owner").alias("thread_id"), F.col("id").alias("message_id"), "similarity")
+
+
+def _recall_all(spark: SparkSession, d: str, kinds: tuple, owner: str, floor: float, k: int | None = None) -> DataFrame:
+    """Like nearest_of_all, for the visible facts of the kinds, owned by themselves or by their projects."""
+    q = read(spark, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.lit(0).cast("bigint").alias("query_no"), "embedding").distinct()
+    f = M.whole_facts(spark, d).where(~F.col("hidden") & F.col("kind").isin(*kinds)).select("fact_id", F.col(owner).alias("owner"))
+    return V.nearest_of_all(q, M.fact_vectors(spark, d).join(f, "fact_id").select("owner", F.col("fact_id").alias("id"), "embedding"), floor, k).drop("query_no")
+
+
+def _facts_of(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return M.whole_facts(spark, d).select(F.col("fact_id").alias("id"), *columns)
+
+
+@query(
+    WHOLE_SQL + _FACT_QS_SQL + "SELECT query_id, fact_id, kind, text, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fact_id) AS r FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.15) WHERE r <= 50", base=False
+)
+def recall_facts_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions and gotchas most like each query vector, with whole texts."""
+    near = _recall_all(spark, d, ("decision", "gotcha"), "fact_id", 0.15, 50)
+    return near.join(_facts_of(spark, d, "kind", "text"), "id").select("query_id", F.col("id").alias("fact_id"), "kind", "text", "similarity")
+
+
+@query(_FACT_QS_SQL + "SELECT query_id, project, count(*) AS n, max(similarity) AS best, arg_max(kind, (similarity, -fact_id)) AS kind, arg_max(fact_id, (similarity, -fact_id)) AS fact_id FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.1 GROUP BY query_id, project")
+def prior_work_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Projects by their facts that are like each query vector."""
+    near = _recall_all(spark, d, ("decision", "gotcha"), "project", 0.1)
+    return near.join(_facts_of(spark, d, "kind"), "id").select("query_id", F.col("owner").alias("project"), "n", F.col("similarity").alias("best"), "kind", F.col("id").alias("fact_id"))
+
+
+@query(_FACT_QS_SQL + "SELECT query_id, fact_id, project, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fact_id) AS r FROM rec WHERE kind = 'decision' AND similarity >= 0.12) WHERE r <= 8")
+def check_decision_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Earlier decisions like each query vector."""
+    near = _recall_all(spark, d, ("decision",), "fact_id", 0.12, 8)
+    return near.join(_facts_of(spark, d, "project"), "id").select("query_id", F.col("id").alias("fact_id"), "project", "similarity")
+
+
 @query("SELECT (SELECT count(*) FROM t) AS threads, (SELECT count(*) FROM m) AS messages, (SELECT count(*) FROM sources) AS sources")
 def db_stats(spark: SparkSession, d: str) -> DataFrame:
     one = [M.threads(spark, d).select(F.lit("threads").alias("k")), M.messages(spark, d).select(F.lit("messages").alias("k")), M.sources(spark, d).select(F.lit("sources").alias("k"))]
