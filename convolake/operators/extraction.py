@@ -39,17 +39,19 @@ def todos(messages: DataFrame) -> DataFrame:
     return first_of(rows, "todo", TODOS_A_THREAD, ["seq", "line_no"])
 
 
-def first_of(rows: DataFrame, value: str, most: int, order: list[str]) -> DataFrame:
-    """Per thread the first `most` values that differ in lower case; doubles go before the per-thread window, on the map side."""
+def first_of(rows: DataFrame, value: str, most: int | None, order: list[str]) -> DataFrame:
+    """Per thread the first `most` values (all, if None) that differ in lower case; doubles go before the per-thread window, on the map side."""
     others = [c for c in rows.columns if c != "thread_id"]
     once = rows.groupBy("thread_id", F.lower(value).alias("__key")).agg(F.min(F.struct(*order, *[c for c in others if c not in order])).alias("s"))
     flat = once.select("thread_id", "__key", "s.*")
+    if most is None:
+        return flat.select("thread_id", *others)
     by = Window.partitionBy("thread_id").orderBy(*order, "__key")
     return flat.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= most).select("thread_id", *others)
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(thread_id, path): the first 200 different paths of a thread, with the case first seen."""
+def paths(messages: DataFrame, most: int | None = None) -> DataFrame:
+    """(thread_id, path): the different paths of a thread, or the first `most`, with the case first seen."""
     words = F.split("text", r"""[\s()\[\]{}"'`,;<>|=]+""")
     rows = messages.where("text IS NOT NULL").select("thread_id", "seq", F.posexplode(words).alias("word_no", "path"))
     rows = rows.withColumn("path", F.btrim("path", F.lit(".:*#!?@")))
@@ -57,7 +59,7 @@ def paths(messages: DataFrame) -> DataFrame:
     stem = F.expr("substring(path, 1, length(path) - length(substring_index(path, '.', -1)) - 1)")
     good = F.octet_length("path").between(3, 200) & ~F.contains("path", F.lit("://")) & F.contains("path", F.lit(".")) & ending.rlike("^[A-Za-z0-9]+$") & ~ending.rlike("^[0-9]+$") & (F.length(stem) > 0)
     kept = rows.where(good & (F.contains("path", F.lit("/")) | F.lower(ending).isin(*ENDINGS)))
-    return first_of(kept, "path", PATHS_A_THREAD, ["seq", "word_no"]).select("thread_id", "path")
+    return first_of(kept, "path", most, ["seq", "word_no"]).select("thread_id", "path")
 
 
 def normal_error(line: Column) -> Column:

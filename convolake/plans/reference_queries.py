@@ -494,11 +494,26 @@ _PATHS_SQL = f""", w AS (
 
 @query(_PATHS_SQL + "SELECT thread_id, path FROM mentions")
 def file_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """The first 200 different paths of each thread."""
+    return X.paths(M.message_rows(spark, d, "text"), X.PATHS_A_THREAD)
+
+
+_ALL_PATHS_SQL = _PATHS_SQL.replace(" WHERE n <= 200)", ")")
+
+
+@query(_ALL_PATHS_SQL + "SELECT thread_id, path FROM mentions")
+def file_mentions_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All different paths of each thread."""
     return X.paths(M.message_rows(spark, d, "text"))
 
 
 @query(_PATHS_SQL + "SELECT id, title FROM t WHERE NOT is_subagent AND id IN (SELECT thread_id FROM mentions WHERE contains(lower(path), 'rank/main')) ORDER BY updated_at DESC NULLS LAST, id DESC LIMIT 40")
 def threads_for_file(spark: SparkSession, d: str) -> DataFrame:
+    return T.threads_with_file(X.paths(M.message_rows(spark, d, "text"), X.PATHS_A_THREAD), M.threads(spark, d), "rank/main", 40).select("id", "title")
+
+
+@query(SQL["threads_for_file"].replace(_PATHS_SQL, _ALL_PATHS_SQL), base=False)
+def threads_for_file_whole(spark: SparkSession, d: str) -> DataFrame:
     return T.threads_with_file(X.paths(M.message_rows(spark, d, "text")), M.threads(spark, d), "rank/main", 40).select("id", "title")
 
 
@@ -526,9 +541,9 @@ _LINKS_SQL = (
 )
 
 
-def _links(spark: SparkSession, d: str) -> DataFrame:
+def _links(spark: SparkSession, d: str, paths: int | None = X.PATHS_A_THREAD) -> DataFrame:
     spans = G.windows(M.threads(spark, d), M.messages(spark, d, "ts"))
-    return G.thread_commits(spans, X.paths(M.message_rows(spark, d, "text")), G.clean_commits(read(spark, d, "commits")))
+    return G.thread_commits(spans, X.paths(M.message_rows(spark, d, "text"), paths), G.clean_commits(read(spark, d, "commits")))
 
 
 @query(_LINKS_SQL + "SELECT thread_id, sha, committed_at, overlap FROM links")
@@ -536,6 +551,15 @@ def thread_commits(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d)
 
 
+_ALL_PATHS_LINKS_SQL = _LINKS_SQL.replace(_PATHS_SQL, _ALL_PATHS_SQL)
+
+
+@query(_ALL_PATHS_LINKS_SQL + "SELECT thread_id, sha, committed_at, overlap FROM links")
+def thread_commits_of_all_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The best five commits of each thread by all of its paths."""
+    return _links(spark, d, None)
+
+
 @query(_LINKS_SQL + "SELECT sha, committed_at, count(*) AS threads, max(overlap) AS overlap FROM links GROUP BY ALL ORDER BY committed_at DESC, sha LIMIT 50")
 def commit_timeline(spark: SparkSession, d: str) -> DataFrame:
     return G.timeline(_links(spark, d), 50)

@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 import __spark_entry__ as entry
+from convolake.operators import extraction as X
 from convolake.operators import vector as V
 
 DOC = "doc_id bigint, kind string, text string, project_key string, created_at timestamp"
@@ -35,3 +36,9 @@ def test_every_query_vector_is_answered(spark):
     got = {(r.query_id, r.query_no, r.owner, r.n, r.similarity, r.id) for r in V.nearest_of_all(queries, rows, 0.35, 1).collect()}
     assert got == {(50, 0, 1, 2, 1.0, 3), (50, 1, 2, 1, 1.0, 8), (100, 0, 1, 2, 0.707107, 3)}
     assert V.nearest_of_all(queries, rows, 0.35).count() == 4
+
+
+def test_all_paths_of_a_thread(spark):
+    text = " ".join(f"src/a{i}.rs" for i in range(250))
+    m = spark.createDataFrame([(1, 1, 0, text)], "thread_id bigint, id bigint, seq bigint, text string")
+    assert X.paths(m).count() == 250 and X.paths(m, X.PATHS_A_THREAD).count() == 200
