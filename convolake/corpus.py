@@ -59,7 +59,7 @@ class Corpus:
 
     def thread_commits(self) -> DataFrame:
         spans = gitlink.windows(model.threads(self.spark, self.folder), model.messages(self.spark, self.folder, "ts"))
-        return gitlink.thread_commits(spans, self.mentions(), gitlink.clean_commits(read(self.spark, self.folder, "commits")))
+        return gitlink.thread_commits(spans, self.mentions(), gitlink.clean_commits(read(self.spark, self.folder, "commits")), None)
 
     def packed(self, budget: int = 30_000) -> DataFrame:
         return packing.pack(self.messages("role", "text"), budget)

@@ -30,8 +30,8 @@ def suffixes(path: Column) -> Column:
     return F.array_distinct(F.array_append(tails, path))
 
 
-def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, most: int = PER_THREAD) -> DataFrame:
-    """(thread_id, sha, committed_at, overlap): per thread the commits that share most files, among those from an hour before to a day after it.
+def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, most: int | None = PER_THREAD) -> DataFrame:
+    """(thread_id, sha, committed_at, overlap): per thread the `most` commits (all, if None) that share most files, among those from an hour before to a day after it.
 
     A mention and a file match if they are equal or one is an ending of the other at a slash, without regard to case. Both
     sides are joined by equality of (project, day, ending), never pairwise: a thread stands under each day of its span,
@@ -47,6 +47,8 @@ def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, mo
     longer_file = said.withColumn("key", F.col("mention")).join(changed.withColumn("key", F.explode(suffixes(F.col("file")))), on).where(in_time & F.contains("mention", F.lit("/")))
     pairs = longer_mention.select("thread_id", "sha", "committed_at", "file").union(longer_file.select("thread_id", "sha", "committed_at", "file"))
     overlap = pairs.groupBy("thread_id", "sha", "committed_at").agg(F.countDistinct("file").alias("overlap"))
+    if most is None:
+        return overlap
     best = Window.partitionBy("thread_id").orderBy(F.col("overlap").desc(), F.col("committed_at").desc(), "sha")
     return overlap.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).drop("n")
 

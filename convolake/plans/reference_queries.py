@@ -541,9 +541,9 @@ _LINKS_SQL = (
 )
 
 
-def _links(spark: SparkSession, d: str, paths: int | None = X.PATHS_A_THREAD) -> DataFrame:
+def _links(spark: SparkSession, d: str, paths: int | None = X.PATHS_A_THREAD, most: int | None = G.PER_THREAD) -> DataFrame:
     spans = G.windows(M.threads(spark, d), M.messages(spark, d, "ts"))
-    return G.thread_commits(spans, X.paths(M.message_rows(spark, d, "text"), paths), G.clean_commits(read(spark, d, "commits")))
+    return G.thread_commits(spans, X.paths(M.message_rows(spark, d, "text"), paths), G.clean_commits(read(spark, d, "commits")), most)
 
 
 @query(_LINKS_SQL + "SELECT thread_id, sha, committed_at, overlap FROM links")
@@ -560,16 +560,36 @@ def thread_commits_of_all_paths(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d, None)
 
 
+_ALL_LINKS_SQL = _ALL_PATHS_LINKS_SQL.replace(" WHERE n <= 5)", ")")
+
+
+@query(_ALL_LINKS_SQL + "SELECT thread_id, sha, committed_at, overlap FROM links")
+def thread_commits_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All commits of each thread by all of its paths."""
+    return _links(spark, d, None, None)
+
+
 @query(_LINKS_SQL + "SELECT sha, committed_at, count(*) AS threads, max(overlap) AS overlap FROM links GROUP BY ALL ORDER BY committed_at DESC, sha LIMIT 50")
 def commit_timeline(spark: SparkSession, d: str) -> DataFrame:
     return G.timeline(_links(spark, d), 50)
 
 
+@query(SQL["commit_timeline"].replace(_LINKS_SQL, _ALL_LINKS_SQL), base=False)
+def commit_timeline_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Threads of each commit, counted over all links."""
+    return G.timeline(_links(spark, d, None, None), 50)
+
+
 @query(_LINKS_SQL + "SELECT thread_id, sha, overlap FROM links WHERE sha LIKE '8%' OR sha LIKE 'a1%'")
 def commits_by_sha(spark: SparkSession, d: str) -> DataFrame:
     return G.by_sha(_links(spark, d), [" 8", "A1", ""]).select("thread_id", "sha", "overlap")
 
 
+@query(SQL["commits_by_sha"].replace(_LINKS_SQL, _ALL_LINKS_SQL), base=False)
+def commits_by_sha_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.by_sha(_links(spark, d, None, None), [" 8", "A1", ""]).select("thread_id", "sha", "overlap")
+
+
 @query(
     """, l AS (SELECT thread_id, seq, coalesce(role, '') AS role, '### ' || coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10) AS line FROM m
 ), z AS (SELECT thread_id, sum(strlen(line)) AS a, coalesce(sum(strlen(line)) FILTER (WHERE role <> 'tool'), 0) AS b FROM l GROUP BY thread_id

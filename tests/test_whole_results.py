@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from convolake.operators import extraction as X
+from convolake.operators import gitlink as G
 from convolake.operators import vector as V
 
 DOC = "doc_id bigint, kind string, text string, project_key string, created_at timestamp"
@@ -42,3 +43,10 @@ def test_all_paths_of_a_thread(spark):
     text = " ".join(f"src/a{i}.rs" for i in range(250))
     m = spark.createDataFrame([(1, 1, 0, text)], "thread_id bigint, id bigint, seq bigint, text string")
     assert X.paths(m).count() == 250 and X.paths(m, X.PATHS_A_THREAD).count() == 200
+
+
+def test_all_commits_of_a_thread(spark):
+    spans = spark.createDataFrame([(1, "/p", 1000, 2000)], "thread_id bigint, project string, start_ts bigint, end_ts bigint")
+    commits = spark.createDataFrame([(f"c{i}", "/p", 1500, ["src/a.rs"]) for i in range(9)], "sha string, project string, committed_at bigint, files array<string>")
+    mentions = spark.createDataFrame([(1, "src/a.rs")], "thread_id bigint, path string")
+    assert G.thread_commits(spans, mentions, commits, None).count() == 9 and G.thread_commits(spans, mentions, commits).count() == 5
