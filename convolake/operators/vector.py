@@ -10,9 +10,10 @@ FLOOR, RECALL_FLOOR, PRIOR_FLOOR = 0.35, 0.45, 0.55
 RRF = 60
 
 
-def chunk_windows(messages: DataFrame) -> DataFrame:
-    """(id, chunk_no, chunk): windows of 1600 characters every 1400, at most 16; the fixed windows of the vector index."""
-    n = F.when(F.length("text") <= CHUNK, 1).otherwise(F.least(F.lit(MOST_CHUNKS), F.ceil((F.length("text") - CHUNK) / F.lit(STEP)) + 1)).cast("int")
+def chunk_windows(messages: DataFrame, most: int | None = MOST_CHUNKS) -> DataFrame:
+    """(id, chunk_no, chunk): windows of 1600 characters every 1400, the first `most` or, if None, to the end of each text."""
+    n = F.when(F.length("text") <= CHUNK, 1).otherwise(F.ceil((F.length("text") - CHUNK) / F.lit(STEP)) + 1).cast("int")
+    n = n if most is None else F.least(F.lit(most), n)
     rows = messages.where("text IS NOT NULL").select("id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     return rows.select("id", "chunk_no", F.col("text").substr(F.col("chunk_no") * STEP + 1, F.lit(CHUNK)).alias("chunk"))
 

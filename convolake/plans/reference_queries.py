@@ -119,6 +119,12 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return V.chunk_windows(M.messages(spark, d, "text"))
 
 
+@query(SQL["chunk_windows"].removeprefix(BASE_SQL).replace("least(16, ceil((length(text) - 1600) / 1400.0) + 1)", "ceil((length(text) - 1600) / 1400.0) + 1"))
+def chunk_windows_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Windows to the end of each text."""
+    return V.chunk_windows(M.messages(spark, d, "text"), None)
+
+
 @query("SELECT id, thread_id FROM m WHERE role IN ('user', 'assistant') AND id NOT IN (SELECT message_id FROM chunks WHERE message_id IS NOT NULL)")
 def pending_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Messages by user or assistant that have no vector yet."""

@@ -50,3 +50,9 @@ def test_all_commits_of_a_thread(spark):
     commits = spark.createDataFrame([(f"c{i}", "/p", 1500, ["src/a.rs"]) for i in range(9)], "sha string, project string, committed_at bigint, files array<string>")
     mentions = spark.createDataFrame([(1, "src/a.rs")], "thread_id bigint, path string")
     assert G.thread_commits(spans, mentions, commits, None).count() == 9 and G.thread_commits(spans, mentions, commits).count() == 5
+
+
+def test_windows_reach_the_end(spark):
+    text = "".join(chr(97 + i % 26) for i in range(60_000))
+    last = V.chunk_windows(spark.createDataFrame([(1, text)], "id bigint, text string"), None).orderBy("chunk_no").collect()
+    assert len(last) == 43 and text.endswith(last[-1].chunk) and last[-1].chunk_no == 42
