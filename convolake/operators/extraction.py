@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TODOS_A_THREAD, PATHS_A_THREAD = 25, 200
+TODOS_A_THREAD, TODO_SHOWN, PATHS_A_THREAD = 25, 240, 200
 # The endings of files named without a slash, and the marks of an error line.
 ENDINGS = (
     "rs ts tsx js jsx mjs cjs py go java kt rb php c cc cpp h hpp cs swift sql sh bash zsh toml yaml yml json "
@@ -26,7 +26,7 @@ def lines(messages: DataFrame, *keep: str) -> DataFrame:
 
 
 def todos(messages: DataFrame) -> DataFrame:
-    """(thread_id, id, seq, line_no, todo): unchecked boxes and TODO or FIXME marks, cleaned; per thread the first 25 different ones."""
+    """(thread_id, id, seq, line_no, todo): unchecked boxes and TODO or FIXME marks, cleaned; per thread all that differ, in whole."""
     rows = lines(messages, "thread_id", "id", "seq")
     box = F.regexp_extract("line", r"^[-*] \[ ?\] ?(.*)$", 1)
     mark = F.regexp_extract("line", r"(?i)(?:^|[^a-z0-9])todo(?:[^a-z0-9](.*))?$", 1)
@@ -35,8 +35,13 @@ def todos(messages: DataFrame) -> DataFrame:
     raw = F.when(F.col("line").rlike(r"^[-*] \[ ?\]"), box).when(F.col("line").rlike(r"(?i)(^|[^a-z0-9])todo([^a-z0-9]|$)"), stripped(mark)).when(F.col("line").rlike(r"(?i)(^|[^a-z0-9])fixme([^a-z0-9]|$)"), stripped(fix))
     t = F.btrim(raw, F.lit(" \t\r"))
     rows = rows.withColumn("todo", t).where((F.length("todo") >= 4) & ~F.col("todo").rlike(r'\\n|\||","|[{}]'))
-    rows = rows.withColumn("todo", F.when(F.length("todo") > 240, F.concat(F.col("todo").substr(1, 240), F.lit("…"))).otherwise(F.col("todo")))
-    return first_of(rows, "todo", TODOS_A_THREAD, ["seq", "line_no"])
+    return first_of(rows, "todo", None, ["seq", "line_no"])
+
+
+def todos_shown(todos: DataFrame) -> DataFrame:
+    """For display: the first 25 todos of a thread, cut to 240 characters."""
+    short = F.when(F.length("todo") > TODO_SHOWN, F.concat(F.col("todo").substr(1, TODO_SHOWN), F.lit("…"))).otherwise(F.col("todo"))
+    return first_of(todos, "todo", TODOS_A_THREAD, ["seq", "line_no"]).withColumn("todo", short)
 
 
 def first_of(rows: DataFrame, value: str, most: int | None, order: list[str]) -> DataFrame:

@@ -487,6 +487,12 @@ def thread_todos(spark: SparkSession, d: str) -> DataFrame:
     return X.todos(M.message_rows(spark, d, "text"))
 
 
+@query()
+def thread_todos_shown(spark: SparkSession, d: str) -> DataFrame:
+    """The display report of thread_todos: 25 a thread, cut to 240 characters."""
+    return X.todos_shown(thread_todos(spark, d))
+
+
 _ENDINGS = ", ".join(f"'{e}'" for e in X.ENDINGS)
 _PATHS_SQL = f""", w AS (
   SELECT thread_id, seq, generate_subscripts(ws, 1) AS word_no, trim(unnest(ws), '.:*#!?@') AS path FROM (

@@ -56,3 +56,10 @@ def test_windows_reach_the_end(spark):
     text = "".join(chr(97 + i % 26) for i in range(60_000))
     last = V.chunk_windows(spark.createDataFrame([(1, text)], "id bigint, text string"), None).orderBy("chunk_no").collect()
     assert len(last) == 43 and text.endswith(last[-1].chunk) and last[-1].chunk_no == 42
+
+
+def test_all_todos_in_whole(spark):
+    text = "\n".join(f"TODO: {'w' * 300} number {i}" for i in range(40))
+    found = X.todos(spark.createDataFrame([(1, 1, 0, text)], "thread_id bigint, id bigint, seq bigint, text string"))
+    assert sorted(int(r.todo.split()[-1]) for r in found.collect()) == list(range(40))
+    assert {len(r.todo) for r in X.todos_shown(found).collect()} == {241} and X.todos_shown(found).count() == 25
