@@ -53,9 +53,8 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that can't reach their share: the first step of the mix, whose solver leaves them at their cap."""
-    targets = read(spark, d, "mix_targets")
-    return mixing.capacity(mixing.document_tokens(read(spark, d, "documents"), targets), targets).where("NOT feasible").select("source")
+    """Sources that can't reach their share, from the report of the mix, whose solver leaves them at their cap."""
+    return p7_report(spark, d).where("NOT feasible").select("source")
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -63,3 +63,12 @@ def test_all_todos_in_whole(spark):
     found = X.todos(spark.createDataFrame([(1, 1, 0, text)], "thread_id bigint, id bigint, seq bigint, text string"))
     assert sorted(int(r.todo.split()[-1]) for r in found.collect()) == list(range(40))
     assert {len(r.todo) for r in X.todos_shown(found).collect()} == {241} and X.todos_shown(found).count() == 25
+
+
+def test_p7_found_comes_from_the_mix(spark, tmp_path, monkeypatch):
+    queries = pytest.importorskip("convolake.llm.queries")
+    spark.createDataFrame([(1, "x", "s")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    report = spark.createDataFrame([("short", False), ("s", True)], "source string, feasible boolean")
+    monkeypatch.setattr(queries.mixing, "mix", lambda *_: (None, report))
+    assert [r.source for r in queries.p7_found(spark, str(tmp_path)).collect()] == ["short"]
