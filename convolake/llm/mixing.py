@@ -15,9 +15,10 @@ halve it. So where r > 1 long documents are repeated more than short ones, and w
 A second constraint, on the number of documents (sum w_i = r * n), would be met with the first by the flat rate r alone, and
 nothing would be tilted. A source whose r is max_repeats or more takes max_repeats of each.
 
-Rates become copies: each document gets floor(w), and one more if its hash (a uniform number) divided by the fraction of w
-lies under its source's threshold, which is searched in histograms so that the source's tokens come as near to the
-target as whole documents allow. The hash makes the choice repeatable and independent of partitioning.
+Rates become copies: each document gets floor(w), and some get one more. They are ordered by z, a uniform number of their hash
+set against the fraction of w, and taken up to the threshold at which the source has its tokens. The document that would
+overshoot is passed over, and the search goes on among those that still fit, until none does, so that a source ends less
+than its shortest document left out below its target. The hash makes the choice repeatable and independent of partitioning.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from convolake.session import cut
 
 from . import encoding
 
-#: Bins of a histogram of the thresholds' search, and the range they cover: a hash over a fraction lies around 1 at the crossing.
-BINS, TOP = 4096, 4.0
-STEPS, CLOSE = 60, 1e-9
+#: Bins of a histogram of the thresholds' search, and how often one is taken inside a bin of the last: down to 2^-48.
+BINS, LEVELS = 4096, 4
+#: Steps within which every dual is solved, as each either closes in quadratically or halves the interval; and how near its tokens must come.
+STEPS, CLOSE = 200, 1e-9
 
 
 def source_key(c: Column) -> Column:
@@ -55,15 +57,13 @@ def document_tokens(documents: DataFrame, targets: DataFrame, path: str = encodi
 
 
 def capacity(tokens: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each row of the list: source as written, key, tokens, documents, total (T), needed and reachable tokens, and whether it can reach its share."""
+    """For each row of the list: source as written, key, tokens, documents and total (T)."""
     sums = tokens.groupBy("key").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     rows = targets.where("source IS NOT NULL").select("source", source_key(F.col("source")).alias("key"), "target_share", F.col("max_repeats").cast("bigint").alias("max_repeats"))
     # one row a listed source, so the unpartitioned window is over a few rows
     total = sums.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(0))))
     both = rows.join(total, "key", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "documents": F.coalesce("documents", F.lit(0))})
-    both = both.withColumn("total", F.coalesce(F.max("total").over(Window.partitionBy(F.lit(0))), F.lit(0)))
-    needed, reachable = F.col("target_share") * F.col("total"), F.col("max_repeats") * F.col("tokens")
-    return both.withColumns({"needed": needed, "reachable": reachable, "feasible": ~F.coalesce(reachable < needed, F.lit(False))})
+    return both.withColumn("total", F.coalesce(F.max("total").over(Window.partitionBy(F.lit(0))), F.lit(0)))
 
 
 def _lookup(values: dict[str, float]) -> Column:
@@ -71,46 +71,16 @@ def _lookup(values: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("key")) if values else F.lit(None).cast("double")
 
 
-def _solve(histogram: DataFrame, goal: dict[str, tuple[float, float, float, float]]) -> dict[str, tuple[float, float]]:
-    """(a, b) of each source of goal, key -> (documents, sum of x, mean tokens, needed rate), with both constraints; mix uses _tilts, as these rates are flat."""
-    at = {k: (0.0, 0.0) for k in goal}
-    open_ = dict(goal)
-    for _ in range(STEPS):
-        if not open_:
-            break
-        x = F.col("tokens") / _lookup({k: g[2] for k, g in open_.items()})
-        w = F.exp(_lookup({k: at[k][0] for k in open_}) + _lookup({k: at[k][1] for k in open_}) * x) * F.col("n")
-        rows = (
-            histogram.where(F.col("key").isin(*open_))
-            .groupBy("key")
-            .agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"))
-            .collect()
-        )
-        for row in rows:
-            n, sx, _, r = open_[row["key"]]
-            g0, g1 = row["w"] - r * n, row["wx"] - r * sx
-            if abs(g0) <= CLOSE * r * n and abs(g1) <= CLOSE * r * sx:
-                del open_[row["key"]]
-                continue
-            h00, h01, h11 = row["w"], row["wx"], row["wxx"]
-            det = h00 * h11 - h01 * h01
-            if det > 1e-12 * h00 * h11:
-                d0, d1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-            else:  # all documents of the source have one length
-                d0, d1 = g0 / h00, 0.0
-            shrink = min(1.0, 1.0 / max(abs(d0), abs(d1), 1e-300))  # a damped step, so that exp cannot run away
-            a, b = at[row["key"]]
-            at[row["key"]] = (a - shrink * d0, b - shrink * d1)
-    return at
-
-
 def _tilts(histogram: DataFrame, goal: dict[str, tuple[float, float, float]]) -> dict[str, float]:
-    """b of each source of goal, key -> (mean tokens, needed rate, most copies), with 0 < needed rate < most copies."""
+    """b of each source of goal, key -> (mean tokens, needed rate, most copies), with 0 < needed rate < most copies.
+
+    A source whose dual isn't solved after STEPS steps is an error, never a mix that misses its target unseen.
+    """
     at, low, high = dict.fromkeys(goal, 0.0), dict.fromkeys(goal, -math.inf), dict.fromkeys(goal, math.inf)
     open_ = dict(goal)
     for _ in range(STEPS):
         if not open_:
-            break
+            return at
         x = F.col("tokens") / _lookup({k: g[0] for k, g in open_.items()})
         top = _lookup({k: math.log(g[2]) for k, g in open_.items()})
         e = _lookup({k: at[k] for k in open_}) * x
@@ -124,7 +94,7 @@ def _tilts(histogram: DataFrame, goal: dict[str, tuple[float, float, float]]) ->
         for row in rows:
             key, b, wanted = row["key"], at[row["key"]], open_[row["key"]][1] * row["x"]
             miss = row["wx"] - wanted
-            if abs(miss) <= CLOSE * wanted:
+            if abs(miss) <= CLOSE * wanted or math.nextafter(low[key], math.inf) >= high[key]:
                 del open_[key]
                 continue
             (high if miss > 0 else low)[key] = b
@@ -133,12 +103,15 @@ def _tilts(histogram: DataFrame, goal: dict[str, tuple[float, float, float]]) ->
                 ends = [v for v in (low[key], high[key]) if math.isfinite(v)]
                 to = sum(ends) / 2 if len(ends) == 2 else 2 * b + math.copysign(1.0, -miss)
             at[key] = to
+    if open_:
+        raise RuntimeError(f"no tilt found for {sorted(open_)} in {STEPS} steps")
     return at
 
 
 def mix(documents: DataFrame, targets: DataFrame, path: str = encoding.BYTE_BPE, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(copies, report). copies: doc_id, key, tokens, rate, copies of each document of a listed source. report: of each row
-    of the list its target, cap, tokens, whether it can be reached, mixed_tokens, actual_share (of the mix) and
+    of the list its target, cap, tokens, whether the solver reached it (not where all documents stand at their bound and still fall short; a
+    source listed twice is one source with the sum of its shares), mixed_tokens, actual_share (of the mix) and
     share_of_total (of T, the tokens of all listed documents once, on which the targets are set). Where sources fall short of their
     target the mix is smaller than T, and the actual shares of the others are larger by the same factor.
 
@@ -154,47 +127,71 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = encoding.BYTE_BPE,
     found = _tilts(histogram, free)
     exponent = _lookup({k: b / free[k][0] for k, b in found.items()}) * F.col("tokens")
     flat = {k: min(rate.get(k, 0.0), full[k]) for k in cap if k not in found}
-    most = F.coalesce(_lookup(full), F.lit(0.0))
-    rated = tokens.withColumn("rate", F.least(most, F.coalesce(F.exp(F.least(exponent, F.log(most))), _lookup(flat), F.lit(0.0))))
+    tilted = F.when(exponent.isNotNull(), F.least(F.exp(F.least(exponent, _lookup({k: math.log(full[k]) for k in found}))), _lookup(full)))
+    rated = tokens.withColumn("rate", F.coalesce(tilted, _lookup(flat), F.lit(0.0)))
     # a rate that misses a whole number by rounding only is that number
     rated = rated.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-6, F.round("rate")).otherwise(F.col("rate")))
     rated = rated.withColumn("base", F.floor("rate")).withColumn("part", F.col("rate") - F.col("base"))
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)) / F.lit(float(2**52))
-    rated = rated.withColumn("z", F.when((F.col("part") > 0) & (F.col("tokens") > 0), uniform / F.col("part")))
-    need = {r["key"]: min(rate.get(r["key"], 0.0), full[r["key"]]) * cap[r["key"]]["tokens"] - r["sure"] for r in rated.groupBy("key").agg(F.sum(F.col("base") * F.col("tokens")).alias("sure")).collect()}
-    threshold = _thresholds(rated, need)
-    copies = rated.withColumn("copies", (F.col("base") + F.when(F.col("z") < _lookup(threshold), 1).otherwise(0)).cast("bigint")).select("doc_id", "key", "tokens", "rate", "copies")
-    return copies, _report(copies, tokens, targets)
-
-
-def _thresholds(rated: DataFrame, need: dict[str, float]) -> dict[str, float]:
-    """For each source the threshold under which the documents' tokens add up to what it needs; two histograms, each of BINS a source."""
-    low, width, have = {k: 0.0 for k in need}, {k: TOP / BINS for k in need}, {k: 0.0 for k in need}
-    for _ in range(2):
-        if not need:
+    # uniform / part, brought from all positive numbers into 0 to 1
+    rated = rated.withColumn("z", F.when((F.col("part") > 0) & (F.col("tokens") > 0), uniform / (uniform + F.col("part"))))
+    rated = cut(rated.select("doc_id", "key", "tokens", "rate", "base", "z"))
+    sums = rated.groupBy("key").agg(F.sum(F.col("base") * F.col("tokens")).alias("sure"), F.min(F.when(F.col("tokens") > 0, F.col("rate"))).alias("least"), F.sum(F.col("rate") * F.col("tokens")).alias("solved")).collect()
+    need = {r["key"]: min(rate.get(r["key"], 0.0), full[r["key"]]) * cap[r["key"]]["tokens"] - r["sure"] for r in sums}
+    chosen = _chosen(rated, need)
+    copies = rated.withColumn("copies", (F.col("base") + F.when(chosen, 1).otherwise(0)).cast("bigint")).select("doc_id", "key", "tokens", "rate", "copies")
+    # the solver's verdict: every document with tokens stands at its bound, and the tokens still fall short
+    short = [k for k in cap if not cap[k]["tokens"]] + [r["key"] for r in sums if r["least"] is not None and r["least"] == full[r["key"]] and r["solved"] < cap[r["key"]]["share"] * cap[r["key"]]["total"]]
+    return copies, _report(copies, tokens, targets, [k for k in short if (cap[k]["share"] or 0.0) * cap[k]["total"] > 0])
+
+
+def _chosen(rated: DataFrame, need: dict[str, float]) -> Column:
+    """Which documents get one copy more: those with z under a threshold of their source and no more tokens than were open when it was found."""
+    left, test = {k: v for k, v in need.items() if v > 0}, F.lit(False)
+    while left:
+        open_ = F.col("tokens") <= _lookup(left)
+        found = _thresholds(rated.where(F.col("z").isNotNull() & F.col("key").isin(*left) & open_ & ~test), left)
+        if not found:
+            break
+        test = test | F.coalesce(open_ & (F.col("z") < _lookup({k: t for k, (t, _) in found.items()})), F.lit(False))
+        left = {k: left[k] - took for k, (_, took) in found.items() if 0 < took < left[k]}
+    return test
+
+
+def _thresholds(fits: DataFrame, need: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """key -> (threshold of z, tokens under it), the most that does not exceed the need; sources of which `fits` has nothing are left out.
+
+    A histogram of BINS bins a source, then one inside the bin that overshoots, until that bin holds one document. The
+    running sums are taken on the executors, so a row a source and histogram reaches the driver.
+    """
+    low, have, open_, width = dict.fromkeys(need, 0.0), dict.fromkeys(need, 0.0), dict(need), 1.0
+    ends: dict[str, tuple[float, float]] = {}
+    for _ in range(LEVELS):
+        if not open_:
             break
-        bin_ = F.floor((F.col("z") - _lookup(low)) / _lookup(width))
-        rows = rated.where("z IS NOT NULL").groupBy("key", bin_.alias("bin")).agg(F.sum("tokens").alias("tokens")).where(f"bin >= 0 AND bin < {BINS}").orderBy("key", "bin").collect()
-        step: dict[str, float] = {}
-        for key in need:
-            edge = low[key] + BINS * width[key]
-            for row in (r for r in rows if r["key"] == key):
-                if have[key] + row["tokens"] > need[key]:
-                    edge = low[key] + row["bin"] * width[key]
-                    break
-                have[key] += row["tokens"]
-            step[key] = edge
-        low, width = step, {k: w / BINS for k, w in width.items()}
-    return low
-
-
-def _report(copies: DataFrame, tokens: DataFrame, targets: DataFrame) -> DataFrame:
+        step, at = width / BINS, _lookup({k: low[k] for k in open_})
+        inside = fits.where(F.col("key").isin(*open_) & (F.col("z") >= at) & (F.col("z") < at + width))
+        bins = inside.groupBy("key", F.least(F.floor((F.col("z") - at) / step), F.lit(BINS - 1)).alias("bin")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+        running = bins.withColumn("sum", F.sum("tokens").over(Window.partitionBy("key").orderBy("bin")))
+        over = F.col("sum") + _lookup({k: have[k] for k in open_}) > _lookup(open_)
+        rows = running.groupBy("key").agg(F.min(F.when(over, F.struct("bin", "n"))).alias("over"), F.max(F.when(~over, F.col("sum"))).alias("sum")).collect()
+        for key, first, under in rows:
+            have[key] += under or 0
+            low[key] += width if first is None else first["bin"] * step
+            if first is None or first["n"] == 1:
+                ends[key] = (low[key], have[key])
+        open_ = {r["key"]: need[r["key"]] for r in rows if r["key"] not in ends}
+        width = step
+    return ends | {k: (low[k], have[k]) for k in open_}
+
+
+def _report(copies: DataFrame, tokens: DataFrame, targets: DataFrame, short: list[str]) -> DataFrame:
     got = copies.groupBy("key").agg(F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
     whole = got.withColumn("all_tokens", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))
     rows = capacity(tokens, targets).join(whole, "key", "left")
     mixed = F.coalesce("mixed_tokens", F.lit(0))
     return rows.select(
-        "source", "target_share", "max_repeats", "tokens", "documents", "feasible", mixed.alias("mixed_tokens"),
+        "source", "target_share", "max_repeats", "tokens", "documents", (~F.col("key").isin(*short)).alias("feasible"), mixed.alias("mixed_tokens"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.coalesce(mixed / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
         F.coalesce(mixed / F.col("total"), F.lit(0.0)).alias("share_of_total"),
     )

@@ -49,18 +49,6 @@ def test_mix_reaches_its_shares(spark):
     assert X.mix(documents.limit(0), targets)[0].count() == 0 and X.mix(documents, targets.limit(0))[1].count() == 0
 
 
-def test_newton_keeps_both_constraints(spark):
-    counts = [(1, 40.0), (3, 10.0), (50, 2.0), (9, 7.0)]
-    histogram = spark.createDataFrame([("a", t, n) for t, n in counts] + [("b", 5, 3.0)], "key string, tokens bigint, n double")
-    import math
-
-    n, total = sum(c for _, c in counts), sum(t * c for t, c in counts)
-    found = X._solve(histogram, {"a": (n, n, total / n, 2.7), "b": (3.0, 3.0, 5.0, 0.2)})
-    w = {t: math.exp(found["a"][0] + found["a"][1] * t / (total / n)) for t, _ in counts}
-    assert abs(sum(w[t] * c for t, c in counts) / (2.7 * n) - 1) < 1e-6 and abs(sum(w[t] * t * c for t, c in counts) / (2.7 * total) - 1) < 1e-6
-    assert abs(math.exp(sum(found["b"])) - 0.2) < 1e-6
-
-
 def test_rates_are_tilted_by_length(spark):
     docs = [(i, "word " * (1 + i % 40), s) for s, shift in (("more", 0), ("less", 10_000)) for i in range(shift, shift + 800)]
     documents = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
@@ -81,3 +69,26 @@ def test_tilts_meet_the_tokens_under_the_bound(spark):
     for k, (mean, r, most) in goals.items():
         got = sum(c * t * math.exp(min(found[k] * t / mean, math.log(most))) for t, c in counts)
         assert abs(got / (r * total) - 1) < 1e-6, k
+
+
+def test_unsolved_duals_are_errors(spark, monkeypatch):
+    monkeypatch.setattr(X, "STEPS", 2)
+    with pytest.raises(RuntimeError, match="no tilt"):
+        X._tilts(spark.createDataFrame([("a", 1, 5.0), ("a", 900, 2.0)], "key string, tokens bigint, n double"), {"a": (250.0, 2.5, 3.0)})
+
+
+def test_shares_end_within_one_document(spark):
+    """Few and long documents: what stays open is less than the shortest document that could still have had a copy."""
+    docs = [(i, "word " * n, s) for s, shift in (("few", 0), ("many", 1000), ("zero", 5000)) for i, n in ((shift + j, 1 + (j * 7919) % (400 if s == "few" else 60)) for j in range(30 if s == "few" else 900))]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("few", 0.11, 2), ("many", 0.89, 3), ("zero", 0.0, 4)], "source string, target_share double, max_repeats int")
+    copies, report = X.mix(documents, targets)
+    rows, by = copies.collect(), {r.source: r for r in report.collect()}
+    total = sum(r.tokens for r in by.values())
+    assert by["zero"].mixed_tokens == 0 and all(r.feasible for r in by.values())
+    for s in ("few", "many"):
+        left = by[s].target_share * total - by[s].mixed_tokens
+        open_ = [r.tokens for r in rows if r.key == s and r.copies < r.rate]
+        assert 0 <= left < min(open_), s
+        tilted = sorted({(r.tokens, r.rate) for r in rows if r.key == s})
+        assert len({round(w, 9) for _, w in tilted}) > 1
