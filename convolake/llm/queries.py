@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convolake.tables import read
@@ -20,6 +20,19 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(long, "id", "text").withColumnRenamed("id", "message_id")
 
 
+def p1_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of each message are numbered from 0 without a gap, cover its trimmed text, and keep limit and overlap."""
+    rows = splitting.split_oversized(read(spark, d, "messages"), "id", "text").select(F.col("id").alias("message_id"), "piece_no", "start_pos", F.length("piece").alias("n")).distinct()
+    by = Window.partitionBy("message_id").orderBy("piece_no")  # the pieces of one text
+    end = F.col("start_pos") + F.col("n") - 1
+    shared = F.lag(end).over(by) - F.col("start_pos") + 1
+    rows = rows.withColumns({"end": end, "shared": F.coalesce(shared, F.when(F.col("start_pos") == 1, 0))})
+    return rows.groupBy("message_id").agg(
+        F.max("end").alias("n_chars"), (F.max("piece_no") + 1 == F.count(F.lit(1))).alias("numbered"), F.coalesce(F.min("shared") >= 0, F.lit(False)).alias("covered"),
+        (F.max("n") <= splitting.LIMIT).alias("within_limit"), (F.max("shared") <= splitting.OVERLAP).alias("within_overlap"),
+    )
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.dropped(read(spark, d, "oc_message"), read(spark, d, "oc_part"))
 
@@ -73,7 +86,7 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_conversations, p3_found, p3_masked, p6_ids, p6_offsets, p6_decoded, p7_found, p7_mix, p7_report, p8_found, p8_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_conversations, p3_found, p3_masked, p6_ids, p6_offsets, p6_decoded, p7_found, p7_mix, p7_report, p8_found, p8_units)}
 
 _TURNS = """
 WITH m AS (
@@ -103,6 +116,7 @@ WITH m AS (
 
 SQL = {
     "p1_found": r"SELECT DISTINCT id AS message_id FROM messages WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1600",
+    "p1_cover": r"SELECT DISTINCT id AS message_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS n_chars, true AS numbered, true AS covered, true AS within_limit, true AS within_overlap FROM messages WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1600",
     "p2_found": _TURNS + "SELECT DISTINCT session_id FROM k WHERE session_id NOT IN (SELECT session_id FROM good)",
     "p2_conversations": _TURNS + "SELECT session_id, turn_no, role, at_ms, message_id, part_id, text FROM t JOIN good USING (session_id) JOIN p ON p.message_id = t.id",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

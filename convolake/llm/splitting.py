@@ -1,8 +1,8 @@
 """Splitting oversized texts at natural boundaries, with overlap, by pointer doubling.
 
 Every place where a text may be cut is a boundary: after a blank line, a line break, the end of a sentence, white space,
-and between characters of scripts without spaces; where none of these comes for a while, every STRIDE characters. For
-*every* boundary, taken as the start of a piece, a sorted search joins the farthest legal end (the best kind of boundary
+and between characters of scripts without spaces; where none of these comes for a while, every STRIDE characters, and as a
+last resort, which splits a character from its marks, every STRIDE characters wherever they fall. For *every* boundary, taken as the start of a piece, a sorted search joins the farthest legal end (the best kind of boundary
 within the limit) and from it the start of the next piece, at most `overlap` characters before that end. This table
 of successors is then squared again and again: after k squarings it leads 2^k pieces ahead, and the starts that are
 reached double each time, so a text of n pieces takes log2(n) vectorised steps and no walk from piece to piece.
@@ -30,7 +30,11 @@ _STOPS = np.array([ord(c) for c in ".!?…。！？｡؟۔।॥;；"], np.uint3
 _WIDE_STOPS = np.array([ord(c) for c in "。！？｡…"], np.uint32)
 _CLOSERS = np.array([ord(c) for c in "\"')]}»”’」』）】"], np.uint32)
 _SPACELESS = ((0x0E00, 0x0E80), (0x3040, 0x3100), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x32000))
-_COMBINING = ((0x0300, 0x0370), (0x0E31, 0x0E32), (0x0E34, 0x0E3B), (0x0E47, 0x0E4F), (0x200D, 0x200E), (0xFE00, 0xFE10), (0x1F3FB, 0x1F400), (0x3001, 0x3003), (0xFF0C, 0xFF0D))
+_COMBINING = ((0x0300, 0x0370), (0x0E31, 0x0E32), (0x0E34, 0x0E3B), (0x0E47, 0x0E4F), (0x200D, 0x200E), (0xFE00, 0xFE10), (0x1F3FB, 0x1F400))
+#: No piece begins with these where it can be helped.
+_TRAILING = np.array([ord(c) for c in "、。，"], np.uint32)
+#: Characters of an Arrow batch of pieces.
+BATCH_CHARS = 4_000_000
 
 
 def _within(c: np.ndarray, ranges: tuple) -> np.ndarray:
@@ -40,11 +44,12 @@ def _within(c: np.ndarray, ranges: tuple) -> np.ndarray:
     return out
 
 
-def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(text: str, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(position, kind) of every boundary, ascending. A position is where a piece may begin and the one before it end.
 
     Kinds: 4 after a blank line, 3 after a line break, 2 after a sentence, 1 after white space or beside a character of a
-    script without spaces, 0 elsewhere. 0 and len(text) are always there.
+    script without spaces, 0 at multiples of stride, -1 there too if a character would be split from its marks or a piece
+    begin with a comma. 0 and len(text) are always there, so no two boundaries lie farther apart than stride.
     """
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(c)
@@ -56,7 +61,7 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
         before, after = c[:-1], c[1:]
         gap = space[:-1] & ~space[1:]  # the piece begins after all of the white space
         spaceless = _within(before, _SPACELESS) | _within(after, _SPACELESS)
-        joined = _within(after, _COMBINING) | (before == 0x200D)
+        joined = _within(after, _COMBINING) | (before == 0x200D) | np.isin(after, _TRAILING)
         kind[1:n][gap | (spaceless & ~joined & ~space[1:])] = 1
         stop = np.isin(c, _STOPS)
         closer = np.isin(c, _CLOSERS)
@@ -72,7 +77,8 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
         since = breaks[:-1] - np.where(last >= 0, breaks[np.maximum(last, 0)], 0)
         kind[1:n][gap & (since == 1)] = 3
         kind[1:n][gap & (since >= 2)] = 4
-        grid = (inner % STRIDE == 0) & ~joined
+        grid = inner % stride == 0
+        kind[1:n][grid & joined & (kind[1:n] == 0)] = -1
         keep = (kind[1:n] > 0) | grid
         at = np.concatenate([[0], inner[keep], [n]])
     else:
@@ -86,9 +92,9 @@ def successors(at: np.ndarray, kind: np.ndarray, limit: int, overlap: int) -> tu
     m = len(at)
     me = np.arange(m)
     far = np.searchsorted(at, at + limit, "right") - 1
-    end = np.where(far > me, far, np.minimum(me + 1, m - 1))
+    end = far  # a boundary comes within every stride, so this is one within the limit
     chosen = far == m - 1  # the rest fits
-    for level in (4, 3, 2, 1):
+    for level in (4, 3, 2, 1, 0):
         of = np.flatnonzero(kind >= level)
         best = of[np.searchsorted(of, far, "right") - 1]
         least = at + limit * REACH.get(level, 0)
@@ -112,14 +118,9 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     """(start, end) of the greedy pieces of text, all derived at once by doubling the table of successors."""
     if overlap >= limit or limit < 1 or overlap < 0:
         raise ValueError("0 <= overlap < limit is needed")
-    at, kind = boundaries(text)
+    at, kind = boundaries(text, min(STRIDE, limit))
     if len(at) < 2:
         return []
-    if limit < 2 * STRIDE:  # boundaries everywhere, so that a piece can't exceed a tiny limit
-        every = np.arange(len(text) + 1)
-        full = np.zeros(len(every), np.int8)
-        full[at] = kind
-        at, kind = every, full
     end, jump = successors(at, kind, limit, overlap)
     last = len(at) - 1
     reached = np.zeros(len(at), bool)
@@ -150,12 +151,20 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, over
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = [key, "piece_no", "start_pos", "piece"], [None, pa.int32(), pa.int64(), pa.string()]
         for batch in batches:
-            for row in range(batch.num_rows):  # one text at a time: its pieces are as large as it is
-                t = batch.column(1)[row].as_py()
-                cut = pieces(t, limit, overlap)
-                ids = pa.array([batch.column(0)[row].as_py()] * len(cut), batch.schema.field(0).type)
-                columns = [ids, *(pa.array(v, k) for v, k in zip(([*range(len(cut))], [s + 1 for s, _ in cut], [t[s:e] for s, e in cut]), kinds[1:]))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            kinds[0] = batch.schema.field(0).type
+            out: list[list] = [[], [], [], []]
+            size = 0
+            for row in range(batch.num_rows):
+                t, of = batch.column(1)[row].as_py(), batch.column(0)[row].as_py()
+                for n, (s, e) in enumerate(pieces(t, limit, overlap)):
+                    for column, value in zip(out, (of, n, s + 1, t[s:e])):
+                        column.append(value)
+                    size += e - s
+                    if size >= BATCH_CHARS:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+                        out, size = [[], [], [], []], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
     kind = df.schema[key].dataType.simpleString()
     long = df.where(oversized(F.col(text), limit)).select(key, F.btrim(F.col(text), F.lit(TRIMMED)).alias("__text"))

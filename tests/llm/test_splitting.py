@@ -7,9 +7,7 @@ from convolake.llm import splitting as S
 
 def walk(text, limit, overlap):
     """The same cuts, found by walking from piece to piece."""
-    at, kind = S.boundaries(text)
-    if limit < 2 * S.STRIDE:
-        return None
+    at, kind = S.boundaries(text, min(S.STRIDE, limit))
     end, after = S.successors(at, kind, limit, overlap)
     out, i = [], 0
     while i < len(at) - 1:
@@ -38,8 +36,19 @@ def test_cuts_hold_and_equal_a_walk():
         text = "".join(rng.choice(["word ", "a", "é", ". ", "\n", "\n\n", "漢。", "ไทย", "x" * 90]) for _ in range(rng.randint(0, 400)))
         for limit, overlap in ((200, 40), (1600, 200), (10, 3), (1, 0)):
             cuts = check(text, limit, overlap)
-            if (w := walk(text, limit, overlap)) is not None:
-                assert cuts == w
+            assert cuts == walk(text, limit, overlap)
+
+
+def test_marks_and_commas_never_exceed_the_limit():
+    for text in ("a" + "\u0301" * 5000, "、" * 5000, "ก" + "\u0e34" * 5000, "\u200d" * 5000, "，。" * 3000, "🏽" * 4000, "x" + "\ufe0f" * 4321 + " y"):
+        for limit, overlap in ((1600, 200), (79, 20), (41, 3), (7, 0)):
+            assert check(text, limit, overlap) == walk(text, limit, overlap)
+    rng = random.Random(8)
+    for _ in range(40):
+        text = "".join(rng.choice(["\u0301", "、", "，", "\u200d", "e", " ", "\u0e34"]) * rng.randint(1, 900) for _ in range(rng.randint(1, 9)))
+        for limit, overlap in ((1600, 200), (120, 50), (5, 4)):
+            check(text, limit, overlap)
+    assert not any(S.pieces("e\u0301" * 3000)[i][0] % 2 for i in range(3))  # a mark stays with its letter where it can
 
 
 def test_natural_boundaries_come_first():
