@@ -43,7 +43,7 @@ _SPACELESS = "\u0e01-\u0e5b\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uff00-\uffef\
 _GREEK = "\u0370-\u03ff\u1f00-\u1fff"
 _W = r"[\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]"
 _BREAK = r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])"
-_MARKER = r"[ \t]{0,12}(?:[-*+•‣◦]|\d{1,4}[.)])[ \t]"
+_MARKER = r"[ \t]*+(?:[-*+•‣◦]|\d{1,9}[.)])[ \t]"
 
 
 def _trie(words: list[str]) -> str:
@@ -72,12 +72,13 @@ def _capital(words: list[str]) -> list[str]:
 
 # ---------------------------------------------------------------- blocks
 
-#: A fence to its end (or the text's), a blank line, a heading line, a list after a blank line; each becomes a block.
+#: A fence to its end (or the text's), a blank line, a heading line, a list after a blank line (where the last match ended); each becomes a block.
+#: Groups repeat possessively here and below, as Java walks those in a loop: greedy ones recur and overflow the stack on long texts.
 BLOCKS = (
     r"(?ms)^(?:[ \t]{0,3}(?:```|~~~).*?(?:^[ \t]{0,3}(?:```|~~~)[ \t]*$|\z)"
     rf"|[ \t\x{{a0}}\x{{3000}}]*{_BREAK}"
     r"|[ \t]{0,3}#{1,6}[ \t][^\n\r]*"
-    rf"|(?<=\A|\n[ \t]{{0,9}}\r?\n|```\n|```\r\n|[:：]\n|[:：]\r\n){_MARKER}[^\n\r]*(?:{_BREAK}(?![ \t]*[\n\r]|[ \t]{{0,3}}(?:```|~~~|#{{1,6}}[ \t]))[^\n\r]+)*)"
+    rf"|(?:\G|(?<=```\n|```\r\n|~~~\n|~~~\r\n|[:：]\n|[:：]\r\n)){_MARKER}[^\n\r]*(?:{_BREAK}(?![ \t]*[\n\r]|[ \t]{{0,3}}(?:```|~~~|#{{1,6}}[ \t]))[^\n\r]+)*+)"
 )
 
 
@@ -100,14 +101,15 @@ _NEXT = rf"(?!{_LOWER_WORD})(?![—–\-]{_W})(?![,;:)\]\ue010\ue030-\ue038])[^\
 _NEXT_SURE = rf"(?:[\p{{Lu}}\p{{Lt}}\p{{N}}\p{{So}}{_OPEN}‘„¿¡#`]|\p{{Ll}}+[_/{MASK}(\d])"
 
 
-QUOTED = '"([^"]{0,600})"'
-GERMAN = f"„([^„{MARK['“']}{MARK['”']}]{{0,600}})[{MARK['“']}{MARK['”']}]"
-SINGLE = r"(?<![\p{L}\p{N}])‘([^‘’]{0,400})’(?!\p{L})"
-#: The last stop in a bracket that stands inside a sentence.
+#: Quotations and brackets have no length at which they end: possessive classes read each once, up to the next mark of their kind.
+QUOTED = '"([^"]*+)"'
+GERMAN = f"„([^„{MARK['“']}{MARK['”']}]*+)[{MARK['“']}{MARK['”']}]"
+SINGLE = r"(?<![\p{L}\p{N}])‘([^‘’]*+)’(?!\p{L})"
+#: The stops in a bracket that stands inside a sentence and has one at its end; from one such stop to the next.
 _ROUND, _UNROUND = f"(\\[{MARK['（']}", f")\\]{MARK['）']}"
-ASIDE = rf"([{_ROUND}])(?<=[^{_STOPS}\s{_CLOSE}]\s{{0,2}}.)([^{_ROUND}{_UNROUND}]{{0,400}})[{_STOPS}]([{_UNROUND}])"
-#: A stop between an opening and a closing mark, unless it is the last before the latter; from one such stop to the next.
-INSIDE = rf"((?:[{_OPEN}](?=[^{_OPEN}{_CLOSE}]{{0,600}}+[{_CLOSE}])|\G(?!\A))[^{_OPEN}{_CLOSE}{_STOPS};]*+)[{_STOPS};](?![{_STOPS}\s]*[{_CLOSE}])"
+ASIDE = rf"((?:[{_ROUND}](?<=[^{_STOPS}\s{_CLOSE}]\s{{0,2}}.)(?=[^{_ROUND}{_UNROUND}]*+(?<=[{_STOPS}])[{_UNROUND}])|\G(?!\A))[^{_ROUND}{_UNROUND}{_STOPS}]*+)[{_STOPS}]"
+#: A stop between an opening and a closing mark, unless it is the last one and stands before the latter; from one such stop to the next.
+INSIDE = rf"((?:[{_OPEN}](?=[^{_OPEN}{_CLOSE}]*+[{_CLOSE}])|\G(?!\A))[^{_OPEN}{_CLOSE}{_STOPS};]*+)[{_STOPS};](?!\s*+[{_CLOSE}])"
 #: A blank was left out after the stop: a word or number before it, a capitalised word after it.
 _NO_BLANK = rf"(?<=(?:\p{{Ll}}{{2}}|[\d%){MARK['»']}{CLOSE}])[.!?])(?=\p{{Lu}}\p{{Ll}}*[ ,])"
 _WHOLE = r"(?<![\p{L}\p{N}\p{M}_])"
@@ -121,40 +123,51 @@ NO_END = (
     rf"|(?<={_SINGLE}[\p{{Lu}}г]\.)|(?<={_SINGLE}(?<=(?<!\p{{L}})\p{{L}}[.]\s)\p{{Ll}}(?<!т[.]\s[дп])\.)|(?=\s\p{{Lu}}\.)(?<={_SINGLE}\p{{Ll}}\.)"
     rf"|(?=\s(?:{MONTHS})(?!\p{{L}}))(?<=(?<![\p{{N}}.,])\d{{1,2}}\.)))"
 )
+#: Each run of stops is read once, from its first.
 _FULL = f".!?{MARK['।']}{MARK['؟']}"
 ENDS = (
-    rf"(?=[{_NARROW}])(?:([{_NARROW}]*[{_FULL}](?<!\.\.\.)[)\]]*)(?={_W}+{_NEXT})"
-    rf"|((?:{_DOTS}|\.\.\.)+[)\]]*)(?={_W}+{_NEXT_SURE})"
-    rf"|([{_NARROW}]+{_W}?[\ue030-\ue032{CLOSE}]+[)\]]*)(?={_W}+{_NEXT_SURE})"
+    rf"(?=[{_NARROW}])(?<![{_NARROW}])(?:([{_NARROW}]++(?<=[{_FULL}])(?<!\.\.\.)[)\]]*)(?={_W}++{_NEXT})"
+    rf"|([{_NARROW}]++(?<={_DOTS}|\.\.\.)[)\]]*)(?={_W}++{_NEXT_SURE})"
+    rf"|([{_NARROW}]++{_W}?[\ue030-\ue032{CLOSE}]+[)\]]*)(?={_W}+{_NEXT_SURE})"
     rf"|([.!?]){_NO_BLANK})"
 )
-GREEK_QUESTION = rf"([;\x{{37e}}])(?<=[{_GREEK}][^.!?;]{{0,80}}.)(?={_W}+{_NEXT})"
-_GOES_ON = rf"\s*(?:[と、，,{MARK['。']}]|って|という|を|が|は|の|に|も|で|など|这|這|的|之|是|吗|嗎|[^{_WIDE}]{{0,24}}(?:问道|問道|说道|說道|写道|回答|喊道|问|說|说)(?:[{_WIDE}]|\s|$))"
-WIDE = rf"({_DOTS}*+[{_WIDE}][{_WIDE}{_DOTS}!?]*+[)\]\ue035\ue036]*+)(?![)\]\ue032-\ue038]|\s*$)"
-WIDE_QUOTE = rf"([{_DOTS}!?]*[{_WIDE}][{_WIDE}{_DOTS}!?]*+[\ue032-\ue034{CLOSE}]++)(?!{_GOES_ON}|\s*$)"
+#: What lies between two stops is Greek if it holds a Greek letter.
+GREEK_QUESTION = rf"((?:\A|(?<=[.!?;\x{{37e}}]))[^.!?;\x{{37e}}{_GREEK}]*+[{_GREEK}][^.!?;\x{{37e}}]*+)([;\x{{37e}}])(?={_W}+{_NEXT})"
+_SAID = "(?<=问道|問道|说道|說道|写道|回答|喊道|问|說|说)"
+_GOES_ON = rf"\s*(?:[と、，,{MARK['。']}]|って|という|を|が|は|の|に|も|で|など|这|這|的|之|是|吗|嗎|[^{_WIDE}]*+{_SAID}(?:[{_WIDE}]|$)|[^{_WIDE}\s]*+{_SAID}\s)"
+WIDE = rf"(?<![{_WIDE}{_DOTS}])({_DOTS}*+[{_WIDE}][{_WIDE}{_DOTS}!?]*+[)\]\ue035\ue036]*+)(?![)\]\ue032-\ue038]|\s*$)"
+WIDE_QUOTE = rf"(?<![{_WIDE}{_DOTS}!?])([{_DOTS}!?]*+[{_WIDE}][{_WIDE}{_DOTS}!?]*+[\ue032-\ue034{CLOSE}]++)(?!{_GOES_ON}|\s*$)"
 THAI_BLANK = rf"([{_THAI}])(?=[ \x{{a0}}]+[{_THAI}])"
-#: A line break beside such a script, or between two lines that hold some of it.
-SPACELESS_BREAK = rf"(?={_BREAK})(?:(?<=[{_SPACELESS}][ \t]{{0,9}})|(?={_BREAK}[ \t]*[{_OPEN}‘]*[{_SPACELESS}])|(?<=[{_SPACELESS}][^\n\r]{{0,60}})(?={_BREAK}[^\n\r]{{0,60}}[{_SPACELESS}]))"
+#: A line break after such a script or before it, or between two lines that hold some of it. The first step marks the ends of
+#: lines that hold some, as Java looks back only over bounded lengths; the last takes the marks that are left away.
+_HELD = "\ue002"
+BREAKS = (
+    (rf"([{_SPACELESS}][ \t]*+)(?={_BREAK})", f"$1{CUT}"),
+    (rf"(?={_BREAK}[ \t]*+[{_OPEN}‘]*+[{_SPACELESS}])", CUT),
+    (rf"([{_SPACELESS}][^\n\r]*+)", f"$1{_HELD}"),
+    (rf"{_HELD}(?={_BREAK}[^\n\r{_SPACELESS}]*+[{_SPACELESS}])", CUT),
+    (_HELD, ""),
+)
 
 #: (what a text must hold: any of these, pattern, replacement), in order; the tests are searches for bytes.
 STEPS = (
     (['"'], QUOTED, f"{OPEN}$1{CLOSE}"),
     (["„"], GERMAN, f"{OPEN}$1{CLOSE}"),
     (["‘"], SINGLE, f"{OPEN}$1{CLOSE}"),
-    (["(", MARK["（"], "["], ASIDE, f"$1$2{MASK}$3"),
+    (["(", MARK["（"], "["], ASIDE, f"$1{MASK}"),
     (rf"[{_CLOSE}]", INSIDE, f"$1{MASK}"),
     (["."], NO_END, MASK),
     (None, ENDS, f"$1$2$3$4{CUT}"),
-    ([";", "\u037e"], GREEK_QUESTION, f"$1{CUT}"),
+    ([";", "\u037e"], GREEK_QUESTION, f"$1$2{CUT}"),
     (rf"[{_WIDE}]", WIDE, f"$1{CUT}"),
     (rf"[{_WIDE}]", WIDE_QUOTE, f"$1{CUT}"),
 )
 #: Only where some character is not ASCII.
-BEYOND_ASCII = (("Thai", THAI_BLANK, f"$1{CUT}"), ("breaks", SPACELESS_BREAK, CUT))
+BEYOND_ASCII = (("wide", THAI_BLANK, f"$1{CUT}"), *(("broken", pattern, to) for pattern, to in BREAKS))
 
 #: The white space of Unicode.
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-FENCE, HEADING = r"^\s{0,3}(?:```|~~~)", r"^[ \t]{0,3}#{1,6}[ \t]"
+FENCE, HEADING = r"\A\s{0,3}(?:```|~~~)", r"\A[ \t]{0,3}#{1,6}[ \t]"
 
 
 def _offsets(pieces: Column) -> Column:
@@ -177,8 +190,9 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     source = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).where(F.col("__text").rlike(r"\P{IsWhite_Space}"))
     rows = _explode(source.select("__key", blocks(F.col("__text")).alias("bs")), "bs", ("block", "before")).where(F.col("block").rlike(r"\P{IsWhite_Space}"))
-    b, head = F.col("block"), F.substring("block", 1, 32)
-    rows = rows.withColumn("kind", F.when(head.rlike(FENCE) | head.rlike(HEADING), 0).when(head.rlike("^" + _MARKER), 1).otherwise(2)).withColumn("m", F.when(F.octet_length(b) > F.length(b), F.translate(b, MARKS_FROM, MARKS_TO)).otherwise(b))
+    b = F.col("block")
+    head = F.substring(F.ltrim(b, F.lit(" \t")), 1, 16)  # what begins the block, however far it is indented
+    rows = rows.withColumn("kind", F.when(b.rlike(FENCE) | b.rlike(HEADING), 0).when(head.rlike(r"\A" + _MARKER), 1).otherwise(2)).withColumn("m", F.when(F.octet_length(b) > F.length(b), F.translate(b, MARKS_FROM, MARKS_TO)).otherwise(b))
     prose = F.col("kind") == 2
     wide = prose & (F.octet_length("m") > F.length("m"))
     rows = rows.withColumns({"prose": prose, "wide": wide, "broken": wide & F.btrim("m").rlike(r"[\n\r\x{85}\x{2028}\x{2029}]")})
@@ -188,7 +202,7 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
             test &= m.rlike(holds) if isinstance(holds, str) else reduce(or_, (m.contains(h) for h in holds))
         rows = rows.withColumn("m", F.when(test, _sub(m, pattern, to)).otherwise(m))
     for which, pattern, to in BEYOND_ASCII:
-        rows = rows.withColumn("m", F.when(F.col("wide" if which == "Thai" else "broken"), _sub(F.col("m"), pattern, to)).otherwise(F.col("m")))
+        rows = rows.withColumn("m", F.when(F.col(which), _sub(F.col("m"), pattern, to)).otherwise(F.col("m")))
     items = _sub(F.col("m"), rf"(?={_BREAK}{_MARKER})", CUT)
     rows = rows.withColumn("us", F.split(F.when(F.col("kind") == 1, items).otherwise(F.col("m")), CUT)).drop("m", "kind", "prose", "wide", "broken")
     found = _explode(rows, "us", ("u", "inside"))

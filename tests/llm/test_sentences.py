@@ -66,3 +66,25 @@ def test_odd_rows(spark):
     assert set(got) == {4, 5, 6, 7, 8, None}
     assert sorted(got[4]) == [1, 6] and len(got[5]) == 20_000 and sorted(got[6]) == [1, 1, 8, 8]
     assert sentence_units(spark.createDataFrame(rows, "doc_id bigint, text string").limit(0), "doc_id", "text").count() == 0
+
+
+def test_no_length_changes_what_a_mark_means(spark):
+    """Quotations, brackets, lists, runs of marks and lines of any length: units as if they were short, and no stack overflows."""
+    inner = "It ran. It stopped! "
+    texts = {}
+    for i, n in enumerate((1, 40, 600)):  # 20 to 12,000 characters
+        for j, (a, b) in enumerate((('"', '"'), ("„", "“"), ("«", "»"), ("‘", "’"), ("“", "”"), (" (", ")"))):
+            texts[10 * i + j] = f"The note says {a}{(inner * n).strip()}{b} and goes on. Then more."
+    texts[100] = "Ο δείκτης " + "χάνει " * 500 + "γραμμές; Ναι."
+    texts[101] = "“这样行吗？”" + "第二位评审" * 40 + "问道。真的吗？"
+    texts[102] = "漢 " + "x" * 500 + "\n" + "y" * 500 + " 漢"
+    texts[103] = " " * 30 + "- one. Two.\n" + " " * 30 + "- three\n\n" + " " * 40 + "\n" + " " * 40 + "1234567. four. Five"
+    texts[104] = "\n".join(f"- item {n}" for n in range(20_000))
+    texts[105] = "." * 50_000 + " X. Y"
+    texts[106] = "It" + " or-on" * 3 + "-on" * 50_000 + ". Then."
+    got: dict = {}
+    for r in sentence_units(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), "doc_id", "text").collect():
+        got.setdefault(r.doc_id, []).append(r.start_pos)
+    for i in (0, 1, 2):
+        assert [sorted(got[10 * i + j]) for j in range(6)] == [[1, texts[10 * i + j].index("Then") + 1] for j in range(6)]
+    assert [len(got[i]) for i in (100, 101, 102, 103, 104, 106)] == [2, 2, 2, 3, 20_000, 2]
