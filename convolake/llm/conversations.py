@@ -11,11 +11,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from convolake.session import cut
 
@@ -42,24 +40,30 @@ def _refuse(constant: str) -> None:
     raise ValueError(constant)
 
 
-_READ = T.StructType([T.StructField("whole", T.BooleanType()), T.StructField("role", T.StringType()), T.StructField("has_role", T.BooleanType()), T.StructField("parent", T.StringType())])
+READ = "session_id string, id string, at_ms bigint, role string, damaged boolean, parent string"
 
 
-@F.pandas_udf(_READ)
-def read_message(data: pd.Series) -> pd.DataFrame:
-    """Whether data is one whole JSON object; its role in lower case, whether it has one, and the message it answers."""
-    rows = []
-    for text in data:
-        try:
-            value = json.loads(text, parse_constant=_refuse) if text is not None else None
-        except (ValueError, RecursionError):
-            value = None
-        if isinstance(value, dict):
-            role, parent = value.get("role"), value.get("parentID")
-            rows.append((True, role.lower() if isinstance(role, str) else None, role is not None, parent if isinstance(parent, str) else None))
-        else:
-            rows.append((False, None, False, None))
-    return pd.DataFrame(rows, columns=["whole", "role", "has_role", "parent"])
+def read_messages(messages: DataFrame) -> DataFrame:
+    """READ of each row with a session: its role in lower case, the message it answers, and whether its data isn't one whole JSON object with a role."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roles, damaged, parents = [], [], []
+            for text in batch.column(3).to_pylist():
+                try:
+                    value = json.loads(text, parse_constant=_refuse) if text is not None else None
+                except (ValueError, RecursionError):
+                    value = None
+                value = value if isinstance(value, dict) else {}
+                role, parent = value.get("role"), value.get("parentID")
+                roles.append(role.lower() if isinstance(role, str) else None)
+                damaged.append(role is None)
+                parents.append(parent.encode("utf-8", "replace").decode() if isinstance(parent, str) else None)
+            roles = [r if r in ROLES else None for r in roles]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(roles, pa.string()), pa.array(damaged, pa.bool_()), pa.array(parents, pa.string())], [x.split()[0] for x in READ.split(", ")])
+
+    rows = messages.where("session_id IS NOT NULL").select("session_id", "id", millis(F.col("time_created")).alias("at_ms"), "data")
+    return rows.mapInArrow(run, READ)
 
 
 def millis(c: Column) -> Column:
@@ -76,26 +80,20 @@ def text_parts(parts: DataFrame) -> DataFrame:
 
 
 def rows_of_sessions(messages: DataFrame, parts: DataFrame) -> DataFrame:
-    """(session_id, at_ms, id, role, symbol): each message of a session once, with what it means to the automaton."""
-    read = (
-        messages.where("session_id IS NOT NULL")
-        .select("session_id", "id", "time_created", "data")
-        .distinct()
-        .select("session_id", "id", millis(F.col("time_created")).alias("at_ms"), read_message("data").alias("m"))
-        .select("session_id", "id", "at_ms", "m.*")
-    )
+    """(session_id, at_ms, id, role, symbol): each message of a session once, with what it means to the automaton.
+
+    Data are parsed once, before repeated rows are dropped, so that only short columns move; those are kept in the shared folder. A
+    parent that no row of the session carries becomes a row of its own that breaks the session; only rows that name one are looked at,
+    by session and message, so that no session's rows meet at one key.
+    """
+    read = cut(read_messages(messages).distinct())
     spoken = text_parts(parts).select(F.col("message_id").alias("id")).distinct().withColumn("spoken", F.lit(True))
-    # a parent that no row of the session carries; distinct first, as many rows may name one parent
     named = read.where("parent IS NOT NULL").select("session_id", F.col("parent").alias("id")).distinct()
-    lost = named.join(read.select("session_id", "id").where("id IS NOT NULL").distinct(), ["session_id", "id"], "left_anti").select("session_id", F.col("id").alias("parent"), F.lit(True).alias("lost"))
-    joined = read.join(spoken, "id", "left").join(lost, ["session_id", "parent"], "left")
-    symbol = (
-        F.when(~F.col("whole") | ~F.col("has_role") | F.col("lost").isNotNull(), DAMAGE)
-        .when(F.col("spoken").isNotNull() & F.col("role").isin([r for r, s in ROLES.items() if s == USER]), USER)
-        .when(F.col("spoken").isNotNull() & F.col("role").isin([r for r, s in ROLES.items() if s == ASSISTANT]), ASSISTANT)
-        .otherwise(OTHER)
-    )
-    return joined.select("session_id", "at_ms", "id", "role", symbol.alias("symbol"))
+    there = read.where("id IS NOT NULL").select("session_id", "id").distinct()
+    lost = named.join(there, ["session_id", "id"], "left_anti").select("session_id", F.lit(None).cast("bigint").alias("at_ms"), "id", F.lit(None).cast("string").alias("role"), F.lit(DAMAGE).alias("symbol"))
+    by_role = [F.col("role").isin([r for r, s in ROLES.items() if s == symbol]) for symbol in (USER, ASSISTANT)]
+    symbol = F.when(F.col("damaged"), DAMAGE).when(F.col("spoken") & by_role[0], USER).when(F.col("spoken") & by_role[1], ASSISTANT).otherwise(OTHER)
+    return read.join(spoken, "id", "left").select("session_id", "at_ms", "id", "role", symbol.alias("symbol")).unionByName(lost)
 
 
 STRETCHES = "session_id string, part int, first_at bigint, first_id string, turns bigint, f int"

@@ -1,14 +1,16 @@
 """Encoding a corpus with a public byte-level BPE tokenizer, and decoding it again.
 
-Texts travel as Arrow batches. A text is first cut into the pre-tokens of the vocabulary's own pattern; no merge ever
-crosses their borders, so the ids of a text are those of its pre-tokens one after another. Each distinct pre-token of
-a worker's recent input is encoded once by the tokenizers library and kept in a bounded dictionary.
+Texts travel as Arrow batches. Where the file's own pre-tokenizer is that of PATTERN and nothing is normalised, a text is
+first cut into its pre-tokens; no merge ever crosses their borders, so the ids of a text are those of its pre-tokens one after
+another. Each distinct pre-token of a worker's recent input is encoded once by the tokenizers library and kept in a bounded
+dictionary. Texts of any other tokenizer file are encoded whole by the library.
 
 A null or an empty text has the empty list of ids. Strings that look like special tokens are plain text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import accumulate, chain
@@ -42,7 +44,12 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.split = regex.compile(PATTERN).findall
+        about = json.loads(self.lib.to_str())
+        own = about.get("pre_tokenizer") or {}
+        #: Whether texts may be cut by PATTERN, and whether tokens are spelled in the byte table.
+        self.bytewise = own.get("type") == "ByteLevel" and not own.get("add_prefix_space")
+        by_pattern = self.bytewise and own.get("use_regex", True) and not about.get("normalizer") and not about.get("truncation") and not about.get("padding")
+        self.split = regex.compile(PATTERN).findall if by_pattern else None
         self.ids_of: dict[str, tuple[int, ...]] = {}
         self.size_of: dict[str, int] = {}
         self._bytes: dict[int, bytes] | None = None
@@ -62,6 +69,9 @@ class Encoder:
             if not text:
                 yield []
                 continue
+            if self.split is None:
+                yield self.lib.encode(text, add_special_tokens=False).ids
+                continue
             words = self.split(text)
             try:
                 yield list(chain.from_iterable(map(self.ids_of.__getitem__, words)))
@@ -78,6 +88,9 @@ class Encoder:
             if not text:
                 yield 0
                 continue
+            if self.split is None:
+                yield len(self.lib.encode(text, add_special_tokens=False).ids)
+                continue
             words = self.split(text)
             try:
                 yield sum(map(self.size_of.__getitem__, words))
@@ -100,6 +113,9 @@ class Encoder:
         """The first character of each token, and the one after its last; a token with a part of a character covers it."""
         if not ids:
             return [], []
+        if not self.bytewise:
+            spans = self.lib.encode(text, add_special_tokens=False).offsets
+            return [a for a, _ in spans], [b for _, b in spans]
         ends = np.fromiter(accumulate(len(self.bytes_of()[i]) for i in ids), np.int64, len(ids))
         raw = np.frombuffer(text.encode(), np.uint8)
         char = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
@@ -108,6 +124,8 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids. Bytes that make no whole character, as at the ends of a slice, become U+FFFD."""
+        if not self.bytewise:
+            return self.lib.decode(ids, skip_special_tokens=False)
         table = self.bytes_of()
         return b"".join(table[i] for i in ids).decode("utf-8", "replace")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convolake.tables import read
 
-from . import conversations, encoding, mixing, pii, sentences, splitting
+from . import conversations, encoding, mixing, nearest_time, pii, sentences, splitting
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +52,10 @@ def p3_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.mask_texts(read(spark, d, "messages"), "id", "text", read(spark, d, "contributors"), "a key of the caller's own").withColumnRenamed("id", "message_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_time.nearest_windows(read(spark, d, "commits"), read(spark, d, "thread_windows")).select("sha", "thread_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(read(spark, d, "documents"), "doc_id", "text")
 
@@ -86,7 +90,7 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_conversations, p3_found, p3_masked, p6_ids, p6_offsets, p6_decoded, p7_found, p7_mix, p7_report, p8_found, p8_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_conversations, p3_found, p3_masked, p5_found, p6_ids, p6_offsets, p6_decoded, p7_found, p7_mix, p7_report, p8_found, p8_units)}
 
 _TURNS = """
 WITH m AS (
@@ -119,5 +123,19 @@ SQL = {
     "p1_cover": r"SELECT DISTINCT id AS message_id, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS n_chars, true AS numbered, true AS covered, true AS within_limit, true AS within_overlap FROM messages WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 1600",
     "p2_found": _TURNS + "SELECT DISTINCT session_id FROM k WHERE session_id NOT IN (SELECT session_id FROM good)",
     "p2_conversations": _TURNS + "SELECT session_id, turn_no, role, at_ms, message_id, part_id, text FROM t JOIN good USING (session_id) JOIN p ON p.message_id = t.id",
+    "p5_found": """
+WITH latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY indexed_at DESC) AS rn FROM thread_windows) WHERE rn = 1
+), w AS (
+  SELECT thread_id, regexp_replace(trim(project_key), '/+$', '') AS k, start_ts AS s, end_ts AS e FROM latest
+  WHERE start_ts IS NOT NULL AND end_ts IS NOT NULL AND project_key IS NOT NULL
+), c AS (
+  SELECT DISTINCT sha, regexp_replace(trim(project_key), '/+$', '') AS k,
+    CASE WHEN committed_at >= 100000000000 THEN committed_at // 1000 ELSE committed_at END AS t FROM commits WHERE project_key IS NOT NULL
+), pairs AS (
+  SELECT sha, thread_id, least(abs(t - s), abs(t - e)) AS dist FROM c JOIN w USING (k)
+)
+SELECT sha, thread_id FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY dist, thread_id) AS rn FROM pairs WHERE dist <= 7200) WHERE rn = 1
+""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -22,6 +22,18 @@ def test_ids_are_the_librarys():
     assert "�" in e.decode(e.lib.encode("漢🧪", add_special_tokens=False).ids[:1])
 
 
+def test_other_files_follow_their_own_rules():
+    from tokenizers import Tokenizer
+
+    path = f"{E.FOLDER}/word_bpe_49k.json"
+    lib, e = Tokenizer.from_file(path), E.Encoder(path)
+    lib.encode_special_tokens = True
+    for t in ("IT'S DON'T we'll", "café naïve Ünder", "a  b\n\nc", *filter(None, TEXTS)):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert list(e.ids([t])) == [ids] and list(e.sizes([t, None])) == [len(ids), 0]
+        assert len(e.offsets(t, ids)[0]) == len(ids) and isinstance(e.decode(ids), str)
+
+
 def test_over_tables(spark):
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "c"), (None, "x", "c")], "doc_id bigint, text string, ids string")
     ids = E.encode(df, "doc_id", "text")
