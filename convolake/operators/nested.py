@@ -25,18 +25,22 @@ def _refuse(constant: str) -> None:
     raise ValueError(constant)
 
 
+class Number(str):
+    """A number as it is written, so that none loses digits or overflows."""
+
+
 def parse(payload: str | None) -> tuple[bool, object]:
     """Whether payload is one whole JSON text (no NaN or Infinity, nothing after it), and its value."""
     if payload is None:
         return False, None
     try:
-        return True, json.loads(payload, parse_constant=_refuse)
+        return True, json.loads(payload, parse_constant=_refuse, parse_float=Number, parse_int=Number)
     except (ValueError, RecursionError):
         return False, None
 
 
 def _scalar(value: object) -> str:
-    return json.dumps(value, ensure_ascii=True)
+    return str(value) if isinstance(value, Number) else json.dumps(value, ensure_ascii=True)
 
 
 def nodes(root: object) -> list[tuple]:
@@ -52,7 +56,7 @@ def nodes(root: object) -> list[tuple]:
         if isinstance(v, list):
             return "array"
         if isinstance(v, str):
-            return "string"
+            return "number" if isinstance(v, Number) else "string"
         return "null" if v is None else "boolean" if isinstance(v, bool) else "number"
 
     order: list[tuple] = []  # parents before children
@@ -104,7 +108,7 @@ def occurrences(records: DataFrame, record_id: str = "record_id", payload: str =
 
     A record that was sent again with another payload has the nodes of all of its whole payloads, told apart by
     root_hash. Null, empty, cut off and otherwise damaged payloads give no rows. Equal payloads of one record give equal
-    rows. Nulls among array elements are nodes of kind null.
+    rows. Nulls among array elements are nodes of kind null. Numbers stand as they are written: 1.0 and 1.00 differ.
     """
 
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +129,26 @@ def occurrences(records: DataFrame, record_id: str = "record_id", payload: str =
             if rows:
                 yield _batch(rows, names, types)
 
-    return records.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(payload).cast("string").alias("payload")).mapInArrow(flatten, NODES)
+    return _payloads(records, record_id, payload).mapInArrow(flatten, NODES)
+
+
+def _payloads(records: DataFrame, record_id: str, payload: str) -> DataFrame:
+    return records.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(payload).cast("string").alias("payload"))
+
+
+def once(records: DataFrame, record_id: str = "record_id", payload: str = "payload") -> DataFrame:
+    """(record_id, payload): of the payloads of a record with the same root hash one, and no damaged ones.
+
+    Repeats go while they are one row each, so that the nodes, which are many times as large, need no shuffle afterwards.
+    """
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [nodes(value)[0][7] if whole else None for whole, value in map(parse, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["record_id", "payload", "root_hash"])
+
+    keyed = _payloads(records, record_id, payload).mapInArrow(roots, "record_id bigint, payload string, root_hash string")
+    return keyed.where("root_hash IS NOT NULL").dropDuplicates(["record_id", "root_hash"]).select("record_id", "payload")
 
 
 def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
@@ -147,9 +170,9 @@ def objects(nodes_df: DataFrame) -> DataFrame:
     return nodes_df.groupBy("node_hash").agg(F.any_value("kind").alias("kind"), F.any_value("body").alias("body"))
 
 
-def bridge(nodes_df: DataFrame) -> DataFrame:
+def bridge(records: DataFrame, record_id: str = "record_id", payload: str = "payload") -> DataFrame:
     """Every occurrence of a subtree: record, payload, place, parent's place, key, ordinal and hash."""
-    return nodes_df.drop("body").distinct()
+    return occurrences(once(records, record_id, payload)).drop("body")
 
 
 def blocks(nodes_df: DataFrame, keys: tuple[str, ...] = BLOCK_KEYS) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Queries p4 (nested records) and p5 (nearest time) and their SQL."""
+"""Queries of nested records (p4) and of ingestion, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.operators import nearest_time, nested
+from convolake.operators import nested
 from convolake.sources import connectors
 from convolake.tables import read
 
@@ -18,7 +18,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_bridge(spark: SparkSession, d: str) -> DataFrame:
     """Every occurrence of every subtree with its record, parent and ordinal."""
-    return nested.bridge(nested.occurrences(read(spark, d, "raw_records")))
+    return nested.bridge(read(spark, d, "raw_records"))
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """The parent of each place of a record, through any of its payloads, with the kind of value that stands there."""
+    return p4_bridge(spark, d).select("record_id", "node_path", "parent_path", "ordinal", "depth", "kind").distinct()
 
 
 def p4_objects(spark: SparkSession, d: str) -> DataFrame:
@@ -26,33 +31,26 @@ def p4_objects(spark: SparkSession, d: str) -> DataFrame:
     return nested.objects(nested.occurrences(read(spark, d, "raw_records")))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return nearest_time.nearest_windows(read(spark, d, "commits"), read(spark, d, "thread_windows")).select("sha", "thread_id")
-
-
-QUERIES = {"p4_found": p4_found, "p4_bridge": p4_bridge, "p4_objects": p4_objects, "p5_found": p5_found}
+QUERIES = {"p4_found": p4_found, "p4_bridge": p4_bridge, "p4_links": p4_links, "p4_objects": p4_objects}
 
 SQL = {
+    "p4_links": r"""
+WITH whole AS (SELECT record_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM raw_records), j AS (
+  SELECT r.record_id, j.fullkey, j.path, j.key, j.type FROM whole r, json_tree(r.payload) j WHERE r.payload IS NOT NULL
+), n AS (
+  SELECT record_id, regexp_replace(replace(replace(substring(fullkey, 2), ']', ''), '[', '/'), '\.', '/', 'g') AS node_path, fullkey,
+    CASE WHEN fullkey = '$' THEN NULL ELSE regexp_replace(replace(replace(substring(path, 2), ']', ''), '[', '/'), '\.', '/', 'g') END AS parent_path,
+    CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind FROM j
+)
+SELECT DISTINCT record_id, node_path, parent_path, CASE WHEN ends_with(fullkey, ']') THEN regexp_extract(node_path, '[0-9]+$')::INT END AS ordinal, len(string_split(node_path, '/')) - 1 AS depth, kind
+FROM n WHERE fullkey = '$' OR kind IN ('object', 'array') OR ends_with(fullkey, ']')
+""",
     "p4_found": r"""
 WITH whole AS (SELECT record_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM raw_records), nodes AS (
   SELECT r.record_id, j.fullkey, j.path, j.key, j.type FROM whole r, json_tree(r.payload) j WHERE r.payload IS NOT NULL
 )
 SELECT DISTINCT record_id, regexp_replace(replace(replace(substring(fullkey, 2), ']', ''), '[', '/'), '\.', '/', 'g') AS node_path FROM nodes
 WHERE (type IN ('OBJECT', 'VARCHAR') AND ends_with(fullkey, ']') AND regexp_matches(path, '\.(content|parts)$')) OR (type = 'OBJECT' AND NOT ends_with(fullkey, ']') AND key IN ('content', 'parts'))
-""",
-    "p5_found": """
-WITH latest AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY indexed_at DESC) AS rn FROM thread_windows) WHERE rn = 1
-), w AS (
-  SELECT thread_id, regexp_replace(trim(project_key), '/+$', '') AS k, start_ts AS s, end_ts AS e FROM latest
-  WHERE start_ts IS NOT NULL AND end_ts IS NOT NULL AND project_key IS NOT NULL
-), c AS (
-  SELECT DISTINCT sha, regexp_replace(trim(project_key), '/+$', '') AS k,
-    CASE WHEN committed_at >= 100000000000 THEN committed_at // 1000 ELSE committed_at END AS t FROM commits WHERE project_key IS NOT NULL
-), pairs AS (
-  SELECT sha, thread_id, least(abs(t - s), abs(t - e)) AS dist FROM c JOIN w USING (k)
-)
-SELECT sha, thread_id FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY dist, thread_id) AS rn FROM pairs WHERE dist <= 7200) WHERE rn = 1
 """,
 }
 

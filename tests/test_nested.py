@@ -39,7 +39,7 @@ def test_equal_subtrees_are_stored_once_and_can_be_put_together_again(spark):
     df = spark.createDataFrame([(1, json.dumps(NEST), None), (2, json.dumps({"z": {"x": 1.0, "é": "ü"}, "y": [NEST]}), None)], SCHEMA)
     nodes = nested.occurrences(df)
     stored = {r.node_hash: r.body for r in nested.objects(nodes).collect()}
-    assert len(stored) < nodes.count() == nested.bridge(nodes).count()
+    assert len(stored) < nodes.count() == nested.bridge(df).count()
 
     def build(node):
         def fill(v):
@@ -59,3 +59,14 @@ def test_key_order_does_not_matter_and_depth_is_no_trouble():
     deep = "{\"a\":" * 3000 + "[]" + "}" * 3000
     whole, value = nested.parse(deep)
     assert whole and len(nested.nodes(value)) == 3001
+
+
+def test_numbers_keep_their_digits_and_repeats_go_before_the_nodes(spark):
+    body = '{"content":[1e400,0.10000000000000000000000001,-0,' + "9" * 5000 + "]}"
+    rows = [(1, body, "x"), (1, body, "y"), (1, " " + body, "z"), (1, '{"content":[1]}', None), (2, body, None), (3, "{", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = nested.bridge(df).collect()
+    assert len(found) == len(set(found)) == 6 + 3 + 6
+    values = {r.node_path: (r.kind, r.body) for r in nested.occurrences(df).where("record_id = 2").collect()}
+    assert values["/content/0"] == ("number", "1e400") and values["/content/1"][1].endswith("0001") and len(values["/content/3"][1]) == 5000
+    assert nested.bridge(df.limit(0)).count() == 0
