@@ -139,15 +139,10 @@ WIDE = rf"(?<![{_WIDE}{_DOTS}])({_DOTS}*+[{_WIDE}][{_WIDE}{_DOTS}!?]*+[)\]\ue035
 WIDE_QUOTE = rf"(?<![{_WIDE}{_DOTS}!?])([{_DOTS}!?]*+[{_WIDE}][{_WIDE}{_DOTS}!?]*+[\ue032-\ue034{CLOSE}]++)(?!{_GOES_ON}|\s*$)"
 THAI_BLANK = rf"([{_THAI}])(?=[ \x{{a0}}]+[{_THAI}])"
 #: A line break after such a script or before it, or between two lines that hold some of it. The first step marks the ends of
-#: lines that hold some, as Java looks back only over bounded lengths; the last takes the marks that are left away.
+#: lines that hold some, as Java looks back only over bounded lengths; marks that become no cut are taken out again.
 _HELD = "\ue002"
-BREAKS = (
-    (rf"([{_SPACELESS}][ \t]*+)(?={_BREAK})", f"$1{CUT}"),
-    (rf"(?={_BREAK}[ \t]*+[{_OPEN}‘]*+[{_SPACELESS}])", CUT),
-    (rf"([{_SPACELESS}][^\n\r]*+)", f"$1{_HELD}"),
-    (rf"{_HELD}(?={_BREAK}[^\n\r{_SPACELESS}]*+[{_SPACELESS}])", CUT),
-    (_HELD, ""),
-)
+HOLDS = rf"([{_SPACELESS}][^\n\r]*+)"
+SPACELESS_BREAK = rf"((?<=[{_SPACELESS}])[ \t]*+){_HELD}|{_HELD}(?={_BREAK}[^\n\r{_SPACELESS}]*+[{_SPACELESS}])|(?={_BREAK}[ \t]*+[{_OPEN}‘]*+[{_SPACELESS}])"
 
 #: (what a text must hold: any of these, pattern, replacement), in order; the tests are searches for bytes.
 STEPS = (
@@ -163,7 +158,7 @@ STEPS = (
     (rf"[{_WIDE}]", WIDE_QUOTE, f"$1{CUT}"),
 )
 #: Only where some character is not ASCII.
-BEYOND_ASCII = (("wide", THAI_BLANK, f"$1{CUT}"), *(("broken", pattern, to) for pattern, to in BREAKS))
+BEYOND_ASCII = (("wide", THAI_BLANK, f"$1{CUT}"), ("broken", HOLDS, f"$1{_HELD}"), ("broken", SPACELESS_BREAK, f"$1{CUT}"))
 
 #: The white space of Unicode.
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -191,8 +186,8 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
     source = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text")).where(F.col("__text").rlike(r"\P{IsWhite_Space}"))
     rows = _explode(source.select("__key", blocks(F.col("__text")).alias("bs")), "bs", ("block", "before")).where(F.col("block").rlike(r"\P{IsWhite_Space}"))
     b = F.col("block")
-    head = F.substring(F.ltrim(b, F.lit(" \t")), 1, 16)  # what begins the block, however far it is indented
-    rows = rows.withColumn("kind", F.when(b.rlike(FENCE) | b.rlike(HEADING), 0).when(head.rlike(r"\A" + _MARKER), 1).otherwise(2)).withColumn("m", F.when(F.octet_length(b) > F.length(b), F.translate(b, MARKS_FROM, MARKS_TO)).otherwise(b))
+    start, head = F.substring("block", 1, 16), F.substring(F.ltrim(b, F.lit(" \t")), 1, 16)  # a list may be indented by any number of blanks
+    rows = rows.withColumn("kind", F.when(start.rlike(FENCE) | start.rlike(HEADING), 0).when(head.rlike(r"\A" + _MARKER), 1).otherwise(2)).withColumn("m", F.when(F.octet_length(b) > F.length(b), F.translate(b, MARKS_FROM, MARKS_TO)).otherwise(b))
     prose = F.col("kind") == 2
     wide = prose & (F.octet_length("m") > F.length("m"))
     rows = rows.withColumns({"prose": prose, "wide": wide, "broken": wide & F.btrim("m").rlike(r"[\n\r\x{85}\x{2028}\x{2029}]")})
@@ -203,6 +198,7 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
         rows = rows.withColumn("m", F.when(test, _sub(m, pattern, to)).otherwise(m))
     for which, pattern, to in BEYOND_ASCII:
         rows = rows.withColumn("m", F.when(F.col(which), _sub(F.col("m"), pattern, to)).otherwise(F.col("m")))
+    rows = rows.withColumn("m", F.when(F.col("broken"), F.replace("m", F.lit(_HELD), F.lit(""))).otherwise(F.col("m")))
     items = _sub(F.col("m"), rf"(?={_BREAK}{_MARKER})", CUT)
     rows = rows.withColumn("us", F.split(F.when(F.col("kind") == 1, items).otherwise(F.col("m")), CUT)).drop("m", "kind", "prose", "wide", "broken")
     found = _explode(rows, "us", ("u", "inside"))
