@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -30,10 +31,10 @@ _AT = r"(?:\s?\[\s?(?:at|AT|@)\s?\]\s?|\s?\(\s?(?:at|AT|@)\s?\)\s?|\s?\{\s?(?:at
 _DOT = r"(?:\.|\s?\[\s?(?:dot|DOT|\.)\s?\]\s?|\s?\(\s?(?:dot|DOT|\.)\s?\)\s?|\s?\{\s?(?:dot|DOT)\s?\}\s?|\s(?:dot|DOT)\s)"
 _DOMAIN = re.compile(rf"{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,24}}(?![A-Za-z0-9\-])")
 _FILE_ENDINGS = {"png", "svg", "jpg", "gif", "css", "js", "ts", "json", "git"}
-_BEFORE_AT = re.compile(r"[A-Za-z0-9À-ɏ._%+\-]+$")
+_IN_LOCAL = re.compile(r"[A-Za-z0-9À-ɏ._%+\-]").match
 _HIDDEN_EMAIL = re.compile(rf"(?<![A-Za-z0-9À-ɏ._%+\-])(?P<local>{_LOCAL}){_AT}(?P<domain>{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,24}})(?![A-Za-z0-9\-])")
 
-_NUMBER = re.compile(r"[0-9][0-9 .()/\-]{5,60}")
+_NUMBER = re.compile(r"[0-9][0-9 .()/\-]{5,}")
 _NEXT = re.compile(r"[ (]+")
 _PHONES = [
     re.compile(p)
@@ -55,13 +56,22 @@ _SSN = re.compile(r"\d{3}([ \-])\d\d\1\d{4}")
 _NINO = re.compile(r"[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]")
 _DNI = re.compile(r"(?:\d{8}|[XYZ]-?\d{7})-?[A-Z]")
 _NIR = re.compile(r"[12] ?\d\d ?(?:0[1-9]|1[0-2]|[2-9]\d) ?(?:\d\d|2[AB]) ?\d{3} ?\d{3} ?\d\d")
-_PERSONNUMMER = re.compile(r"(?:\d\d)?(\d\d)(\d\d)(\d\d)[\-+](\d{4})")
+_PERSONNUMMER = re.compile(r"(\d\d)?(\d\d)(\d\d)(\d\d)([\-+])(\d{4})")
+#: National insurance numbers: letters that may stand first and second, pairs that are never given, and the pair of samples.
+_NINO_FIRST, _NINO_SECOND = "ABCEGHJKLMNOPRSTWXYZ", "ABCEGHJKLMNPRSTWXYZ"
+_NINO_NEVER, _NINO_SAMPLE = {"BG", "GB", "KN", "NK", "NT", "TN", "ZZ"}, "QQ"
+_NINO_PAIRS = [a + b for a in _NINO_FIRST for b in _NINO_SECOND if a + b not in _NINO_NEVER]
+#: Areas of social security numbers: 001 to 899 without 666.
+_SSN_AREAS = [a for a in range(1, 900) if a != 666]
+#: Birth years fall into centuries that begin here: a personal number of two year digits and a hyphen is of the one from 1926 on.
+_CENTURY = 1926
 _DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 
 _CAP = r"(?:[A-ZÀ-Þ][\w’'\-]*|[0-9]+(?:st|nd|rd|th))"
 _STREETS_EN = "street st road rd avenue ave lane ln drive dr court ct boulevard blvd terrace close rise way place pl square sq crescent gardens grove mews walk highway hwy parkway pkwy circle trail row hill green quay parade".split()
 _BEFORE_EN = re.compile(rf"(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room)\s\w{{1,5}},\s{{0,2}})?(?<![\w.])\d{{1,5}}[A-Za-z]?,?[ ]{_CAP}(?:[ ]{_CAP}){{0,3}}$")
 _STREETS_FR = "rue|avenue|av.|boulevard|bd|chemin|place|allée|impasse|quai|route|cours|square|passage|ruelle|sentier|faubourg".split("|")
+#: At most 14 characters long.
 _BEFORE_FR = re.compile(r"(?<![\w.])\d{1,4}(?:\s?(?:bis|ter|quater))?,?\s$", re.IGNORECASE)
 _AFTER_FR = re.compile(r"(?:de\sla\s|de\sl['’]|du\s|des\s|de\s|d['’]|la\s|le\s|les\s|l['’])*[A-ZÀ-Þ][\w’'\-]*(?:[ ][A-ZÀ-Þ][\w’'\-]*)*")
 _STREETS_ES = "c/|calle |avenida |avda. |plaza |pza. |paseo |camino |carretera |ronda |travesía ".split("|")
@@ -75,9 +85,29 @@ _ADDRESS_JA = re.compile(r"〒\s?\d{3}[\-‐－]\d{4}\s?[々〇一-鿿ぁ-ヿ0-9
 _ADDRESS_RU = re.compile(r"(?<!\w)(?:ул\.|улица|пр\.|просп\.|проспект|пер\.|переулок|наб\.|бульвар|б-р|шоссе|пл\.)\s?[А-ЯЁ][\w\-]*(?:\s[А-ЯЁ][\w\-]*)*,?\s(?:д\.\s?)?\d{1,4}")
 _ADDRESS_ZH = re.compile(r"[一-鿿]{2,8}[省市区县][一-鿿]{1,12}[路街道巷]\d{1,5}号")
 
+# Given names and surnames that are common in many countries, beside those of the caller's list.
+GIVEN = set("""james robert john michael david william richard joseph thomas charles christopher daniel matthew anthony steven paul andrew joshua kenneth kevin brian george
+timothy ronald jason edward jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel gregory alexander patrick mary patricia jennifer linda
+elizabeth barbara susan jessica sarah karen lisa nancy sandra margaret ashley emily donna michelle carol amanda melissa deborah stephanie rebecca laura helen sharon cynthia kathleen amy
+angela anna ruth brenda pamela nicole katherine samantha christine emma catherine rachel jane maria josé juan luis carlos miguel pedro pablo sofía lucía carmen ana isabel jean pierre
+michel françois camille chloé hans klaus peter wolfgang stefan ursula monika sabine greta lars erik ingrid astrid giovanni giuseppe marco giulia francesca priya amit rahul ananya
+arjun wei ming yuki hiroshi kenji sakura mohammed ahmed ali omar fatima aisha layla ngozi chidi kwame amara ivan dmitri olga natasha""".split())
+SURNAMES = set("""smith johnson williams jones garcia garcía miller davis rodriguez rodríguez martinez martínez hernandez lopez lópez gonzalez gonzález wilson anderson thomas taylor jackson martin
+thompson harris sanchez clark ramirez lewis robinson doe müller mueller schmidt schneider fischer weber meyer wagner becker schulz hoffmann dubois durand lefebvre moreau rossi russo ferrari
+bianchi silva santos oliveira patel sharma singh kumar gupta nguyen tran wang zhang chen liu yang huang kim park choi tanaka suzuki sato watanabe yamamoto nakamura kobayashi ivanov
+petrov smirnov kowalski nowak hansen johansson andersson eriksson larsen okafor mensah khan hussain""".split())
+RUSSIAN_GIVEN = set("""александр алексей анатолий андрей антон артём борис вадим василий виктор владимир вячеслав геннадий георгий григорий денис дмитрий евгений иван игорь илья кирилл константин максим
+михаил никита николай олег павел пётр роман сергей степан тимофей фёдор юрий ярослав александра анастасия анна валентина вера виктория галина дарья евгения екатерина елена ирина ксения
+лариса любовь людмила марина мария надежда наталья нина ольга полина светлана софия татьяна юлия злата""".split())
 # Given names that are also common words: beside an unknown word they are no evidence.
-_COMMON_WORDS = {"will", "mark", "rose", "grace", "bill", "may", "june", "hope", "faith", "joy", "art", "rob", "sue", "jack", "pat", "max", "ray", "drew", "chase", "dawn", "summer", "april"}
-_FUNCTION_WORDS = set("this that then than when what with were will would from they them there these those have here your once most under after since before each does note both nobody every strangely resolved decision todo version according agreed yesterday click again".split())
+_COMMON_WORDS = {"will", "mark", "rose", "grace", "bill", "may", "june", "hope", "faith", "joy", "art", "rob", "sue", "jack", "pat", "max", "ray", "drew", "chase", "dawn", "summer", "april", "ali", "park", "jean", "carol", "justin", "sakura", "ming"}
+# Frequent words that are no surname although they may be written with a capital, and endings of such words.
+_FUNCTION_WORDS = set("""this that then than when what with were will would from they them there these those have here your once most under after since before each does note both every nobody nothing everything
+someone everyone today yesterday tomorrow again also just only very more some many such same other while because although however whether please could should must might shall into over onto about
+according agreed todo fixme click check open close run see use add set get make take send call read write move stop start keep show find look need want think know said says
+january february march april june july august september october november december monday tuesday wednesday thursday friday saturday sunday street road avenue island river lake mountain university
+institute company group team board committee council bank hospital school church party union party service system server""".split())
+_NO_SURNAME = re.compile(r"(?:ly|ed|ing|tion|sion|ment|ness|ity|ism|ology)$")
 _PARTICLES = {"van", "von", "der", "den", "de", "da", "di", "del", "la", "le", "bin", "al", "ter", "ten", "dos", "du"}
 _LETTER = re.compile(r"[^\W\d_]")
 _NAME_WORD = r"[^\W\d_]+(?:[’'\-][^\W\d_]+)*"
@@ -100,6 +130,7 @@ class People:
             if len(parts) >= 2:
                 self.given.add(parts[0].lower())
                 self.surnames.add(" ".join(parts[1:]).lower())
+        self.listed = set(self.given)  # the caller's, whose word counts more than that of a common name
         self.last_words = {s.split()[-1] for s in self.surnames}
         self.tails = {s.rpartition("-")[2] for s in self.last_words if "-" in s}
         ends: Counter[str] = Counter()
@@ -110,6 +141,8 @@ class People:
                 ends[s[i:]] += 1
         self.starts = {s for s, n in starts.items() if n >= 2 and len(s) >= 3}
         self.ends = {e for e, n in ends.items() if n >= 3 and len(e) >= 2}
+        self.given |= GIVEN
+        self.common_surnames = SURNAMES - self.given
         import ahocorasick
 
         keys = {f" {w}": ("en", len(w) + 1) for w in _STREETS_EN if len(w) > 3}
@@ -130,7 +163,7 @@ class People:
 
     def surname_word(self, word: str) -> bool:
         w = word.lower().replace("’", "'")
-        if w in self.last_words or (len(w.partition("-")[0]) >= 3 and w.rpartition("-")[2] in self.tails):
+        if w in self.last_words or w in self.common_surnames or (len(w.partition("-")[0]) >= 3 and w.rpartition("-")[2] in self.tails):
             return True
         if w.startswith("o'") or w.startswith("mc"):
             w = w[2:]
@@ -141,6 +174,20 @@ def _shape(word: str) -> str:
     return "upper" if word.isupper() and len(word) > 1 else "title" if word[:1].isupper() else "lower"
 
 
+def _back(text: str, at: int, words: int, marks: str) -> int:
+    """Where the last `words` words before `at` begin: back over letters, digits, `marks` and single blanks, to the edge of a word of any length."""
+    while at > 0:
+        c = text[at - 1]
+        if c in "  ":
+            words -= 1
+            if words < 0:
+                break
+        elif not (c.isalnum() or c in marks):
+            break
+        at -= 1
+    return at
+
+
 def find_names(text: str, hits: list[tuple[int, int]], people: People) -> Iterator[tuple[int, int]]:
     """(start, end) of each given name with its surname, in any order and case; hits: where given names stand."""
     done = -1
@@ -150,9 +197,12 @@ def find_names(text: str, hits: list[tuple[int, int]], people: People) -> Iterat
         word = text[start:end]
         style = _shape(word)
         common = word.lower() in _COMMON_WORDS
+        listed = word.lower() in people.listed
+        if not listed and style == "lower":
+            continue
         # after: given [initial] surname
         found = maybe = None
-        if m := _AFTER.match(text, end, min(len(text), end + 80)):
+        if m := _AFTER.match(text, end):
             words = m["rest"].split(" ")
             n = 0
             while n < len(words) - 1 and words[n].lower() in _PARTICLES:
@@ -165,15 +215,15 @@ def find_names(text: str, hits: list[tuple[int, int]], people: People) -> Iterat
             known = people.surname_word(sur)
             if glued or m["gap"] == "\n" and not known:
                 pass
-            elif known:
+            elif known and (listed or _shape(sur) == style):
                 found = (start, stop)
-            elif not common and style == "title" and _shape(sur) == "title" and len(sur) > 3 and sur.isalpha() and sur.lower() not in people.given and sur.lower() not in _FUNCTION_WORDS:
+            elif not common and style == "title" and _shape(sur) == "title" and len(sur) > 3 and sur.isalpha() and sur.lower() not in people.given and sur.lower() not in _FUNCTION_WORDS and not _NO_SURNAME.search(sur):
                 maybe = (start, stop)
-        if found is None and (m := _BEFORE.search(text, max(0, start - 80), start)):
+        if found is None and (m := _BEFORE.search(text, _back(text, start, 6, ",.’'-"), start)):
             words = m["last"].split(" ")
             sur = words[-1]
             begin = m.start("last") + len(m["last"]) - len(sur)
-            if people.surname_word(sur) and begin >= done and not (begin and text[begin - 1] in "@_-."):
+            if people.surname_word(sur) and (listed or (_shape(sur) == style and "," in text[begin:start])) and begin >= done and not (begin and text[begin - 1] in "@_-."):
                 n = len(words) - 1
                 while n > 0 and words[n - 1].lower() in _PARTICLES:
                     n -= 1
@@ -190,10 +240,44 @@ _SURNAME_RIGHT = re.compile(r",[ ](?P<given>[^\W\d_]{2,}(?:-[^\W\d_]+)?)(?:[ ][^
 _SURNAME = re.compile(r"(?:[OD]['’])?[^\W\d_]+(?:-[^\W\d_]+)*$")
 # Titles and words that introduce a person and so are no given name.
 _TITLES = set("mr ms mrs dr prof frau herr hi hello dear ask per by from author cc thanks thx ping pinged and with for to owner who is user bitte señor señora sr sra mme monsieur madame спросите reported review signed contact the von van".split())
+_CAPITAL = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ’'\-]+(?:[A-Z][a-z]+)?)"
+_FULL_NAME = rf"(?P<name>{_CAPITAL}(?:[ ](?:[A-Z]\.|van|von|der|den|de|da|di|del|la|bin|al|{_CAPITAL})){{0,3}}[ ]{_CAPITAL})"
+# Titles and labels that only a person's name follows.
+_HONORIFICS = "Mr|Mrs|Ms|Mx|Dr|Prof|Professor|President|Senator|Judge|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Signor|Signora"
+_LABELS = "Signed-off-by|Co-authored-by|Reviewed-by|Reported-by|Tested-by|Acked-by|Author|Full name|Name|Contact|Attn|Regards|Sincerely|Cheers"
+_INTRODUCED = re.compile(rf"(?<!\w)(?:(?:{_HONORIFICS})\.?[ ]|(?:{_LABELS})[:,][ \n]){_FULL_NAME}(?![\w@])(?=[ ]*(?P<after>[<,.;:!?()\n'’\"|]|$|[a-z]))")
+_BEFORE_ADDRESS = re.compile(rf"(?<![\w.@/-]){_FULL_NAME}[ ][<(](?=[^<>()\s@]+@[^<>()\s@]+[>)])")
+
 _CYR = r"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?"
 _CYR_NAME = re.compile(rf"(?<![\w-])({_CYR}|[А-ЯЁ]{{2,}})(?:\s[А-ЯЁ]\.)?\s({_CYR}|[А-ЯЁ]{{2,}})(?![\w-])")
-_HAN_NAME = re.compile(r"(?:^|(?<=[\s=\"'|;,(<>:#]))[一-鿿々]{1,3}(?:[ 　][一-鿿々ぁ-ゖァ-ヺー]{1,3}|[一-鿿々ぁ-ゖァ-ヺー]{1,4})(?=[\s\"'|;:,)<>.!?\-&]|$)", re.MULTILINE)
 _CYR_LEAD = set("по на не но он она это если как так что см при для под над без или нет да спросите где кто почему".split())
+# Endings of Russian and Ukrainian surnames; of adjectives and abstract nouns, which are no given names; nouns that a genitive in -ов follows.
+_CYR_SURNAME = re.compile(r"(?:[оеё]ва?|енко|чук|швили|дзе)$")
+_CYR_NO_GIVEN = re.compile(r"(?:[аяое]я|[оеы]е|ие|[ыио]й|ция|сть|ство|ние|тие|тель|изм|тор)$")
+_CYR_BODIES = set("совет союз дом комитет фонд банк центр отдел список набор класс журнал рынок музей клуб завод театр день год век закон сбор ряд курс обмен".split())
+_HAN = r"[一-鿿々]"
+_HAN_NAME = re.compile(rf"(?:^|(?<=[\s=\"'|;,(<>:#])){_HAN}{{1,3}}(?:[ 　][一-鿿々ぁ-ゖァ-ヺー]{{1,3}}|[一-鿿々ぁ-ゖァ-ヺー]{{1,4}})(?=[\s\"'|;:,)<>.!?\-&]|$)", re.MULTILINE)
+# Characters of which the vocabulary of software and its reports is made: a run that is half of these is a phrase.
+_HAN_PHRASE = set("设設置完成内內存不足连連接失败敗错錯误誤功请請求数數据據文件服务務器用户戶登录錄密码碼网網络絡系统統配更新下载載安装裝删刪除添加查询詢结結果测測试試运運行启啟动動停止超时時权權限路径徑参參型版本状狀态態输輸入出处處理信息消保缓緩日志表字段值列索引线線程队隊库庫代函端口开開始关關闭閉同步异異常警告报報示确認认取返回重复複检檢验驗证證构構建部署发發布提交合并併分支无無法已未正在中可能有的是了和与與或为為")
+_HAN_SURNAMES = set("王李张張刘劉陈陳杨楊赵趙黄黃周吴吳徐孙孫朱胡郭何林罗羅郑鄭梁谢謝宋唐许許韩韓冯馮邓鄧曹彭曾肖蕭董潘袁蔡蒋蔣余杜叶葉魏苏蘇吕呂丁沈姚卢盧姜崔钟鍾谭譚陆陸汪范廖贾賈韦韋邹鄒孟熊秦邱尹薛侯陶黎贺賀顾顧郝龚龔邵")
+_HAN_BEGINNINGS = set("程序 周期 周末 许可 許可 许多 余额 何时 何處 何处 曾经 林业 钟表 韩国 韓国 苏州 陆续 顾客 范围 程度 黄色 黃色 杨树 唐代 宋代 金额 胡同 叶子".split())
+_HAN_BEFORE = re.compile(r"(?i:\b(?:name|contact|author|owner|reviewer|assignee|user|from|by|hi|hello|dear|ping|ask|mr|mrs|ms|dr|prof|herr|frau)[.:=]?\s?['\"]?|(?:担当者?|連絡先|作者|联系人|聯絡人|姓名|氏名|名前)[はは:：]?\s?)$")
+_HAN_AFTER = re.compile(r"\s?(?:さん|様|氏|先生|女士|小姐|です|と申します|<[^<>\s@]+@)")
+
+
+def find_introduced(text: str) -> Iterator[tuple[int, int]]:
+    """Full names that a title or a label introduces, or that stand before an email address in brackets, whatever their words."""
+    for m in _INTRODUCED.finditer(text):
+        start, end = m.span("name")
+        yield start, end - 2 if m["name"].endswith(("'s", "’s")) else end
+    if "@" in text:
+        for m in _BEFORE_ADDRESS.finditer(text):
+            start, end = m.span("name")
+            words = m["name"].split(" ")
+            while len(words) > 2 and words[0].lower() in _TITLES:  # a sentence's first words
+                start += len(words.pop(0)) + 1
+            if not any(w.lower() in _FUNCTION_WORDS or w.lower() in _TITLES for w in words if w[0].isupper()):
+                yield start, end
 
 
 def find_by_surname(text: str, ends: list[int], people: People) -> Iterator[tuple[int, int]]:
@@ -201,7 +285,7 @@ def find_by_surname(text: str, ends: list[int], people: People) -> Iterator[tupl
     for end in ends:
         if not _word_ends(text, end):
             continue
-        m = _SURNAME.search(text, max(0, end - 40), end)
+        m = _SURNAME.search(text, _back(text, end, 0, "'’-"), end)
         if not m or not people.surname_word(m[0]):
             continue
         begin = m.start()
@@ -210,25 +294,58 @@ def find_by_surname(text: str, ends: list[int], people: People) -> Iterator[tupl
         style = _shape(m[0])
         if style == "lower":
             continue
-        left = _SURNAME_LEFT.search(text, max(0, begin - 40), end)
+        left = _SURNAME_LEFT.search(text, _back(text, begin, 4, "'’-."), end)
         if left and _shape(left["given"]) == style and left["given"].lower() not in _TITLES:
             yield left.start(), end
         elif (right := _SURNAME_RIGHT.match(text, end)) and _shape(right["given"]) == style:
             yield begin, right.end("given")
 
 
-def find_other_scripts(text: str) -> Iterator[tuple[int, int]]:
-    """Names in Cyrillic (two capitalised words) and in Han or Kana (a short run that stands alone between spaces or marks)."""
+def _cyrillic_person(one: str, two: str, people: People) -> bool:
+    """Whether one of the words is a given name, or one has a surname's ending and the other may be a given name."""
+    for given, sur in ((one.lower(), two.lower()), (two.lower(), one.lower())):
+        if given in RUSSIAN_GIVEN or given in people.listed:
+            return sur not in _CYR_LEAD
+        if _CYR_SURNAME.search(sur) and not _CYR_NO_GIVEN.search(given) and given not in _CYR_BODIES and not _CYR_SURNAME.search(given):
+            return True
+    return False
+
+
+def _other_script(text: str, start: int, end: int) -> bool:
+    """Whether the nearest letters on either side of a run, within its sentence and line, are of no Han or Kana."""
+    for step, at in ((-1, start - 1), (1, end)):
+        while 0 <= at < len(text) and text[at] not in "\n.!?。！？…" and not text[at].isalpha():
+            at += step
+        if 0 <= at < len(text) and "\u3040" <= text[at] <= "\u9fff":
+            return False
+    return True
+
+
+def _han_person(text: str, start: int, end: int) -> bool:
+    """Evidence for a name in Han or Kana: what stands before or after it, a surname, or that it is no phrase and stands alone among another script."""
+    run = text[start:end].replace(" ", "").replace("　", "")
+    if len(run) < 3 or run[-1] in "はがをにのもでへと":  # a word and its particle
+        return False
+    phrase = 2 * sum(c in _HAN_PHRASE for c in run) >= len(run)
+    if _HAN_AFTER.match(text, end) or _HAN_BEFORE.search(text, max(0, start - 16), start):  # the longest of these words has 16 characters
+        return not phrase
+    if len(run) == 3 and run[0] in _HAN_SURNAMES and run[:2] not in _HAN_BEGINNINGS:
+        return not any(c in _HAN_PHRASE for c in run[1:])
+    return not phrase and _other_script(text, start, end)
+
+
+def find_other_scripts(text: str, people: People) -> Iterator[tuple[int, int]]:
+    """Names in Cyrillic (two capitalised words) and in Han or Kana (a short run that stands alone between spaces or marks), by their evidence."""
     if text.isascii():
         return
     at = 0
     while m := _CYR_NAME.search(text, at):
-        lead = m[1].lower() in _CYR_LEAD  # a sentence's first word; the next may begin a name
+        lead = m[1].lower() in _CYR_LEAD or not _cyrillic_person(m[1], m[2], people)  # the next word may begin a name
         at = m.start(2) if lead else m.end()
         if not lead:
             yield m.span()
     for m in _HAN_NAME.finditer(text):
-        if len(m[0].replace(" ", "")) >= 3 and m[0][-1] not in "はがをにのもでへと":  # not a word and its particle
+        if _han_person(text, *m.span()):
             yield m.span()
 
 
@@ -240,20 +357,22 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
-def _is_date(y: int, m: int, d: int) -> bool:
+def _birth(m: re.Match) -> datetime.date | None:
+    """The date of a personal number, whose day may be raised by 60. Two digits of a year are of 1926 to 2025, after a plus a century earlier."""
+    year = int(m[1] + m[2]) if m[1] else 1900 + int(m[2]) + (100 if 1900 + int(m[2]) < _CENTURY else 0) - (100 if m[5] == "+" else 0)
+    day = int(m[4])
     try:
-        datetime.date(y, m, d)
+        return datetime.date(year, int(m[3]), day - 60 if day > 60 else day) if _CENTURY - 100 <= year < _CENTURY + 200 else None
     except ValueError:
-        return False
-    return True
+        return None
 
 
 def national_kind(s: str) -> str | None:
     """Which identity number s is, of those whose format, dates and check digits it keeps."""
     if _SSN.fullmatch(s):
-        return None if s.startswith("000") or s[4:6] == "00" or s.endswith("0000") else "ssn"
+        return None if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s.endswith("0000") else "ssn"
     if _NINO.fullmatch(s):
-        return "nino"
+        return "nino" if s[:2] == _NINO_SAMPLE or (s[0] in _NINO_FIRST and s[1] in _NINO_SECOND and s[:2] not in _NINO_NEVER) else None
     if _DNI.fullmatch(s):
         t = s.replace("-", "")
         n = int(("012"["XYZ".index(t[0])] if t[0] in "XYZ" else t[0]) + t[1:-1])
@@ -263,8 +382,7 @@ def national_kind(s: str) -> str | None:
         n = t[:13].replace("2A", "19").replace("2B", "18")
         return "nir" if n.isdigit() and 97 - int(n) % 97 == int(t[13:]) else None
     if m := _PERSONNUMMER.fullmatch(s):  # by its date alone: numbers in use carry wrong check digits too
-        day = int(m[3]) - (60 if int(m[3]) > 60 else 0)
-        return "personnummer" if _is_date(2000 if m[2] == "02" else 1999, int(m[2]), day) else None
+        return "personnummer" if _birth(m) else None
     return None
 
 
@@ -334,16 +452,23 @@ def _number_at(text: str, at: int, n: int) -> tuple[int, int, str] | None:
 
 
 def find_emails(text: str, lower: str) -> Iterator[tuple[int, int]]:
-    at = text.find("@")
+    at, blank, seen = text.find("@"), 0, 0
     while at >= 0:
-        m, local = _DOMAIN.match(text, at + 1), _BEFORE_AT.search(text, max(0, at - 65), at)
+        m = _DOMAIN.match(text, at + 1)
         here, at = at, text.find("@", at + 1)
-        if not m or not local or not text[here - 1].isalnum():
+        if not m or not here or not text[here - 1].isalnum():
             continue
-        begin = local.start()
-        while not text[begin].isalnum():
+        begin = here
+        while begin and _IN_LOCAL(text[begin - 1]):
+            begin -= 1
+        while begin < here and not text[begin].isalnum():
             begin += 1
-        if text[max(0, begin - 3) : begin] == "://" or (begin and text[begin - 1] in ":/" and "://" in text[max(0, begin - 60) : begin].rpartition(" ")[2]):
+        if begin == here:
+            continue
+        while (after := text.find(" ", seen, begin)) >= 0:  # the last blank, looked for once over the text
+            blank = seen = after + 1
+        seen = max(seen, begin)
+        if begin and text[begin - 1] in ":/" and "://" in text[blank:begin]:
             continue
         tail = text[m.end() : m.end() + 2]
         if tail[:1] in (":", "/") and len(tail) > 1 and (tail[1].isalnum() or tail[1] in "~/."):
@@ -361,10 +486,10 @@ def _address_at(text: str, lower: str, kind: str, start: int, end: int) -> tuple
     if kind == "en":
         if not text[start + 1].isupper() or (end < len(text) and (text[end].isalnum() or text[end] in "_'’")):
             return None
-        m = _BEFORE_EN.search(text, max(0, start - 70), start)
+        m = _BEFORE_EN.search(text, _back(text, start, 8, ",.'’-\n"), start)
         return (m.start(), end) if m else None
     if kind == "fr":
-        m = _BEFORE_FR.search(text, max(0, start - 12), start) if start and not text[start - 1].isalnum() else None
+        m = _BEFORE_FR.search(text, max(0, start - 16), start) if start and not text[start - 1].isalnum() else None
         rest = _AFTER_FR.match(text, end) if m else None
         return (m.start(), rest.end()) if rest else None
     if kind == "es":
@@ -374,7 +499,7 @@ def _address_at(text: str, lower: str, kind: str, start: int, end: int) -> tuple
         return (start, m.end()) if m else None
     if kind == "de":
         house = _HOUSE_DE.match(text, end)
-        m = _BEFORE_DE.search(text, max(0, start - 60), end - 1 if text[end - 2] != "." else end - 2) if house else None
+        m = _BEFORE_DE.search(text, _back(text, start, 6, "-"), end - 1 if text[end - 2] != "." else end - 2) if house else None
         return (m.start(), house.end()) if m else None
     return None
 
@@ -382,7 +507,7 @@ def _address_at(text: str, lower: str, kind: str, start: int, end: int) -> tuple
 def find_addresses(text: str) -> Iterator[tuple[int, int]]:
     """Addresses that are not found by a word for a street."""
     for m in _PLACE_DE.finditer(text):
-        before = _WORDS_DE.search(text, max(0, m.start() - 60), m.start())
+        before = _WORDS_DE.search(text, _back(text, m.start(), 6, "-"), m.start())
         if before:
             yield before.start(), m.end()
     if "〒" in text or "県" in text or "都" in text or "府" in text:
@@ -436,7 +561,8 @@ def find(text: str, people: People) -> list[tuple[int, int, str]]:
         found += [(a, b, PERSON) for a, b in find_names(text, names, people)]
     if surnames:
         found += [(a, b, PERSON) for a, b in find_by_surname(text, surnames, people)]
-    found += [(a, b, PERSON) for a, b in find_other_scripts(text)]
+    found += [(a, b, PERSON) for a, b in find_other_scripts(text, people)]
+    found += [(a, b, PERSON) for a, b in find_introduced(text)]
     if len(found) < 2:
         return found
     rank = {EMAIL: 0, ADDRESS: 1, NATIONAL_ID: 2, PHONE: 3, PERSON: 4}
@@ -456,9 +582,7 @@ def _round(key: bytes, tweak: str, n: int, value: int) -> int:
 
 def feistel(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0..size-1: a balanced Feistel network over the next square, walked until it lands inside."""
-    side = 1
-    while side * side < size:
-        side += 1
+    side = math.isqrt(size - 1) + 1
     while True:
         left, right = divmod(value, side)
         for n in range(8):
@@ -468,80 +592,103 @@ def feistel(value: int, size: int, key: bytes, tweak: str) -> int:
             return value
 
 
-def _refill(pattern: str, digits: str) -> str:
-    """pattern with its digits replaced by `digits`, one by one; all else stays."""
-    each = iter(digits)
-    return "".join(next(each) if c.isdigit() else c for c in pattern)
+def _refill(pattern: str, chars: str, letters: bool = False) -> str:
+    """pattern with its digits (and letters) replaced by `chars`, one by one; all else stays."""
+    each = iter(chars)
+    return "".join(next(each) if c.isdigit() or letters and c.isalpha() else c for c in pattern)
 
 
-def _date(digits: str, key: bytes, tweak: str) -> str:
-    """A date of six digits (year, month, day) permuted among the days of its year-numbers."""
-    y, m, d = int(digits[:2]), int(digits[2:4]), int(digits[4:])
-    first = datetime.date(1920, 1, 1)
-    year = 2000 + y if y < 20 else 1900 + y
-    try:
-        day = (datetime.date(year, m, d) - first).days
-    except ValueError:
-        return digits
-    out = first + datetime.timedelta(days=feistel(day, (datetime.date(2020, 1, 1) - first).days, key, tweak))
-    return f"{out.year % 100:02d}{out.month:02d}{out.day:02d}"
-
-
-def _nir(s: str, digits: str, key: bytes) -> str:
-    """Sex kept; year, month and the rest permuted together, a month remaining one; the key computed again."""
-    if len(digits) < 15:  # a department with a letter stays; the last six digits before the key move
-        tail = f"{feistel(int(digits[-8:-2]), 10**6, key, 'nir tail'):06d}"
-        number = int(("".join(c for c in s if c.isalnum())[:7] + tail).replace("2A", "19").replace("2B", "18"))
-        return _refill(s, digits[:-8] + tail + f"{97 - number % 97:02d}")
-    month, rest = int(digits[3:5]), digits[1:3] + digits[5:13]
-    if 1 <= month <= 12:
-        rest_n, month_n = divmod(feistel(int(rest) * 12 + month - 1, 12 * 10**10, key, "nir"), 12)
-        rest, months = f"{rest_n:010d}", f"{month_n + 1:02d}"
-    else:
-        rest, months = f"{feistel(int(rest), 10**10, key, 'nir other'):010d}", digits[3:5]
-    body = digits[0] + rest[:2] + months + rest[2:]
-    return _refill(s, body + f"{97 - int(body) % 97:02d}")
+def _packed(parts: list[tuple[int, int]], key: bytes, tweak: str) -> list[int]:
+    """(value, size) of several parts, permuted together."""
+    value = 0
+    for v, size in parts:
+        value = value * size + v
+    value = feistel(value, math.prod(size for _, size in parts), key, tweak)
+    out = []
+    for _, size in reversed(parts):
+        value, v = divmod(value, size)
+        out.append(v)
+    return out[::-1]
+
+
+def _ssn(s: str, key: bytes) -> str:
+    area, group, serial = (int(x) for x in (s[:3], s[4:6], s[7:]))
+    a, g, n = _packed([(_SSN_AREAS.index(area), len(_SSN_AREAS)), (group - 1, 99), (serial - 1, 9999)], key, "ssn")
+    return _refill(s, f"{_SSN_AREAS[a]:03d}{g + 1:02d}{n + 1:04d}")
+
+
+def _nino(s: str, key: bytes) -> str:
+    t = s.replace(" ", "")
+    pairs = [_NINO_SAMPLE] if t[:2] == _NINO_SAMPLE else _NINO_PAIRS
+    p, n, last = _packed([(pairs.index(t[:2]), len(pairs)), (int(t[2:8]), 10**6), ("ABCD".index(t[8]), 4)], key, f"nino{len(pairs)}")
+    return _refill(s, f"{pairs[p]}{n:06d}{'ABCD'[last]}", letters=True)
+
+
+def _nir(s: str, key: bytes) -> str:
+    """Year, month (a real one stays one), department, place and number permuted together, the key computed again; the sex and a letter of the department stay."""
+    t = s.replace(" ", "")
+    month, first = int(t[3:5]), 1 if int(t[3:5]) <= 12 else 20
+    months = 12 if first == 1 else 80
+    land = t[5:7]
+    parts = [(int(t[1:3]), 100), (month - first, months), (int(t[7:13]), 10**6)] + ([(int(land), 100)] if land.isdigit() else [])
+    year, month, number, *lands = _packed(parts, key, f"nir{t[0]}{months}{'' if land.isdigit() else land}")
+    body = f"{t[0]}{year:02d}{month + first:02d}{f'{lands[0]:02d}' if lands else land}{number:06d}"
+    return _refill(s, body + f"{97 - int(body.replace('2A', '19').replace('2B', '18')) % 97:02d}", letters=True)
+
+
+def _personnummer(s: str, key: bytes) -> str:
+    """The whole date moves within its century, so that with and without the century's digits a number stays one; a raised day stays raised, and a check digit keeps its distance from the right one."""
+    m = _PERSONNUMMER.fullmatch(s)
+    born = _birth(m)
+    century = (born.year - _CENTURY) // 100
+    first = datetime.date(_CENTURY + 100 * century, 1, 1)
+    days = (datetime.date(first.year + 100, 1, 1) - first).days
+    moved = first + datetime.timedelta(days=feistel((born - first).days, days, key, f"born{century}"))
+    raised = 60 if int(m[4]) > 60 else 0
+    serial = feistel(int(m[6][:3]), 1000, key, f"serial{moved}{raised}")
+    wrong = (int(m[6][3]) - luhn(m[2] + m[3] + m[4] + m[6][:3])) % 10
+    short = f"{moved.year % 100:02d}{moved.month:02d}{moved.day + raised:02d}{serial:03d}"
+    return _refill(s, (f"{moved.year // 100:02d}" if m[1] else "") + short + str((luhn(short) + wrong) % 10))
+
+
+def _dni(s: str, key: bytes) -> str:
+    lead, digits = s[0] if s[0] in "XYZ" else "", "".join(c for c in s if c.isdigit())
+    body = f"{feistel(int(digits), 10 ** len(digits), key, 'dni' + lead):0{len(digits)}d}"
+    return _refill(s[:-1], body) + _DNI_LETTERS[int((str("XYZ".index(lead)) if lead else "") + body) % 23]
+
+
+def _phone(s: str, key: bytes) -> str:
+    digits = "".join(c for c in s if c.isdigit())
+    head = 0
+    for p in _PHONES:
+        m = p.fullmatch(s)
+        if m:
+            cc = m.groupdict().get("cc")
+            head = sum(c.isdigit() for c in cc) if cc else 0
+            break
+    while head < len(digits) and digits[head] == "0":  # the trunk prefix: with or without it, and the country, it is one number
+        head += 1
+    own = digits[head:]
+    if len(own) < 2:
+        return s
+    # the first digit stays, so that the number remains one of its plan
+    rest = own[1:]
+    return _refill(s, digits[:head] + own[0] + f"{feistel(int(rest), 10 ** len(rest), key, 'phone' + own[0]):0{len(rest)}d}")
+
+
+_PERMUTED = {"ssn": _ssn, "nino": _nino, "nir": _nir, "personnummer": _personnummer, "dni": _dni}
 
 
 def pseudonym(kind: str, s: str, key: bytes) -> str:
-    """The value that stands for s: a number of the same format for phones and identity numbers, else a keyed hash of its normal form."""
-    if kind == NATIONAL_ID:
-        which, digits = national_kind(s) or "other", "".join(c for c in s if c.isdigit())
-        if which == "dni":
-            lead = s[0] if s[0] in "XYZ" else ""
-            n = feistel(int(digits), 10 ** len(digits), key, "dni" + lead)
-            body = f"{n:0{len(digits)}d}"
-            letter = _DNI_LETTERS[int(("012"["XYZ".index(lead)] if lead else "") + body) % 23]
-            return _refill(s[:-1], body) + letter
-        if which == "nir":
-            return _nir(s, digits, key)
-        if which == "personnummer":
-            short, century = digits[-10:], digits[:-10]
-            day = int(short[4:6])
-            moved = _date(short[:6], key, "personnummer") if day <= 31 else short[:6]
-            serial = f"{feistel(int(short[6:9]), 1000, key, 'serial' + moved):03d}"
-            if century:
-                century = "20" if int(moved[:2]) < 20 else "19"
-            return _refill(s, century + moved + serial + str(luhn(moved + serial)))
-        return _refill(s, f"{feistel(int(digits), 10 ** len(digits), key, which):0{len(digits)}d}")
+    """The value that stands for s: for phones and identity numbers another one that is valid in the same format, else a keyed hash of 128 bits of its normal form.
+
+    Equal values have equal pseudonyms however they are written, and different ones different pseudonyms: numbers because they
+    are permuted, the others but for the chance of a collision of 128 bits.
+    """
+    if kind == NATIONAL_ID and (which := national_kind(s)):
+        return _PERMUTED[which](s, key)
     if kind == PHONE:
-        digits = "".join(c for c in s if c.isdigit())
-        head = 0
-        for p in _PHONES:
-            m = p.fullmatch(s)
-            if m:
-                cc = m.groupdict().get("cc")
-                head = sum(c.isdigit() for c in cc) if cc else 0
-                break
-        while head < len(digits) and digits[head] == "0":  # the trunk prefix: with or without it, and the country, it is one number
-            head += 1
-        own = digits[head:]
-        if not own:
-            return s
-        # the first digit stays, so that the number remains one of its plan
-        rest = own[1:]
-        moved = own[0] + (f"{feistel(int(rest), 10 ** len(rest), key, 'phone' + own[0]):0{len(rest)}d}" if rest else "")
-        return _refill(s, digits[:head] + moved)
+        return _phone(s, key)
     normal = " ".join(s.lower().replace("’", "'").split())
     if kind == EMAIL:
         normal = re.sub(_DOT, ".", re.sub(_AT, "@", s.lower(), count=1) if "@" not in s or "[@]" in s or "(@)" in s else s.lower())
@@ -551,7 +698,7 @@ def pseudonym(kind: str, s: str, key: bytes) -> str:
             normal = f"{first.strip()} {last.strip()}"
         normal = re.sub(r"\b[^\W\d_]\.?(?=\s)", "", normal)
         normal = " ".join(normal.split())
-    return hashlib.blake2b(normal.encode(), key=key, digest_size=5).hexdigest()
+    return hashlib.blake2b(normal.encode("utf-8", "surrogatepass"), key=key, digest_size=16).hexdigest()
 
 
 def mask(text: str, people: People, key: bytes) -> str:
@@ -565,8 +712,8 @@ def mask(text: str, people: People, key: bytes) -> str:
 
 # ---------------------------------------------------------------- over a table
 
-#: The list of people is a parameter of the operator and travels to every worker; a list beyond this size is refused.
-MOST_PEOPLE = 200_000
+#: The list of people is a parameter of the operator and is broadcast; a list of more names, or of longer ones, is refused.
+MOST_PEOPLE, MOST_PEOPLE_CHARS = 200_000, 8_000_000
 
 
 def _people_list(people: DataFrame | None, column: str) -> list[str]:
@@ -575,7 +722,9 @@ def _people_list(people: DataFrame | None, column: str) -> list[str]:
     names = [r[0] for r in people.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_PEOPLE + 1).collect()]
     if len(names) > MOST_PEOPLE:
         raise ValueError(f"the list has more than {MOST_PEOPLE} people")
-    return names
+    if sum(map(len, names)) > MOST_PEOPLE_CHARS:
+        raise ValueError(f"the list has more than {MOST_PEOPLE_CHARS} characters")
+    return sorted(names)
 
 
 class _Worker:
@@ -597,10 +746,10 @@ def find_mentions(df: DataFrame, key: str, text: str, people: DataFrame | None,
     Null, empty and blank texts have none. Texts of any length are searched whole. A row that comes twice gives its
     mentions twice; other columns are left aside. No shuffle.
     """
-    names = sorted(_people_list(people, name))
+    sent = df.sparkSession.sparkContext.broadcast(_people_list(people, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Worker.of(names)
+        known = _Worker.of(sent.value)
         for batch in batches:
             rows: list[tuple] = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -615,10 +764,10 @@ def find_mentions(df: DataFrame, key: str, text: str, people: DataFrame | None,
 
 def mask_texts(df: DataFrame, key: str, text: str, people: DataFrame | None, secret: str, name: str = "full_name") -> DataFrame:
     """(key, text): every text with its mentions replaced; null stays null, all other text is as it was."""
-    names, secret_key = sorted(_people_list(people, name)), hashlib.blake2b(secret.encode(), digest_size=32).digest()
+    sent, secret_key = df.sparkSession.sparkContext.broadcast(_people_list(people, name)), hashlib.blake2b(secret.encode(), digest_size=32).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Worker.of(names)
+        known = _Worker.of(sent.value)
         for batch in batches:
             out = [mask(t, known, secret_key) if t else t for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], [key, text])

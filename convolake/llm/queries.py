@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_masked(spark: SparkSession, d: str) -> DataFrame:
-    """The texts of all messages with placeholders; repeated rows stay repeated."""
-    return pii.mask_texts(read(spark, d, "messages"), "id", "text", read(spark, d, "contributors"), "a key of the caller's own").withColumnRenamed("id", "message_id")
+    """The texts of all messages with placeholders; repeated rows stay repeated. The key is the setting spark.convolake.pii.key; where it is unset a
+    key is drawn, so that values are linked within one run only."""
+    key = spark.conf.get("spark.convolake.pii.key", None) or secrets.token_hex(32)
+    return pii.mask_texts(read(spark, d, "messages"), "id", "text", read(spark, d, "contributors"), key).withColumnRenamed("id", "message_id")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
