@@ -1,3 +1,4 @@
+import importlib
 import os
 
 import pytest
@@ -104,3 +105,12 @@ def test_shares_end_within_one_document(spark):
         assert 0 <= left < min(open_), s
         tilted = sorted({(r.tokens, r.rate) for r in rows if r.key == s})
         assert len({round(w, 9) for _, w in tilted}) > 1
+
+
+def test_p7_found_comes_from_the_mix(spark, tmp_path, monkeypatch):
+    queries = importlib.import_module("convolake.llm.queries")
+    spark.createDataFrame([(1, "x", "s")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    report = spark.createDataFrame([("short", False), ("s", True)], "source string, feasible boolean")
+    monkeypatch.setattr(queries.mixing, "mix", lambda *_: (None, report))
+    assert [r.source for r in queries.p7_found(spark, str(tmp_path)).collect()] == ["short"]
