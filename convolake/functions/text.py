@@ -87,3 +87,15 @@ def read_pairs(text: str | None, n: int) -> list[tuple[int, int]]:
         if all(isinstance(x, int) and 1 <= x <= n for x in pair) and pair[0] != pair[1]:
             found[(min(pair), max(pair))] = None
     return list(found)
+
+
+def session_id(external_id: Column, is_subagent: Column) -> Column:
+    """The session that a transcript's path below its root names: the file's stem, or for a subagent the second folder."""
+    parts = F.split(external_id, "/")
+    return F.when(is_subagent, F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).otherwise(F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", ""))
+
+
+def id_below(path: Column, root: str) -> Column:
+    """A transcript's path below its root; null for a path elsewhere."""
+    base = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substring(path, len(base) + 1, 1 << 30))

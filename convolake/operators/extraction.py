@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ def todos(messages: DataFrame) -> DataFrame:
     """(thread_id, id, seq, line_no, todo): unchecked boxes and TODO or FIXME marks, cleaned; per thread all that differ, in whole."""
     rows = lines(messages, "thread_id", "id", "seq")
     box = F.regexp_extract("line", r"^[-*] \[ ?\] ?(.*)$", 1)
-    mark = F.regexp_extract("line", r"(?i)(?:^|[^a-z0-9])todo(?:[^a-z0-9](.*))?$", 1)
-    fix = F.regexp_extract("line", r"(?i)(?:^|[^a-z0-9])fixme(?:[^a-z0-9](.*))?$", 1)
+    mark = F.regexp_extract("line", r"(?i)(?:^|[^a-z0-9])todo(|[^a-z0-9].*)$", 1)
+    fix = F.regexp_extract("line", r"(?i)(?:^|[^a-z0-9])fixme(|[^a-z0-9].*)$", 1)
     stripped = lambda c: F.regexp_replace(c, r"^[: \t)(.*-]+", "")
     raw = F.when(F.col("line").rlike(r"^[-*] \[ ?\]"), box).when(F.col("line").rlike(r"(?i)(^|[^a-z0-9])todo([^a-z0-9]|$)"), stripped(mark)).when(F.col("line").rlike(r"(?i)(^|[^a-z0-9])fixme([^a-z0-9]|$)"), stripped(fix))
     t = F.btrim(raw, F.lit(" \t\r"))
@@ -89,9 +90,9 @@ def is_error(line: Column) -> Column:
     return head.rlike(f"^(?:{starts})|(?:{parts})")
 
 
-def error_lines(messages: DataFrame) -> DataFrame:
-    """(thread_id, id, ts, key, line): each message's error lines, equal ones once (the first)."""
-    rows = lines(messages, "thread_id", "id", "ts").where(F.octet_length("line").between(6, 400) & is_error(F.col("line")))
+def error_lines(messages: DataFrame, test: Callable[[Column], Column] = is_error) -> DataFrame:
+    """(thread_id, id, ts, key, line): each message's error lines, or those of another test, equal ones once (the first)."""
+    rows = lines(messages, "thread_id", "id", "ts").where(F.octet_length("line").between(6, 400) & test(F.col("line")))
     keyed = rows.withColumn("key", normal_error(F.col("line")))
     return keyed.groupBy("thread_id", "id", "ts", "key").agg(F.min_by("line", "line_no").alias("line"))
 

@@ -59,10 +59,19 @@ def timeline(links: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.col("committed_at").desc(), "sha").limit(limit)
 
 
-def by_sha(links: DataFrame, needles: list[str]) -> DataFrame:
-    """The links of commits whose sha begins with one of the needles, which are trimmed and lower-cased; blank ones match nothing."""
-    wanted = [n.strip().lower() for n in needles if n and n.strip()]
+def by_sha(links: DataFrame, needles: list[str] | DataFrame) -> DataFrame:
+    """The links of commits whose sha begins with one of the needles, which are trimmed and lower-cased; blank ones match nothing.
+
+    Needles are a list, or a table with the column needle for any number of them: the beginnings of each sha, of the lengths
+    that needles have, are then joined by equality.
+    """
+    if isinstance(needles, DataFrame):
+        wanted = needles.select(F.lower(F.trim("needle")).alias("needle")).where("needle <> ''").distinct()
+        lengths = wanted.agg(F.collect_set(F.length("needle"))).scalar()  # no more than a sha has characters
+        at = links.withColumn("n", F.explode(F.sequence(F.lit(1), F.length("sha")))).where(F.array_contains(lengths, F.col("n")))
+        at = at.withColumn("needle", F.col("sha").substr(F.lit(1), F.col("n"))).drop("n")
+        return at.join(wanted, "needle", "left_semi").drop("needle").distinct()
     test = F.lit(False)
-    for n in wanted:
+    for n in [n.strip().lower() for n in needles if n and n.strip()]:
         test = test | F.col("sha").startswith(n)
     return links.where(test)

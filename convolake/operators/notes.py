@@ -13,10 +13,6 @@ from convolake.functions import text as X
 FACTS = "thread_id bigint, kind string, text string, extractor string"
 
 
-def curated(facts: DataFrame) -> DataFrame:
-    return facts.where("pinned OR edited OR hidden")
-
-
 def distill(packed: DataFrame, complete: Callable[[str], str]) -> DataFrame:
     """FACTS of packed transcripts (thread_id, packed) by a completion function, which runs on the executors; failures give none."""
 
@@ -66,13 +62,13 @@ def rolling(snapshots: DataFrame, prefix: str = "auto") -> DataFrame:
     return snapshots.withColumn("__n", F.row_number().over(latest)).where(~auto | (F.col("__n") == 1)).drop("__n")
 
 
-def memory_markdown(facts: DataFrame, most: int = 60) -> DataFrame:
-    """(project, notes): a Markdown section a kind with at most `most` facts each, pinned and newest first.
+def memory_markdown(facts: DataFrame, most: int | None = 60) -> DataFrame:
+    """(project, notes): a Markdown section a kind with at most `most` facts each (all, if None), pinned and newest first.
 
-    facts: project, kind, text, pinned, created_at. Only the facts kept are gathered into one value.
+    facts: project, kind, text, pinned, created_at, fact_id. Only the facts kept are gathered into one value.
     """
-    best = Window.partitionBy("project", "kind").orderBy(F.col("pinned").desc(), F.col("created_at").desc(), "text")
-    top = facts.where(F.col("kind").isin("decision", "gotcha", "todo")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
+    best = Window.partitionBy("project", "kind").orderBy(F.col("pinned").desc(), F.col("created_at").desc(), F.col("fact_id").desc())
+    top = facts.where(F.col("kind").isin("decision", "gotcha", "todo")).withColumn("n", F.row_number().over(best)).where(F.lit(most is None) | (F.col("n") <= (most or 0)))
     heads = F.create_map(*[F.lit(x) for pair in (("decision", "## Decisions"), ("gotcha", "## Gotchas"), ("todo", "## Open todos")) for x in pair])
     sections = top.groupBy("project", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("rows"))
     body = F.concat_ws("\n", F.element_at(heads, F.col("kind")), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("- "), F.regexp_replace(r["text"], r"\s+", " "))), "\n"))
@@ -98,8 +94,8 @@ def thread_note(threads: DataFrame, packed: DataFrame) -> DataFrame:
     return rows.select("thread_id", X.file_name(X.day(F.col("created_at")), name).alias("file"), F.concat_ws("\n", *lines).alias("note"))
 
 
-def answer_context(hits: DataFrame, packed: DataFrame, threads: int = 5, most: int = 2500) -> DataFrame:
-    """(n, thread_id, excerpt): the first different threads of ranked hits with the start of their transcripts, numbered from 1."""
+def answer_context(hits: DataFrame, packed: DataFrame, threads: int = 5) -> DataFrame:
+    """(n, thread_id, excerpt): the first different threads of ranked hits, numbered from 1, with their transcripts, which the caller has packed into the excerpt's size."""
     first = hits.groupBy("thread_id").agg(F.min("rank").alias("rank")).orderBy("rank").limit(threads)
     numbered = first.withColumn("n", F.row_number().over(Window.orderBy("rank")))  # over at most `threads` rows
-    return packed.join(numbered, "thread_id").select("n", "thread_id", F.substring("packed", 1, most).alias("excerpt"))
+    return packed.join(numbered, "thread_id").select("n", "thread_id", F.col("packed").alias("excerpt"))

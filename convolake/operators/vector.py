@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +123,56 @@ def nearest_of_all(queries: DataFrame, rows: DataFrame, floor: float, k: int | N
         return flat
     by = Window.partitionBy("query_id", "query_no").orderBy(F.col("similarity").desc(), "owner")
     return flat.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= k).drop("__n")
+
+
+# ---------------------------------------------------------------- encoding
+
+
+def hashed_counts(text: Column, buckets: int) -> Column:
+    """How many of a text's words fall into each bucket, by the MD5 of the word."""
+    words = F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
+    numbers = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 6), 16, 10).cast("int") % buckets)
+    return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.size(F.filter(numbers, lambda n: n == k)))
+
+
+def hashing_encoder(text: Column, buckets: int = 8) -> Column:
+    """A vector of unit length in the JVM, for corpora without a model: the counts of hashed_counts; a text without words has zeros."""
+    counts = F.transform(hashed_counts(text, buckets), lambda n: n.cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * n))
+    return F.transform(counts, lambda n: F.when(norm > 0, n / norm).otherwise(0.0).cast("float"))
+
+
+def embed(chunks: DataFrame, encode: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """chunks (with chunk) and their embedding by any encoder, which runs on the executors over `batch` texts at a time; a batch that fails has null vectors, so it is not tried for ever."""
+    columns = [c for c in chunks.columns if c != "chunk"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            vectors: list = []
+            for at in range(0, len(f), batch):
+                texts = f["chunk"].iloc[at : at + batch].tolist()
+                try:
+                    vectors += [list(map(float, v)) for v in encode(texts)]
+                except Exception:  # noqa: BLE001
+                    vectors += [None] * len(texts)
+            yield f[columns].assign(embedding=vectors)
+
+    schema = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in columns)
+    return chunks.mapInPandas(run, f"{schema}, embedding array<float>")
+
+
+def write_vectors(stored: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vectors, done): stored vectors with those of the new messages in place of their old ones, and the ids of all messages that need no further try, failed ones too."""
+    done = new.select("message_id").distinct()
+    vectors = stored.join(done, "message_id", "left_anti").unionByName(new.where("embedding IS NOT NULL").select(*stored.columns))
+    return vectors, stored.select("message_id").union(done).distinct()
+
+
+def proactive(found: DataFrame, seen: DataFrame, floor: float = 0.62, most: int = 2, prompt: str | None = None) -> DataFrame:
+    """(query_id, thread_id, similarity): of what was found for each query (or session) the `most` best threads of at least `floor` that `seen` (query_id, thread_id) lacks. A prompt of fewer than 12 characters recalls nothing."""
+    rows = found.where(F.col("similarity") >= floor).join(seen, ["query_id", "thread_id"], "left_anti")
+    if prompt is not None and len(prompt.strip()) < 12:
+        rows = rows.limit(0)
+    best = rows.groupBy("query_id", "thread_id").agg(F.max("similarity").alias("similarity"))
+    by = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "thread_id")
+    return best.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= most).drop("__n")

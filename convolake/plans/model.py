@@ -1,7 +1,7 @@
 """The canonical tables of the corpus, as lazy DataFrames over the stored ones.
 
-Repeated rows count once, only the latest index state of a thread counts, and epochs are seconds. Stars, tags, curation of
-facts and mentions that the stored tables lack are derived from ids by fixed rules, the same in SQL (BASE_SQL).
+Repeated rows count once, only the latest index state of a thread counts, and epochs are seconds. User state, tags and facts are
+tables of their own (threads_user, thread_tags, facts); where a folder lacks one, `sources.stand_ins` derives it.
 """
 
 from __future__ import annotations
@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convolake.tables import epoch_seconds, read
-
-TAGS = ("auth", "wip", "perf", "docs", "infra")
+from convolake.sources import stand_ins
+from convolake.tables import epoch_seconds, exists, read
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +23,7 @@ def threads(spark: SparkSession, d: str) -> DataFrame:
     order = ["last_indexed_at", "updated_at", "message_count"]
     rest = [c for c in t.columns if c not in order and c != "id"]
     latest = t.groupBy("id").agg(F.max(F.struct(*order, *rest)).alias("s")).select("id", "s.*")
-    return latest.withColumn("project", F.coalesce("project_key", "project_path")).withColumn("starred", F.pmod("id", F.lit(4)) == 0)
+    return latest.withColumn("project", F.coalesce("project_key", "project_path"))
 
 
 def message_rows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -40,27 +39,27 @@ def messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return message_rows(spark, d, *columns).dropDuplicates(["id"])
 
 
-def thread_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Two or three tags a thread, by its id."""
-    ids = threads(spark, d).select(F.col("id").alias("thread_id"))
-    numbers = F.array_distinct(F.array(*[F.pmod(F.col("thread_id") * k + k, F.lit(len(TAGS))) for k in (1, 2, 3)]))
-    return ids.select("thread_id", F.explode(numbers).alias("n")).select("thread_id", F.element_at(F.array(*map(F.lit, TAGS)), (F.col("n") + 1).cast("int")).alias("tag"))
+def threads_user(spark: SparkSession, d: str) -> DataFrame:
+    """A row a thread with a user's state: starred and the knowledge drawn from it."""
+    return read(spark, d, "threads_user") if exists(spark, d, "threads_user") else stand_ins.threads_user(threads(spark, d))
 
 
-def whole_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Notes of the kinds decision, gotcha, todo and summary as facts with their whole texts, with curation by id."""
-    doc = read(spark, d, "documents").where(F.col("kind").isin("decision", "gotcha", "todo", "summary") & F.col("text").isNotNull())
-    return doc.select(
-        F.col("doc_id").alias("fact_id"), "kind", "text", F.rtrim("project_key").alias("project"),
-        F.unix_seconds(F.col("created_at").cast("timestamp")).alias("created_at"),
-        (F.pmod("doc_id", F.lit(11)) == 0).alias("pinned"), (F.pmod("doc_id", F.lit(13)) == 0).alias("hidden"),
-        F.when((F.col("kind") == "todo") & (F.pmod("doc_id", F.lit(3)) == 0), "done").otherwise("open").alias("status"),
-    )
+def threads_with_user(spark: SparkSession, d: str) -> DataFrame:
+    """threads with their user state; a thread without one isn't starred and has no knowledge."""
+    t = threads(spark, d)
+    if not exists(spark, d, "threads_user"):  # the stand-in is a function of the thread's own row and needs no join
+        return stand_ins.threads_user(t, keep=True)
+    both = t.join(threads_user(spark, d).withColumnRenamed("thread_id", "id"), "id", "left")
+    return both.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("starred", "knowledge_extracted")})
+
+
+def thread_tags(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "thread_tags").select("thread_id", "tag") if exists(spark, d, "thread_tags") else stand_ins.thread_tags(threads(spark, d))
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    """whole_facts with the first 80 characters of each text, as BASE_SQL has them."""
-    return whole_facts(spark, d).withColumn("text", F.col("text").substr(1, 80))
+    """Decisions, gotchas, todos and summaries with their whole texts and curation."""
+    return read(spark, d, "facts") if exists(spark, d, "facts") else stand_ins.facts(read(spark, d, "documents"))
 
 
 def fact_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +67,8 @@ def fact_vectors(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding", "label")
 
 
-BASE_SQL = """
+BASE_SQL = (
+    """
 WITH t AS (
   SELECT * EXCLUDE (rn), coalesce(project_key, project_path) AS project, id % 4 = 0 AS starred FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_indexed_at DESC NULLS LAST, updated_at DESC NULLS LAST, message_count DESC NULLS LAST) AS rn FROM threads
@@ -76,13 +76,9 @@ WITH t AS (
 ), m AS (
   SELECT DISTINCT id, thread_id, seq, role, text, tool_name, model, input_tokens, output_tokens, cache_write_tokens, cache_read_tokens,
     CASE WHEN ts >= 100000000000 THEN ts // 1000 ELSE ts END AS ts FROM messages
-), tags AS (
-  SELECT DISTINCT t.id AS thread_id, ['auth', 'wip', 'perf', 'docs', 'infra'][(t.id * k + k) % 5 + 1] AS tag FROM t, (VALUES (1), (2), (3)) v(k)
-), facts AS (
-  SELECT doc_id AS fact_id, kind, substring(text, 1, 80) AS text, rtrim(project_key) AS project, floor(epoch(created_at))::BIGINT AS created_at,
-    doc_id % 11 = 0 AS pinned, doc_id % 13 = 0 AS hidden, CASE WHEN kind = 'todo' AND doc_id % 3 = 0 THEN 'done' ELSE 'open' END AS status
-  FROM documents WHERE kind IN ('decision', 'gotcha', 'todo', 'summary') AND text IS NOT NULL
 ), vecs AS (
   SELECT DISTINCT message_id, chunk_no, embedding FROM chunks
+)"""
+    + stand_ins.SQL
+    + "\n"
 )
-"""

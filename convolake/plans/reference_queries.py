@@ -9,22 +9,19 @@ from pyspark.sql import functions as F
 from convolake.operators import extraction as X
 from convolake.operators import fulltext as T
 from convolake.operators import gitlink as G
-from convolake.operators import packing, store
+from convolake.operators import store
 from convolake.operators import vector as V
+from convolake.session import table_path
 from convolake.tables import read
 
 from . import model as M
 from .model import BASE_SQL
 
-QUERY, DAY = "watcher cach", 86_400
+QUERY, PUNCTUATED, DAY = "watcher cach", "main.rs régen-x watcher", 86_400
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-# BASE_SQL with the whole texts of facts, for the queries named *_whole.
-WHOLE_SQL = BASE_SQL.replace("substring(text, 1, 80) AS text", "text")
-
-
 def query(sql: str | None = None, base: bool = True):
     """Registers a query and its SQL, which continues BASE_SQL unless base is false."""
 
@@ -43,7 +40,7 @@ def _search(spark: SparkSession, d: str, text: str, limit: int, **filters) -> Da
     return T.ranked(scored.join(t, "thread_id", "left_semi"), len(T.query_terms(text)), limit)
 
 
-def search_filters(t: DataFrame, spark: SparkSession, d: str, subagents: bool = False, sources: tuple = (), project: str | None = None, starred: bool | None = None, tags: tuple = ()) -> DataFrame:
+def search_filters(t: DataFrame, spark: SparkSession, d: str, subagents: bool = False, sources: tuple = (), project: str | None = None, project_is: str | None = None, starred: bool | None = None, tags: tuple = ()) -> DataFrame:
     """Threads by the filters that searches and lists share; an unset filter keeps all."""
     if not subagents:
         t = t.where(~F.col("is_subagent"))
@@ -51,39 +48,54 @@ def search_filters(t: DataFrame, spark: SparkSession, d: str, subagents: bool =
         t = t.join(M.sources(spark, d).where(F.col("kind").isin(*sources)), "source_id", "left_semi")
     if project:
         t = t.where(F.col("project").ilike(f"%{project}%"))
+    if project_is:
+        t = t.where(F.col("project") == project_is)
     if starred is not None:
-        t = t.where(F.col("starred") == starred)
+        state = M.threads_with_user(spark, d).where(F.col("starred") == starred).select("id")
+        t = t.join(state, "id", "left_semi")
     if tags:
         hit = M.thread_tags(spark, d).where(F.col("tag").isin(*tags)).select(F.col("thread_id").alias("id"))
         t = t.join(hit, "id", "left_semi")
     return t
 
 
-_TERMS = QUERY.split()
-_BM25_SQL = (
-    """, k AS (
-  SELECT id, thread_id, text, coalesce(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), []) AS ts FROM m
+def _bm25_sql(text: str) -> str:
+    """The SQL of a search for `text`, up to the table kw."""
+    phrases = T.query_terms(text)
+    n = range(len(phrases))
+
+    def tf(phrase: tuple[str, ...]) -> str:
+        *whole, prefix = phrase
+        tests = [f"coalesce(ts[i{f' + {k}' if k else ''}], '') = '{w}'" for k, w in enumerate(whole)] + [f"starts_with(coalesce(ts[i + {len(whole)}], ''), '{prefix}')"]
+        return f"len(list_filter(range(1, len(ts) + 1), lambda i: {' AND '.join(tests)}))"
+
+    return (
+        f""", k AS (
+  SELECT id, thread_id, text, coalesce(regexp_extract_all(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), '[\\p{{L}}\\p{{N}}]+'), []) AS ts FROM m
 ), c AS (
   SELECT id, thread_id, len(ts) AS dl, """
-    + ", ".join(f"len(list_filter(ts, lambda x: starts_with(x, '{t}'))) AS tf{i}" for i, t in enumerate(_TERMS))
-    + """ FROM k
+        + ", ".join(f"{tf(p)} AS tf{i}" for i, p in enumerate(phrases))
+        + """ FROM k
 ), s AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl, """
-    + ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(_TERMS)))
-    + """ FROM c), b AS (
+        + ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in n)
+        + """ FROM c), b AS (
   SELECT id, thread_id, """
-    + " + ".join(f"(tf{i} > 0)::INT" for i in range(len(_TERMS)))
-    + " AS matched, round("
-    + " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(_TERMS)))
-    + f""", 6) AS score FROM c, s
+        + " + ".join(f"(tf{i} > 0)::INT" for i in n)
+        + " AS matched, round("
+        + " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in n)
+        + f""", 6) AS score FROM c, s
 ), f AS (
-  SELECT *, (matched = {len(_TERMS)})::INT AS strict FROM b WHERE matched > 0 AND thread_id IN (SELECT id FROM t WHERE NOT is_subagent)
+  SELECT *, (matched = {len(phrases)})::INT AS strict FROM b WHERE matched > 0 AND thread_id IN (SELECT id FROM t WHERE NOT is_subagent)
 ), kw AS (
   SELECT *, row_number() OVER (ORDER BY strict DESC, score DESC, id) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY strict DESC, score DESC, id) AS r FROM f
   ) WHERE r <= 3
 )
 """
-)
+    )
+
+
+_BM25_SQL = _bm25_sql(QUERY)
 
 
 @query(_BM25_SQL + "SELECT id, thread_id, strict, score, rank::INT AS rank FROM kw WHERE rank <= 100")
@@ -100,6 +112,21 @@ def search_filtered(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, QUERY, 50, sources=("claude_code", "codex"), project="harbor").select("id", "thread_id", "score", "rank")
 
 
+@query(_bm25_sql(PUNCTUATED) + "SELECT id, thread_id, strict, score, rank::INT AS rank FROM kw WHERE rank <= 100")
+def search_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """Words with punctuation and accents: a file's name is the phrase of its parts."""
+    return _search(spark, d, PUNCTUATED, 100).select("id", "thread_id", "strict", "score", "rank")
+
+
+@query(_BM25_SQL + "SELECT id, thread_id, strict, score, rank::INT AS rank FROM kw WHERE rank <= 100")
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """search_keyword answered by a stored index, of which it reads the postings of its prefixes only. The index is written first, into the shared folder."""
+    path = table_path(spark, "index")
+    T.write_index(M.messages(spark, d, "text"), path)
+    t = search_filters(M.threads(spark, d), spark, d).select(F.col("id").alias("thread_id"))
+    return T.ranked(T.Index(spark, path).bm25(QUERY).join(t, "thread_id", "left_semi"), len(T.query_terms(QUERY)), 100).select("id", "thread_id", "strict", "score", "rank")
+
+
 @query()
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     """The best hits with a window of twelve words around the first match."""
@@ -108,19 +135,19 @@ def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     return texts.select("id", "thread_id", "rank", T.snippet(F.col("text"), QUERY).alias("snippet"))
 
 
-@query(", k AS (SELECT id, unnest(coalesce(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), [])) AS term FROM m) SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM (SELECT term, id, count(*) AS tf FROM k GROUP BY ALL) GROUP BY term")
+@query(", k AS (SELECT id, unnest(coalesce(regexp_extract_all(translate(lower(text), '" + T.ACCENTED + "', '" + T.PLAIN + "'), '[\\p{L}\\p{N}]+'), [])) AS term FROM m) SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM (SELECT term, id, count(*) AS tf FROM k GROUP BY ALL) GROUP BY term")
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Each term with the number of messages and of places it stands in, from the inverted index."""
     return T.postings(M.messages(spark, d, "text")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
 @query(", c AS (SELECT id, text, CASE WHEN length(text) <= 1600 THEN 1 ELSE least(16, ceil((length(text) - 1600) / 1400.0) + 1) END AS n FROM m WHERE text IS NOT NULL), e AS (SELECT id, text, unnest(range(0, n::BIGINT))::INT AS chunk_no FROM c) SELECT id, chunk_no, substring(text, chunk_no * 1400 + 1, 1600) AS chunk FROM e")
-def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
+def chunk_windows_capped(spark: SparkSession, d: str) -> DataFrame:
     return V.chunk_windows(M.messages(spark, d, "text"))
 
 
-@query(SQL["chunk_windows"].removeprefix(BASE_SQL).replace("least(16, ceil((length(text) - 1600) / 1400.0) + 1)", "ceil((length(text) - 1600) / 1400.0) + 1"))
-def chunk_windows_whole(spark: SparkSession, d: str) -> DataFrame:
+@query(SQL["chunk_windows_capped"].removeprefix(BASE_SQL).replace("least(16, ceil((length(text) - 1600) / 1400.0) + 1)", "ceil((length(text) - 1600) / 1400.0) + 1"))
+def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows to the end of each text."""
     return V.chunk_windows(M.messages(spark, d, "text"), None)
 
@@ -139,103 +166,7 @@ def vector_coverage(spark: SparkSession, d: str) -> DataFrame:
     return talk.join(owners, "id", "left").agg(F.count("there").alias("done"), F.count(F.lit(1)).alias("total"))
 
 
-def _query_vector(spark: SparkSession, d: str) -> list[float]:
-    """The query of the vector searches: the first stored vector, in place of an encoder."""
-    return list(read(spark, d, "chunks").orderBy("message_id", "chunk_no").select("embedding").first()[0])
-
-
-_KNN_SQL = """, q AS (SELECT embedding::DOUBLE[] AS e FROM chunks ORDER BY message_id, chunk_no LIMIT 1), sims AS (
-  SELECT message_id, max(round(list_cosine_similarity(embedding::DOUBLE[], e), 6)) AS similarity FROM vecs, q GROUP BY message_id
-), near AS (SELECT message_id, similarity FROM sims WHERE similarity >= 0.35)
-"""
-
-
-@query(_KNN_SQL + "SELECT message_id, similarity FROM near ORDER BY similarity DESC, message_id LIMIT 200")
-def nearest_messages(spark: SparkSession, d: str) -> DataFrame:
-    return V.nearest(read(spark, d, "chunks"), "message_id", _query_vector(spark, d), 200)
-
-
-@query(
-    _BM25_SQL
-    + _KNN_SQL
-    + """, sem AS (
-  SELECT message_id AS id, similarity, row_number() OVER (ORDER BY similarity DESC, message_id) AS rank FROM near
-  WHERE message_id IN (SELECT id FROM m WHERE thread_id IN (SELECT id FROM t WHERE NOT is_subagent)) ORDER BY similarity DESC, message_id LIMIT 100
-), fused AS (
-  SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce((0.5 + 0.5 * least(1, greatest(0, (b.similarity - 0.35) / 0.65))) / (60 + b.rank), 0), 9) AS rrf
-  FROM (SELECT * FROM kw WHERE rank <= 100) a FULL JOIN sem b ON a.id = b.id
-) SELECT id, rrf FROM fused ORDER BY rrf DESC, id LIMIT 100"""
-)
-def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword and vector hits fused by reciprocal ranks."""
-    words = _search(spark, d, QUERY, 100).select("id", "rank")
-    allowed = M.messages(spark, d).join(M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id")), "thread_id", "left_semi").select(F.col("id").alias("message_id"))
-    near = V.nearest(read(spark, d, "chunks").join(allowed, "message_id", "left_semi"), "message_id", _query_vector(spark, d), 100)
-    sem = V.with_rank(near, F.col("similarity").desc(), F.col("message_id")).withColumnRenamed("message_id", "id")
-    return V.fuse(words, sem, "id").orderBy(F.col("rrf").desc(), "id").limit(100)
-
-
-@query(
-    _KNN_SQL
-    + """, hit AS (
-  SELECT m.thread_id, n.message_id, n.similarity, row_number() OVER (PARTITION BY m.thread_id ORDER BY n.similarity DESC, n.message_id) AS r
-  FROM near n JOIN m ON m.id = n.message_id JOIN t ON t.id = m.thread_id WHERE NOT t.is_subagent
-) SELECT thread_id, message_id, similarity FROM hit WHERE r = 1 ORDER BY similarity DESC, thread_id LIMIT 50"""
-)
-def related_threads(spark: SparkSession, d: str) -> DataFrame:
-    """Threads by their most similar message."""
-    owner = M.messages(spark, d).select(F.col("id").alias("message_id"), "thread_id")
-    sims = read(spark, d, "chunks").select("message_id", V.cosine(F.col("embedding"), _query_vector(spark, d)).alias("similarity")).where(F.col("similarity") >= V.FLOOR)
-    best = sims.groupBy("message_id").agg(F.max("similarity").alias("similarity")).join(owner, "message_id")
-    t = M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id"))
-    top = best.join(t, "thread_id", "left_semi").groupBy("thread_id").agg(F.max(F.struct("similarity", (-F.col("message_id")).alias("m"))).alias("s"))
-    rows = top.select("thread_id", (-F.col("s.m")).alias("message_id"), F.col("s.similarity").alias("similarity"))
-    return rows.orderBy(F.col("similarity").desc(), "thread_id").limit(50)
-
-
-_RECALL_SQL = """, fq AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), rec AS (
-  SELECT f.fact_id, f.kind, f.project, f.text, round(list_cosine_similarity(v.embedding::DOUBLE[], e), 6) AS similarity
-  FROM embeddings v JOIN facts f ON f.fact_id = v.vec_id, fq WHERE NOT f.hidden
-)
-"""
-
-
-def _recall(spark: SparkSession, d: str, facts=M.facts) -> DataFrame:
-    q = read(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0]
-    f = facts(spark, d).where(~F.col("hidden")).select("fact_id", "kind", "project", "text")
-    return M.fact_vectors(spark, d).join(f, "fact_id").select("fact_id", "kind", "project", "text", V.cosine(F.col("embedding"), list(q)).alias("similarity"))
-
-
-@query(_RECALL_SQL + "SELECT fact_id, kind, text, similarity FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.15 ORDER BY similarity DESC, fact_id LIMIT 50")
-def recall_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions and gotchas most like a query; the floor is a parameter."""
-    return _recall_facts(spark, d, M.facts)
-
-
-@query(WHOLE_SQL + SQL["recall_facts"].removeprefix(BASE_SQL), base=False)
-def recall_facts_whole(spark: SparkSession, d: str) -> DataFrame:
-    """recall_facts with whole texts."""
-    return _recall_facts(spark, d, M.whole_facts)
-
-
-def _recall_facts(spark: SparkSession, d: str, facts) -> DataFrame:
-    r = _recall(spark, d, facts).where(F.col("kind").isin("decision", "gotcha") & (F.col("similarity") >= 0.15))
-    return r.orderBy(F.col("similarity").desc(), "fact_id").limit(50).select("fact_id", "kind", "text", "similarity")
-
-
-@query(_RECALL_SQL + "SELECT project, count(*) AS n, max(similarity) AS best, arg_max(kind, (similarity, -fact_id)) AS kind, arg_max(fact_id, (similarity, -fact_id)) AS fact_id FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.1 GROUP BY project")
-def prior_work(spark: SparkSession, d: str) -> DataFrame:
-    """Projects by their facts that are like a query."""
-    return V.prior_work(_recall(spark, d).where(F.col("kind").isin("decision", "gotcha")), floor=0.1)
-
-
-@query(_RECALL_SQL + "SELECT fact_id, project, similarity FROM rec WHERE kind = 'decision' AND similarity >= 0.12 ORDER BY similarity DESC, fact_id LIMIT 8")
-def check_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Earlier decisions that a new one may contradict."""
-    return _recall(spark, d).where((F.col("kind") == "decision") & (F.col("similarity") >= 0.12)).orderBy(F.col("similarity").desc(), "fact_id").limit(8).select("fact_id", "project", "similarity")
-
-
-# The searches of every fiftieth stored vector, in place of one: query_id and query_no are the vector's message and chunk, or its fact and 0.
+# Vector searches answer every stored vector whose message or fact id is divisible by 50: query_id and query_no are the vector's message and chunk, or its fact and 0.
 _QS_SQL = """, qs AS (SELECT DISTINCT message_id AS query_id, chunk_no::BIGINT AS query_no, embedding::DOUBLE[] AS e FROM chunks WHERE message_id % 50 = 0 AND embedding IS NOT NULL), sims AS (
   SELECT query_id, query_no, message_id, max(round(list_cosine_similarity(embedding::DOUBLE[], e), 6)) AS similarity FROM vecs, qs GROUP BY ALL
 ), near AS (SELECT * FROM sims WHERE similarity >= 0.35)
@@ -257,7 +188,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_QS_SQL + "SELECT query_id, query_no, message_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id, query_no ORDER BY similarity DESC, message_id) AS r FROM near) WHERE r <= 200")
-def nearest_messages_whole(spark: SparkSession, d: str) -> DataFrame:
+def nearest_messages(spark: SparkSession, d: str) -> DataFrame:
     """The 200 nearest messages of each query vector."""
     near = V.nearest_of_all(_queries(spark, d), _vectors(spark, d).withColumn("owner", F.col("id")), V.FLOOR, 200)
     return near.select("query_id", "query_no", F.col("owner").alias("message_id"), "similarity")
@@ -275,7 +206,7 @@ def nearest_messages_whole(spark: SparkSession, d: str) -> DataFrame:
   FROM words a FULL JOIN sem b USING (query_id, query_no, id)
 ) SELECT query_id, query_no, id, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query_id, query_no ORDER BY rrf DESC, id) AS r FROM fused) WHERE r <= 100"""
 )
-def search_hybrid_whole(spark: SparkSession, d: str) -> DataFrame:
+def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """The keyword hits fused with the hits of each query vector."""
     q = _queries(spark, d)
     allowed = M.messages(spark, d).join(M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id")), "thread_id", "left_semi").select("id")
@@ -297,7 +228,7 @@ def search_hybrid_whole(spark: SparkSession, d: str) -> DataFrame:
 ) SELECT query_id, query_no, thread_id, message_id, similarity FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, query_no ORDER BY similarity DESC, thread_id) AS k FROM hit WHERE r = 1) WHERE k <= 50"""
 )
-def related_threads_whole(spark: SparkSession, d: str) -> DataFrame:
+def related_threads(spark: SparkSession, d: str) -> DataFrame:
     """The 50 threads with the message nearest to each query vector."""
     t = M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id"))
     owner = M.messages(spark, d).join(t, "thread_id", "left_semi").select("id", F.col("thread_id").alias("owner"))
@@ -308,32 +239,32 @@ def related_threads_whole(spark: SparkSession, d: str) -> DataFrame:
 def _recall_all(spark: SparkSession, d: str, kinds: tuple, owner: str, floor: float, k: int | None = None) -> DataFrame:
     """Like nearest_of_all, for the visible facts of the kinds, owned by themselves or by their projects."""
     q = read(spark, d, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.lit(0).cast("bigint").alias("query_no"), "embedding").distinct()
-    f = M.whole_facts(spark, d).where(~F.col("hidden") & F.col("kind").isin(*kinds)).select("fact_id", F.col(owner).alias("owner"))
+    f = M.facts(spark, d).where(~F.col("hidden") & F.col("kind").isin(*kinds)).select("fact_id", F.col(owner).alias("owner"))
     return V.nearest_of_all(q, M.fact_vectors(spark, d).join(f, "fact_id").select("owner", F.col("fact_id").alias("id"), "embedding"), floor, k).drop("query_no")
 
 
 def _facts_of(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return M.whole_facts(spark, d).select(F.col("fact_id").alias("id"), *columns)
+    return M.facts(spark, d).select(F.col("fact_id").alias("id"), *columns)
 
 
 @query(
-    WHOLE_SQL + _FACT_QS_SQL + "SELECT query_id, fact_id, kind, text, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fact_id) AS r FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.15) WHERE r <= 50", base=False
+    _FACT_QS_SQL + "SELECT query_id, fact_id, kind, text, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fact_id) AS r FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.15) WHERE r <= 50"
 )
-def recall_facts_of_all(spark: SparkSession, d: str) -> DataFrame:
+def recall_facts(spark: SparkSession, d: str) -> DataFrame:
     """Decisions and gotchas most like each query vector, with whole texts."""
     near = _recall_all(spark, d, ("decision", "gotcha"), "fact_id", 0.15, 50)
     return near.join(_facts_of(spark, d, "kind", "text"), "id").select("query_id", F.col("id").alias("fact_id"), "kind", "text", "similarity")
 
 
 @query(_FACT_QS_SQL + "SELECT query_id, project, count(*) AS n, max(similarity) AS best, arg_max(kind, (similarity, -fact_id)) AS kind, arg_max(fact_id, (similarity, -fact_id)) AS fact_id FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.1 GROUP BY query_id, project")
-def prior_work_whole(spark: SparkSession, d: str) -> DataFrame:
+def prior_work(spark: SparkSession, d: str) -> DataFrame:
     """Projects by their facts that are like each query vector."""
     near = _recall_all(spark, d, ("decision", "gotcha"), "project", 0.1)
     return near.join(_facts_of(spark, d, "kind"), "id").select("query_id", F.col("owner").alias("project"), "n", F.col("similarity").alias("best"), "kind", F.col("id").alias("fact_id"))
 
 
 @query(_FACT_QS_SQL + "SELECT query_id, fact_id, project, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fact_id) AS r FROM rec WHERE kind = 'decision' AND similarity >= 0.12) WHERE r <= 8")
-def check_decision_whole(spark: SparkSession, d: str) -> DataFrame:
+def check_decision(spark: SparkSession, d: str) -> DataFrame:
     """Earlier decisions like each query vector."""
     near = _recall_all(spark, d, ("decision",), "fact_id", 0.12, 8)
     return near.join(_facts_of(spark, d, "project"), "id").select("query_id", F.col("id").alias("fact_id"), "project", "similarity")
@@ -373,31 +304,12 @@ def top_projects(spark: SparkSession, d: str) -> DataFrame:
 def heatmap(spark: SparkSession, d: str) -> DataFrame:
     """Messages by user and assistant a UTC day, of the last 364 days before the newest message."""
     m = M.messages(spark, d, "role", "ts")
-    newest = m.agg(F.max("ts")).first()[0] or 0
+    newest = M.message_rows(spark, d, "ts").agg(F.max("ts")).scalar()
     talk = m.where(F.col("role").isin("user", "assistant") & (F.col("ts") >= newest - 364 * DAY))
     t = M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id"))
     return talk.join(t, "thread_id", "left_semi").groupBy((F.floor(F.col("ts") / DAY) * DAY).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT fact_id, kind, text, created_at FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, fact_id DESC) AS r FROM facts WHERE kind IN ('decision', 'gotcha') AND NOT hidden AND created_at >= (SELECT max(created_at) FROM facts) - 7 * 86400) WHERE r <= 40")
-def weekly_digest(spark: SparkSession, d: str) -> DataFrame:
-    return _weekly_digest(spark, d, M.facts)
-
-
-@query(WHOLE_SQL + SQL["weekly_digest"].removeprefix(BASE_SQL), base=False)
-def weekly_digest_whole(spark: SparkSession, d: str) -> DataFrame:
-    """weekly_digest with whole texts."""
-    return _weekly_digest(spark, d, M.whole_facts)
-
-
-def _weekly_digest(spark: SparkSession, d: str, facts) -> DataFrame:
-    f = facts(spark, d)
-    newest = f.agg(F.max("created_at")).first()[0] or 0
-    w = Window.partitionBy("kind").orderBy(F.col("created_at").desc(), F.col("fact_id").desc())
-    kept = f.where(F.col("kind").isin("decision", "gotcha") & ~F.col("hidden") & (F.col("created_at") >= newest - 7 * DAY))
-    return kept.withColumn("r", F.row_number().over(w)).where("r <= 40").select("fact_id", "kind", "text", "created_at")
-
-
 @query("SELECT tag, count(DISTINCT thread_id) AS n FROM tags GROUP BY tag")
 def tag_counts(spark: SparkSession, d: str) -> DataFrame:
     return M.thread_tags(spark, d).groupBy("tag").agg(F.countDistinct("thread_id").alias("n"))
@@ -409,40 +321,6 @@ def list_projects(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("project").agg(F.count(F.lit(1)).alias("threads"), F.max("updated_at").alias("updated_at"))
 
 
-@query("SELECT fact_id, project, kind, text FROM (SELECT *, row_number() OVER (PARTITION BY project, kind, lower(trim(text)) ORDER BY pinned DESC, created_at DESC, fact_id DESC) AS r FROM facts WHERE NOT hidden AND (kind <> 'todo' OR status = 'open')) WHERE r = 1")
-def project_memory(spark: SparkSession, d: str) -> DataFrame:
-    """The visible facts of each project and kind, equal texts once (pinned ones first, then the latest), todos only if open."""
-    return _project_memory(spark, d, M.facts)
-
-
-@query(WHOLE_SQL + SQL["project_memory"].removeprefix(BASE_SQL), base=False)
-def project_memory_whole(spark: SparkSession, d: str) -> DataFrame:
-    """project_memory with whole texts, which are equal only if they agree to their ends."""
-    return _project_memory(spark, d, M.whole_facts)
-
-
-def _project_memory(spark: SparkSession, d: str, facts) -> DataFrame:
-    f = facts(spark, d).where("NOT hidden AND (kind <> 'todo' OR status = 'open')")
-    best = f.groupBy("project", "kind", F.lower(F.trim("text")).alias("k")).agg(F.max(F.struct("pinned", "created_at", "fact_id", "text")).alias("s"))
-    return best.select("s.fact_id", "project", "kind", "s.text")
-
-
-@query("SELECT fact_id, project, text FROM facts WHERE kind = 'todo' AND status = 'open' AND NOT hidden AND text ILIKE '%retry%' ORDER BY created_at DESC, fact_id DESC LIMIT 50")
-def open_todos(spark: SparkSession, d: str) -> DataFrame:
-    return _open_todos(spark, d, M.facts)
-
-
-@query(WHOLE_SQL + SQL["open_todos"].removeprefix(BASE_SQL), base=False)
-def open_todos_whole(spark: SparkSession, d: str) -> DataFrame:
-    """open_todos searched and returned by whole texts."""
-    return _open_todos(spark, d, M.whole_facts)
-
-
-def _open_todos(spark: SparkSession, d: str, facts) -> DataFrame:
-    f = facts(spark, d).where("kind = 'todo' AND status = 'open' AND NOT hidden").where(F.col("text").ilike("%retry%"))
-    return f.orderBy(F.col("created_at").desc(), F.col("fact_id").desc()).limit(50).select("fact_id", "project", "text")
-
-
 @query("SELECT regexp_replace(lower(model), '^.*/', '') AS model, count(*) AS calls, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, coalesce(sum(cache_write_tokens), 0)::BIGINT AS cache_write_tokens, coalesce(sum(cache_read_tokens), 0)::BIGINT AS cache_read_tokens FROM m WHERE model IS NOT NULL AND ts IS NOT NULL GROUP BY 1")
 def usage_by_model(spark: SparkSession, d: str) -> DataFrame:
     """Calls and tokens of each model, names without provider and case; undated calls are left out."""
@@ -478,21 +356,10 @@ def cleanup_candidates(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT m.thread_id, m.seq, m.role, m.text, m.ts FROM m WHERE m.thread_id = (SELECT min(id) FROM t)")
 def thread_detail(spark: SparkSession, d: str) -> DataFrame:
     """A thread's messages; the filter on thread_id reaches the scan."""
-    first = read(spark, d, "threads").agg(F.min("id")).first()[0]
+    first = read(spark, d, "threads").agg(F.min("id")).scalar()
     return M.messages(spark, d, "role", "text", "ts").where(F.col("thread_id") == first).select("thread_id", "seq", "role", "text", "ts")
 
 
-@query()
-def thread_todos(spark: SparkSession, d: str) -> DataFrame:
-    return X.todos(M.message_rows(spark, d, "text"))
-
-
-@query()
-def thread_todos_shown(spark: SparkSession, d: str) -> DataFrame:
-    """The display report of thread_todos: 25 a thread, cut to 240 characters."""
-    return X.todos_shown(thread_todos(spark, d))
-
-
 _ENDINGS = ", ".join(f"'{e}'" for e in X.ENDINGS)
 _PATHS_SQL = f""", w AS (
   SELECT thread_id, seq, generate_subscripts(ws, 1) AS word_no, trim(unnest(ws), '.:*#!?@') AS path FROM (
@@ -505,7 +372,7 @@ _PATHS_SQL = f""", w AS (
 
 
 @query(_PATHS_SQL + "SELECT thread_id, path FROM mentions")
-def file_mentions(spark: SparkSession, d: str) -> DataFrame:
+def file_mentions_capped(spark: SparkSession, d: str) -> DataFrame:
     """The first 200 different paths of each thread."""
     return X.paths(M.message_rows(spark, d, "text"), X.PATHS_A_THREAD)
 
@@ -514,29 +381,21 @@ _ALL_PATHS_SQL = _PATHS_SQL.replace(" WHERE n <= 200)", ")")
 
 
 @query(_ALL_PATHS_SQL + "SELECT thread_id, path FROM mentions")
-def file_mentions_whole(spark: SparkSession, d: str) -> DataFrame:
+def file_mentions(spark: SparkSession, d: str) -> DataFrame:
     """All different paths of each thread."""
     return X.paths(M.message_rows(spark, d, "text"))
 
 
 @query(_PATHS_SQL + "SELECT id, title FROM t WHERE NOT is_subagent AND id IN (SELECT thread_id FROM mentions WHERE contains(lower(path), 'rank/main')) ORDER BY updated_at DESC NULLS LAST, id DESC LIMIT 40")
-def threads_for_file(spark: SparkSession, d: str) -> DataFrame:
+def threads_for_file_capped(spark: SparkSession, d: str) -> DataFrame:
     return T.threads_with_file(X.paths(M.message_rows(spark, d, "text"), X.PATHS_A_THREAD), M.threads(spark, d), "rank/main", 40).select("id", "title")
 
 
-@query(SQL["threads_for_file"].replace(_PATHS_SQL, _ALL_PATHS_SQL), base=False)
-def threads_for_file_whole(spark: SparkSession, d: str) -> DataFrame:
+@query(SQL["threads_for_file_capped"].replace(_PATHS_SQL, _ALL_PATHS_SQL), base=False)
+def threads_for_file(spark: SparkSession, d: str) -> DataFrame:
     return T.threads_with_file(X.paths(M.message_rows(spark, d, "text")), M.threads(spark, d), "rank/main", 40).select("id", "title")
 
 
-@query()
-def recurring_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Error lines of user and tool messages that come in two messages or more."""
-    m = M.message_rows(spark, d, "role", "text", "ts").where(F.col("role").isin("user", "tool") & F.col("text").isNotNull())
-    t = M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id"))
-    return X.recurring(X.error_lines(m.join(t, "thread_id", "left_semi")), 20)
-
-
 _LINKS_SQL = (
     _PATHS_SQL
     + """, sp AS (
@@ -559,7 +418,7 @@ def _links(spark: SparkSession, d: str, paths: int | None = X.PATHS_A_THREAD, mo
 
 
 @query(_LINKS_SQL + "SELECT thread_id, sha, committed_at, overlap FROM links")
-def thread_commits(spark: SparkSession, d: str) -> DataFrame:
+def thread_commits_capped(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d)
 
 
@@ -567,7 +426,7 @@ _ALL_PATHS_LINKS_SQL = _LINKS_SQL.replace(_PATHS_SQL, _ALL_PATHS_SQL)
 
 
 @query(_ALL_PATHS_LINKS_SQL + "SELECT thread_id, sha, committed_at, overlap FROM links")
-def thread_commits_of_all_paths(spark: SparkSession, d: str) -> DataFrame:
+def thread_commits_best(spark: SparkSession, d: str) -> DataFrame:
     """The best five commits of each thread by all of its paths."""
     return _links(spark, d, None)
 
@@ -576,43 +435,24 @@ _ALL_LINKS_SQL = _ALL_PATHS_LINKS_SQL.replace(" WHERE n <= 5)", ")")
 
 
 @query(_ALL_LINKS_SQL + "SELECT thread_id, sha, committed_at, overlap FROM links")
-def thread_commits_whole(spark: SparkSession, d: str) -> DataFrame:
+def thread_commits(spark: SparkSession, d: str) -> DataFrame:
     """All commits of each thread by all of its paths."""
     return _links(spark, d, None, None)
 
 
 @query(_LINKS_SQL + "SELECT sha, committed_at, count(*) AS threads, max(overlap) AS overlap FROM links GROUP BY ALL ORDER BY committed_at DESC, sha LIMIT 50")
-def commit_timeline(spark: SparkSession, d: str) -> DataFrame:
+def commit_timeline_capped(spark: SparkSession, d: str) -> DataFrame:
     return G.timeline(_links(spark, d), 50)
 
 
-@query(SQL["commit_timeline"].replace(_LINKS_SQL, _ALL_LINKS_SQL), base=False)
-def commit_timeline_whole(spark: SparkSession, d: str) -> DataFrame:
+@query(SQL["commit_timeline_capped"].replace(_LINKS_SQL, _ALL_LINKS_SQL), base=False)
+def commit_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Threads of each commit, counted over all links."""
     return G.timeline(_links(spark, d, None, None), 50)
 
 
-@query(_LINKS_SQL + "SELECT thread_id, sha, overlap FROM links WHERE sha LIKE '8%' OR sha LIKE 'a1%'")
+@query(_ALL_LINKS_SQL + "SELECT DISTINCT l.thread_id, l.sha, l.overlap FROM links l JOIN commits c ON starts_with(l.sha, lower(trim(c.short_sha)))")
 def commits_by_sha(spark: SparkSession, d: str) -> DataFrame:
-    return G.by_sha(_links(spark, d), [" 8", "A1", ""]).select("thread_id", "sha", "overlap")
-
-
-@query(SQL["commits_by_sha"].replace(_LINKS_SQL, _ALL_LINKS_SQL), base=False)
-def commits_by_sha_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.by_sha(_links(spark, d, None, None), [" 8", "A1", ""]).select("thread_id", "sha", "overlap")
-
-
-@query(
-    """, l AS (SELECT thread_id, seq, coalesce(role, '') AS role, '### ' || coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10) AS line FROM m
-), z AS (SELECT thread_id, sum(strlen(line)) AS a, coalesce(sum(strlen(line)) FILTER (WHERE role <> 'tool'), 0) AS b FROM l GROUP BY thread_id
-), w AS (SELECT thread_id, CASE WHEN a <= 6000 THEN 'full' ELSE 'no_tools' END AS mode FROM z WHERE a <= 6000 OR b <= 6000)
-SELECT w.thread_id, w.mode, count(*)::INT AS turns, string_agg(line, '' ORDER BY seq) AS packed FROM w JOIN l ON l.thread_id = w.thread_id WHERE w.mode = 'full' OR l.role <> 'tool' GROUP BY ALL"""
-)
-def packed_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Transcripts that fit the budget with or without tool rows."""
-    return packing.pack(M.messages(spark, d, "role", "text"), 6000).where("mode != 'ends'")
-
-
-@query()
-def packed_all(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(M.messages(spark, d, "role", "text"), 6000)
+    """The links of the commits that a list names by their short shas, here in capitals and with blanks."""
+    needles = read(spark, d, "commits").select(F.concat(F.lit(" "), F.upper("short_sha")).alias("needle"))
+    return G.by_sha(_links(spark, d, None, None), needles).select("thread_id", "sha", "overlap")

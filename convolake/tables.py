@@ -10,6 +10,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def exists(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether the folder has the table; one look at the file system, no job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def epoch_seconds(c: Column) -> Column:
     """Epoch seconds of a value in seconds, milliseconds, microseconds or nanoseconds, told apart by size; fractions are dropped."""
     size = F.abs(c)

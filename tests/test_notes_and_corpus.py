@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convolake.functions import text as X
-from convolake.operators import notes
+from convolake.operators import notes, store
 
 SMALL = "/root/testdata/sf0.001"
 FACT = "thread_id bigint, kind string, text string, extractor string, pinned boolean, edited boolean, hidden boolean"
@@ -37,7 +37,7 @@ def test_distilled_facts_keep_what_was_curated(spark):
 
     got = notes.store_distilled(old, notes.distill(packed, complete))
     assert sorted((r.thread_id, r.text) for r in got.collect()) == [(1, "new"), (1, "pinned"), (1, "s"), (1, "t"), (2, "other")]
-    assert notes.curated(old).count() == 1
+    assert old.where(store.curated()).count() == 1
     more = notes.record_fact(old, "/p", "gotcha", "mind the gap").where("extractor = 'agent'").first()
     assert more.pinned and more.text == "mind the gap"
     with pytest.raises(ValueError):
@@ -52,7 +52,7 @@ def test_snapshots_and_exports(spark):
     kept = sorted((r.thread_id, r.label) for r in notes.rolling(rows).collect())
     assert kept == [(1, "auto · b"), (1, "by hand"), (2, "auto · b"), (2, "by hand")]
     assert rows.where("thread_id = 1 AND created_at = 3").first().body == "notes\n---\nbody" and first.where("thread_id = 1").first().token_estimate == 1
-    facts = spark.createDataFrame([("/p", "decision", f"d{i}", i == 2, i) for i in range(5)] + [("/p", "gotcha", "g\nh", False, 1), ("/p", "summary", "no", False, 1)], "project string, kind string, text string, pinned boolean, created_at bigint")
+    facts = spark.createDataFrame([("/p", "decision", f"d{i}", i == 2, i, i) for i in range(5)] + [("/p", "gotcha", "g\nh", False, 1, 8), ("/p", "summary", "no", False, 1, 9)], "project string, kind string, text string, pinned boolean, created_at bigint, fact_id bigint")
     assert notes.memory_markdown(facts, 2).first().notes == "## Decisions\n- d2\n- d4\n\n## Gotchas\n- g h"
     once = notes.with_block("mine\n", "a", "notes")
     twice = notes.with_block(once, "b", "notes")

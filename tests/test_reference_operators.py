@@ -1,9 +1,13 @@
 import json
+import random
+import re
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
+from convolake.functions import text as H
+from convolake.functions.stem import stem
 from convolake.operators import extraction as X
 from convolake.operators import fulltext as T
 from convolake.operators import gitlink as G
@@ -18,24 +22,77 @@ def messages(spark, *texts, role="user", thread=1):
     return spark.createDataFrame([(thread, i + 1, i, role, t, 100 + i) for i, t in enumerate(texts)], M)
 
 
-def test_todos(spark):
-    text = "TODO: wire the parser\n- [ ] write a test\n- [x] done already\nmastodon is a word\n// FIXME handle nulls\nplain prose\nTODO\nTODO: abc\n| TODO: a table | row |\nTODO: {\"a\": 1}\n- [ ] write a TEST"
-    found = [r.todo for r in X.todos(messages(spark, text, None, "")).orderBy("line_no").collect()]
-    assert found == ["wire the parser", "write a test", "handle nulls"]
-
-
-def test_paths(spark):
-    text = "see `src/a/mod.rs` and ./lib/x.py, mod.rs; 1.2.3 https://a.b/c.html photo.jpg SRC/A/mod.rs src/a.rs:42"
-    assert sorted(r.path for r in X.paths(messages(spark, text, None)).collect()) == ["/lib/x.py", "mod.rs", "src/a/mod.rs"]
-
-
-def test_errors(spark):
-    lines = "error[E0382]: use of moved value `a` in /x/y.rs:1:2\nthe word error in a sentence only\nthread panicked at src/m.rs\nTypeError: x is 0xdeadbeef"
-    found = {r.line.split()[0]: r.key for r in X.error_lines(messages(spark, lines, None)).collect()}
-    assert found == {"error[E0382]:": "error[e0382]: use of moved value '…' in <path>", "thread": "thread panicked at <path>", "TypeError:": "typeerror: x is <n>"}
-    other = messages(spark, "error[E0382]: use of moved value `b` in /z.rs:9:9", "error[E0382]: use of moved value `b` in /z.rs:9:9")
-    row = X.recurring(X.error_lines(other), 5).collect()[0]
-    assert (row.n, row.threads, row.first_seen, row.last_seen) == (2, 1, 100, 101)
+def walk_todos(text):
+    """The todos of a text by a plain walk over its lines."""
+    for n, line in enumerate((text or "").split("\n")):
+        line, found = line.strip(" \t\r"), None
+        if m := re.match(r"[-*] \[ ?\] ?", line):
+            found = line[m.end() :]
+        else:
+            for mark in ("todo", "fixme"):
+                low = "".join(c.lower() if c.isascii() else c for c in line)
+                spots = [i for i in range(len(low)) if low.startswith(mark, i) and not re.match("[a-z0-9]", low[i - 1 : i]) and not re.match("[a-z0-9]", low[i + len(mark) : i + len(mark) + 1])]
+                if spots:
+                    found = line[spots[0] + len(mark) :].lstrip(": \t)(.*-")
+                    break
+        found = (found or "").strip(" \t\r")
+        if len(found) >= 4 and not any(x in found for x in ("\\n", "|", '","', "{", "}")):
+            yield n, found
+
+
+def test_todos_against_a_walk(spark):
+    rng = random.Random(4)
+    bits = ["todo", "TODO:", "Fixme", "fixme(x)", "- [ ]", "* [] ", "- [x]", "mastodons", "plan", "a|b", "{", "\\n", "ok", "wait for it", "-", ":", " ", "\t", "é", "x1todo"]
+    texts = ["\n".join("".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 9))) for _ in range(150)] + [None, "", "\n" * 50, "todo " + "w" * 50_000]
+    found: dict = {}
+    for r in X.todos(spark.createDataFrame([(i, i, 0, t, None) for i, t in enumerate(texts)], "thread_id bigint, id bigint, seq bigint, text string, todo string").drop("todo")).collect():
+        found.setdefault(r.thread_id, set()).add(r.todo)
+    for i, t in enumerate(texts):
+        first: dict = {}
+        for _, x in walk_todos(t):
+            first.setdefault(x.lower(), x)
+        assert found.get(i, set()) == set(first.values()), t
+
+
+def walk_paths(text):
+    for w in re.split(r"""[\s()\[\]{}"'`,;<>|=]+""", text or ""):
+        w = w.strip(".:*#!?@")
+        stem, dot, ending = w.rpartition(".")
+        if 3 <= len(w.encode()) <= 200 and "://" not in w and dot and stem and re.fullmatch("[A-Za-z0-9]+", ending) and not ending.isdigit() and ("/" in w or ending.lower() in X.ENDINGS):
+            yield w
+
+
+def test_paths_against_a_walk(spark):
+    rng = random.Random(6)
+    bits = ["lib/", "core", "Makefile", ".py", ".RS", ".jpg", ".9", "..", "/", "http://h.example/", "a b", "é.md", "'", "(", ":12", "x" * 70, "*", "-", "_t", ".tsx"]
+    texts = [" ".join("".join(rng.choice(bits) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 20))) for _ in range(150)] + [None, "", "/" * 9000 + ".c"]
+    found: dict = {}
+    for r in X.paths(spark.createDataFrame([(i, i, 0, t) for i, t in enumerate(texts)], "thread_id bigint, id bigint, seq bigint, text string")).collect():
+        found.setdefault(r.thread_id, set()).add(r.path)
+    for i, t in enumerate(texts):
+        first: dict = {}
+        for w in walk_paths(t):
+            first.setdefault(w.lower(), w)
+        assert found.get(i, set()) == set(first.values()), t
+
+
+def test_error_keys_hold_what_stays_the_same(spark):
+    """The normal form is idempotent for what it leaves, and forgets places, quotations and addresses only."""
+    pairs = [
+        ("fatal: no remote /srv/a/b.git here", "fatal: no remote /home/q here", True), ("panic: slot 0xabcdef01 freed", "panic: slot 0x99ffee22 freed", True), ("ERROR: Lost 'alpha'", "error: lost 'beta'", True),
+        ("error: lost alpha", "error: lost beta", False), ("fatal: C:\\x\\y gone", "fatal: D:\\z gone", True), ("error[A1]: x", "error[A2]: x", False), ("panic: 0x12 set", "panic: 0x13 set", False),
+    ]
+    rows = [(i, side, t) for i, (a, b, _) in enumerate(pairs) for side, t in enumerate((a, b))]
+    df = spark.createDataFrame(rows, "i bigint, side int, line string").withColumn("key", X.normal_error(F.col("line"))).withColumn("error", X.is_error(F.col("line"))).withColumn("again", X.normal_error(F.col("key")))
+    keys: dict = {}
+    for r in df.collect():
+        assert r.error and (r.again == r.key or "<" in r.key or "…" in r.key)
+        keys.setdefault(r.i, []).append(r.key)
+    assert [a == b for a, b in keys.values()] == [same for *_, same in pairs]
+    quiet = messages(spark, "an error happened long ago", "x" * 401 + " error: y", "abc", None, " " * 70 + "error: late", role="tool")
+    assert [r.line for r in X.error_lines(quiet).collect()] == ["error: late"]
+    twice = X.recurring(X.error_lines(messages(spark, "fatal: a /x\nfatal: a /y", "ok", "fatal: a /z")), 5).collect()
+    assert [(r.n, r.threads, r.first_seen, r.last_seen, r.example) for r in twice] == [(2, 1, 100, 102, "fatal: a /z")]
 
 
 def test_bm25_prefix_and_cap(spark):
@@ -43,10 +100,30 @@ def test_bm25_prefix_and_cap(spark):
     hits = T.ranked(T.bm25(m, "watch cach"), 2, 10).orderBy("rank").collect()
     assert len(hits) == 3 and [h.strict for h in hits] == [1, 1, 1] and hits[0].score >= hits[1].score
     assert T.ranked(T.bm25(m, "zzz"), 1, 10).count() == 0
-    assert T.bm25(m, " ").count() == 0 and T.bm25(m.limit(0), "watch").count() == 0
+    assert T.bm25(m, " . ").count() == 0 and T.bm25(m.limit(0), "watch").count() == 0
     assert "\x01" in m.select(T.snippet(F.lit("one two watcher four"), "watch").alias("s")).first().s
 
 
+def test_words_with_punctuation_are_phrases(spark, tmp_path):
+    m = messages(spark, "open core/mod.rs now", "mod of rs", "a foo-bar and foo-barn", "bar foo", "Crème brûlée", "the mod.rsx file", None, "")
+    T.write_index(m, str(tmp_path / "i"))
+    index = T.Index(spark, str(tmp_path / "i"))
+    for query, ids in (("mod.rs", {1, 6}), ("foo-bar", {3}), ("creme", {5}), ("CRÈME brul", {5}), ("core/mod.rs", {1}), ("...", set()), ("bar", {3, 4})):
+        scan, stored = ({(r.id, r.matched, r.score) for r in f(query).collect()} for f in (lambda q: T.bm25(m, q), index.bm25))
+        assert {i for i, *_ in scan} == ids and scan == stored, query
+    assert {r.id for r in T.bm25(m, "foo-bar").where("matched = 1").collect()} == {3}
+    plan = index.phrase(("mod",))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(term,mod)" in plan
+
+
+def test_stems(spark, tmp_path):
+    m = messages(spark, "the caches were cached", "caching", "cash", None)
+    T.write_index(m, str(tmp_path / "s"), stems=True)
+    assert {r.id for r in T.Index(spark, str(tmp_path / "s")).bm25("cache").collect()} == {1, 2}
+    words = "relational vietnamization hopping falling happy sky ponies agreed controlling".split()
+    assert [stem(w) for w in words] == "relat vietnam hop fall happi sky poni agre control".split() and stem("naïve") == "naïve"
+
+
 def test_fusion_and_weights(spark):
     w = spark.range(1).select(*[V.sem_weight(F.lit(x)).alias(str(i)) for i, x in enumerate((1.0, 0.35, 0.25))]).first()
     assert tuple(w) == (1.0, 0.5, 0.5)
@@ -68,24 +145,54 @@ def test_nearest_handles_odd_vectors(spark):
     assert [(r.id, r.similarity) for r in V.nearest(df, "id", [1.0, 0.0], 5).collect()] == [(1, 1.0)]
 
 
-def test_commit_links(spark):
-    spans = spark.createDataFrame([(1, "/p", 1000, 2000)], "thread_id bigint, project string, start_ts bigint, end_ts bigint")
-    mentions = spark.createDataFrame([(1, "src/A.rs"), (1, "lib.rs")], "thread_id bigint, path string")
-    commits = [("ok", "/p", 2500, ["x/src/a.rs", "other.rs"]), ("late", "/p", 90_000, ["src/a.rs"]), ("none", "/p", 2500, ["tests/lib.rs"]), ("equal", "/p", 1500, ["lib.rs"]), ("else", "/q", 1500, ["lib.rs"]), ("bound", "/p", 1500, ["xsrc/a.rs"]), ("nofiles", "/p", 1500, None)]
-    c = spark.createDataFrame(commits, "sha string, project string, committed_at bigint, files array<string>")
-    assert sorted((r.sha, r.overlap) for r in G.thread_commits(spans, mentions, c).collect()) == [("equal", 1), ("ok", 1)]
-    links = spark.createDataFrame([(1, "abc1"), (1, "abd2")], "thread_id bigint, sha string")
-    assert [r.sha for r in G.by_sha(links, ["ABC", " ", ""]).collect()] == ["abc1"]
+def matches(a, b):
+    """Whether two paths are one: equal, or the shorter, which holds a slash, is the longer's ending at a slash."""
+    a, b = sorted((a.lower(), b.lower()), key=len)
+    return a == b or ("/" in a and b.endswith("/" + a))
+
+
+def test_commit_links_against_all_pairs(spark):
+    rng = random.Random(9)
+    path = lambda: "/".join(rng.choice(["a", "B", "ab", "c"]) for _ in range(rng.randint(0, 3))) + rng.choice(["/x.py", "/y.py", "x.py"])
+    spans = [(t, rng.choice(["/p", "/q"]), s, s + rng.randint(0, 200_000)) for t in range(12) for s in [rng.randint(0, 500_000)]]
+    mentions = [(t, path()) for t in range(12) for _ in range(rng.randint(0, 6))]
+    commits = [(f"{i:03x}", rng.choice(["/p", "/q", "/r"]), rng.randint(-10_000, 900_000), [path() for _ in range(rng.randint(0, 4))] if i % 9 else None) for i in range(120)]
+    expected = set()
+    for t, project, s, e in spans:
+        for sha, where, at, files in commits:
+            n = len({f.lower() for f in files or [] if any(u == t and matches(f, m) for u, m in mentions)})
+            if where == project and s - G.BEFORE <= at <= e + G.AFTER and n:
+                expected.add((t, sha, at, n))
+    df = [spark.createDataFrame(*x) for x in ((spans, "thread_id bigint, project string, start_ts bigint, end_ts bigint"), (mentions, "thread_id bigint, path string"), (commits, "sha string, project string, committed_at bigint, files array<string>"))]
+    assert {(r.thread_id, r.sha, r.committed_at, r.overlap) for r in G.thread_commits(*df, None).collect()} == expected and len(expected) > 10
+    best = G.thread_commits(*df).groupBy("thread_id").count().collect()
+    assert max(r["count"] for r in best) == G.PER_THREAD
+    assert G.thread_commits(*[x.limit(0) for x in df], None).count() == 0
+
+
+def test_commits_by_the_beginnings_of_their_shas(spark):
+    links = spark.createDataFrame([(1, "9f31c0"), (1, "9f3222"), (2, "07aa11"), (3, None)], "thread_id bigint, sha string")
+    for needles in (["9F31", "  07aa11 ", " ", ""], ["9f", "9f3", "0"]):
+        expected = sorted(s for s in ("9f31c0", "9f3222", "07aa11") if any(s.startswith(n.strip().lower()) for n in needles if n.strip()))
+        table = spark.createDataFrame([(n,) for n in [*needles, None]], "needle string")
+        for given in (needles, table):
+            assert sorted(r.sha for r in G.by_sha(links, given).collect()) == expected
+    assert G.by_sha(links, []).count() == 0 and G.by_sha(links, table.limit(0)).count() == 0
 
 
 def test_packing(spark):
-    small = [(1, i, r, "hi") for i, r in enumerate(["user", "assistant", "tool"])]
-    big = [(2, i, "user" if i % 2 else "assistant", "z" * 5000) for i in range(40)] + [(2, 99, "tool", "t" * 9)]
-    tools = [(3, 0, "user", "q"), (3, 1, "tool", "w" * 40_000)]
-    m = spark.createDataFrame(small + big + tools + [(4, 0, None, None)], "thread_id bigint, seq bigint, role string, text string")
-    got = {r.thread_id: r for r in packing.pack(m, 30_000).collect()}
-    assert {k: (r.mode, r.turns) for k, r in got.items()} == {1: ("full", 3), 2: ("ends", 12), 3: ("no_tools", 1), 4: ("full", 1)}
-    assert len(got[2].packed.encode()) <= 30_500
+    small = [(1, i, r, "hi", None) for i, r in enumerate(["user", "assistant", "tool"])]
+    big = [(2, i, "user" if i % 2 else "assistant", "z" * 5000, None) for i in range(40)] + [(2, 99, "tool", "t" * 9, "Bash")]
+    tools = [(3, 0, "user", "q", None), (3, 1, "assistant", "w" * 40_000, "Read")]
+    few = [(5, i, "user", "漢" * 9000, None) for i in range(9)]
+    m = spark.createDataFrame(small + big + tools + few + [(4, 0, None, None, None)], "thread_id bigint, seq bigint, role string, text string, tool_name string")
+    t = spark.createDataFrame([(1, "a source", 'with "quotes"', "/p")], "thread_id bigint, source string, title string, project string")
+    got = {r.thread_id: r for r in packing.pack(m, 30_000, t).collect()}
+    assert {k: (r.mode, r.turns) for k, r in got.items()} == {1: ("full", 3), 2: ("ends", 12), 3: ("no_tools", 1), 4: ("full", 1), 5: ("ends", 6)}
+    assert got[1].packed == "<reference_thread source=\"a source\" title=\"with 'quotes'\" project=\"/p\">\n### user\nhi\n\n### assistant\nhi\n\n### tool result\nhi\n\n</reference_thread>"
+    assert "### … 28 turns elided …" in got[2].packed and "tools omitted" in got[2].packed and packing.OMITTED in got[3].packed and "3 turns elided" in got[5].packed
+    assert all(r.packed.endswith("\n</reference_thread>") for r in got.values()) and len(got[2].packed.encode()) <= 30_500
+    assert packing.pack(m, 1000).where("thread_id = 2").first().packed.count("(truncated)") == 1
 
 
 def test_store(spark):
@@ -184,3 +291,69 @@ def test_helpers(spark):
 
     rows, failed = S.scan_all({"a": lambda: spark.range(2), "b": fails})
     assert rows.count() == 2 and failed == {"b": "gone"}
+
+
+def test_knowledge_of_threads(spark):
+    fact = "fact_id bigint, thread_id bigint, kind string, text string, extractor string, seq bigint, pinned boolean, edited boolean, hidden boolean, status string"
+    rows = [
+        (1, 1, "decision", "late", "llm", 5, False, False, False, "open"), (2, 1, "decision", "first", "llm", 9, True, False, False, "open"), (3, 1, "decision", "gone", "llm", 1, False, False, True, "open"),
+        (4, 1, "summary", "s1", "llm", 1, False, False, False, "open"), (5, 1, "summary", "s2", "llm", 2, False, False, False, "open"), (6, 1, "todo", "t", "rule", 1, False, None, None, "done"),
+        (7, 2, "gotcha", "kept", "llm", 1, False, True, False, "open"), (8, 2, "gotcha", "lost", "llm", 1, False, None, False, "open"), (9, 9, "gotcha", "elsewhere", "llm", 1, False, False, False, "open"),
+    ]
+    facts = spark.createDataFrame(rows, fact)
+    state = "id bigint, knowledge_extracted boolean, knowledge_msg_count bigint, distillable_count bigint, knowledge_error string, is_subagent boolean, message_count bigint"
+    threads = spark.createDataFrame([(1, True, 4, 4, None, False, 4), (2, True, 4, 6, None, False, 9), (3, False, None, 5, None, False, 5), (4, True, None, 5, None, False, 5), (5, False, None, 5, "timeout", False, 5), (6, False, None, 2, None, True, 9), (7, False, None, 2, None, False, 3)], state)
+    known = {r.thread_id: r for r in store.knowledge(facts.fillna(False), threads).collect()}
+    assert (known[1].summary, known[1].decisions, known[1].todos, known[1].gotchas, known[1].stale) == ("s2", "first\x1flate", "t", None, False)
+    assert known[2].stale and known[4].stale and not known[3].stale and known[3].summary is None
+    assert sorted(r.id for r in threads.where(store.stale()).where(store.distillable()).collect()) == [2, 3]
+    assert sorted(r.id for r in threads.where(store.stale(null_is_stale=True)).collect()) == [2, 3, 4, 6, 7]
+    kept, after = store.invalidate(facts, threads)
+    assert sorted(r.fact_id for r in kept.collect()) == [1, 2, 3, 4, 5, 6, 7, 9] and {r.id for r in after.where("knowledge_extracted").collect()} == {1, 4}
+    assert store.invalidate(facts.limit(0), threads.limit(0))[0].count() == 0
+    edits = spark.createDataFrame([(1, True, None, "done", None), (6, None, None, "open", None), (7, None, True, None, "new")], "fact_id bigint, pinned boolean, hidden boolean, status string, text string")
+    now = {r.fact_id: r for r in store.curate(facts, edits).collect()}
+    assert now[1].pinned and now[1].status == "open" and now[6].status == "open" and now[7].hidden and now[7].text == "new" and now[7].edited and not now[2].edited
+
+
+def test_overlays_and_rewrites(spark):
+    tags = spark.createDataFrame([(1, "old"), (2, "stays")], "thread_id bigint, tag string")
+    new = spark.createDataFrame([(1, [" a ", "a", "", None]), (3, [])], "thread_id bigint, tags array<string>")
+    assert sorted((r.thread_id, r.tag) for r in store.set_tags(tags, new).collect()) == [(1, "a"), (2, "stays")]
+    links = spark.createDataFrame([("/p", "x"), ("/q", "y"), (None, "z")], "project string, sha string")
+    fresh = spark.createDataFrame([("/p", "n"), (None, "m")], "project string, sha string")
+    assert sorted(r.sha for r in store.rewrite_partitions(links, fresh, "project").collect()) == ["m", "n", "y", "z"]
+    config = store.set_config(spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string"), {"a": "3"})
+    assert sorted((r.key, r.value) for r in config.collect()) == [("a", "3"), ("b", "2")]
+    thread, said = store.chat_thread(spark, [("system", " "), ("user", "q" * 90), ("assistant", "r")], 5, "c1")
+    assert thread.first().title == "q" * 80 + "…" and thread.first().message_count == 2 and [r.role for r in said.orderBy("seq").collect()] == ["user", "assistant"]
+    assert store.chat_thread(spark, [], 5, "c2")[0].count() == 0
+
+
+def test_vectors_are_written_once(spark):
+    chunks = spark.createDataFrame([(1, 0, "a b"), (2, 0, ""), (3, 0, "bad")], "message_id bigint, chunk_no int, chunk string")
+
+    def encode(texts):
+        if "bad" in texts:
+            raise RuntimeError
+        return [[float(len(t)), 1.0] for t in texts]
+
+    new = V.embed(chunks, encode, batch=1)
+    stored = spark.createDataFrame([(1, 0, [9.0]), (7, 0, [9.0])], "message_id bigint, chunk_no int, embedding array<float>")
+    vectors, done = V.write_vectors(stored, new)
+    assert sorted((r.message_id, r.embedding) for r in vectors.collect()) == [(1, [3.0, 1.0]), (2, [0.0, 1.0]), (7, [9.0])]
+    assert sorted(r.message_id for r in done.collect()) == [1, 2, 3, 7]
+    unit = chunks.select(V.hashing_encoder(F.col("chunk")).alias("v")).collect()
+    assert sorted(round(sum(x * x for x in r.v), 5) for r in unit) == [0.0, 1.0, 1.0]
+    found = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (1, 12, 0.7), (1, 13, 0.65), (1, 14, 0.6), (1, 10, 0.63)], "query_id bigint, thread_id bigint, similarity double")
+    seen = spark.createDataFrame([(1, 11)], "query_id bigint, thread_id bigint")
+    assert sorted(r.thread_id for r in V.proactive(found, seen).collect()) == [10, 12]
+    assert V.proactive(found, seen, prompt="too short").count() == 0
+
+
+def test_paths_of_transcripts(spark):
+    rows = [("slug/uuid-1.jsonl", False), ("slug/uuid-2/subagents/agent-3.jsonl", True), ("plain", False)]
+    df = spark.createDataFrame(rows, "e string, s boolean")
+    assert [r[0] for r in df.select(H.session_id(F.col("e"), F.col("s"))).collect()] == ["uuid-1", "uuid-2", "plain"]
+    paths = spark.createDataFrame([("/home/x/.a/p/s.jsonl",), ("/home/x/.ab/p",), (None,)], "p string")
+    assert [r[0] for r in paths.select(H.id_below(F.col("p"), "/home/x/.a/")).collect()] == ["p/s.jsonl", None, None]

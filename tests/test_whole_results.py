@@ -1,4 +1,4 @@
-"""The queries that leave nothing out, beside those that keep a cap their SQL has."""
+"""Queries leave nothing out; the per-thread caps stand beside them as reports."""
 
 import datetime
 
@@ -17,6 +17,7 @@ def notes(spark, tmp_path):
     long = "x" * 90
     rows = [(i, kind, text, "/p", datetime.datetime(2025, 1, 1)) for i, kind, text in ((1, "todo", long + " retry"), (2, "gotcha", long + " one"), (4, "gotcha", long + " two"), (5, "gotcha", long + " TWO"))]
     spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a title", False)], "id bigint, title string, is_subagent boolean").selectExpr("id", "1L source_id", "'e' external_id", "title", "'/p' project_path", "'/p' project_key", "'' git_branch", "1L created_at", "1L updated_at", "1L message_count", "1L distillable_count", "1L bytes", "is_subagent", "1L last_indexed_at").write.parquet(f"{tmp_path}/threads.parquet")
     spark.createDataFrame([(i, [1.0, 0.0], 0) for i in (1, 2, 4)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     return str(tmp_path)
 
@@ -24,11 +25,10 @@ def notes(spark, tmp_path):
 def test_facts_keep_whole_texts(spark, notes):
     q = entry.queries()
     ids = lambda name: sorted(r.fact_id for r in q[name](spark, notes).collect())
-    assert ids("open_todos_whole") == [1] and ids("open_todos") == []
-    assert ids("project_memory_whole") == [1, 2, 5] and ids("project_memory") == [1, 5]
-    for name in ("recall_facts_whole", "weekly_digest_whole"):
-        rows = q[name](spark, notes).collect()
-        assert rows and all(len(r.text) == 94 for r in rows)
+    assert ids("open_todos") == [1]
+    assert ids("project_memory") == [1, 2, 5]
+    rows = q["weekly_digest"](spark, notes).collect()
+    assert rows and all(len(r.text) == 94 for r in rows)
 
 
 def test_every_query_vector_is_answered(spark):
@@ -63,12 +63,3 @@ def test_all_todos_in_whole(spark):
     found = X.todos(spark.createDataFrame([(1, 1, 0, text)], "thread_id bigint, id bigint, seq bigint, text string"))
     assert sorted(int(r.todo.split()[-1]) for r in found.collect()) == list(range(40))
     assert {len(r.todo) for r in X.todos_shown(found).collect()} == {241} and X.todos_shown(found).count() == 25
-
-
-def test_p7_found_comes_from_the_mix(spark, tmp_path, monkeypatch):
-    queries = pytest.importorskip("convolake.llm.queries")
-    spark.createDataFrame([(1, "x", "s")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
-    report = spark.createDataFrame([("short", False), ("s", True)], "source string, feasible boolean")
-    monkeypatch.setattr(queries.mixing, "mix", lambda *_: (None, report))
-    assert [r.source for r in queries.p7_found(spark, str(tmp_path)).collect()] == ["short"]
