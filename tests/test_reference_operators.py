@@ -1,4 +1,5 @@
 import json
+import os
 import random
 import re
 import sqlite3
@@ -289,8 +290,96 @@ def test_helpers(spark):
     def fails():
         raise OSError("gone")
 
-    rows, failed = S.scan_all({"a": lambda: spark.range(2), "b": fails})
-    assert rows.count() == 2 and failed == {"b": "gone"}
+    def later():
+        return spark.range(3).select(F.expr("IF(id = 2, raise_error('broken'), id)").cast("bigint").alias("id"))
+
+    seen = []
+    rows, failed = S.scan_all(spark, {"a": lambda: spark.range(2), "b": fails, "c": later, "d": lambda: spark.range(1)}, lambda kind, n: seen.append((kind, n)))
+    assert rows.count() == 3 and failed["b"] == "gone" and set(failed) == {"b", "c"} and seen == [("a", 2), ("d", 1)]
+    many = "\x1em\x1f" + "c" * 40 + "\x1f1736000000\x1fBig\n" + "\n".join(f"f{i}" for i in range(3000))
+    assert len(S.parse_git_log(spark.createDataFrame([(many,)], "value string")).first().files) == 3000
+    listing = spark.createDataFrame([("/a/x/1", 5, 1), ("/a/x/2", 9, 1), ("/a/y/1", 1, 1)], "path string, mtime bigint, size bigint")
+    prints = S.fingerprints(listing)
+    assert sorted((r.path, r.mtime, r.size) for r in prints.collect()) == [("/a/x", 9, 2), ("/a/y", 1, 1)]
+    assert [r.path for r in S.changed_files(S.fingerprints(listing.where("path <> '/a/x/1'")), prints).collect()] == ["/a/x"]
+
+
+def test_damaged_rows_cost_no_others(spark, tmp_path):
+    db = tmp_path / "with space+.db"
+    writer = sqlite3.connect(db)
+    writer.executescript("PRAGMA journal_mode=WAL; CREATE TABLE sessions(id, name, description, working_dir); CREATE TABLE messages(id, session_id, role, content_json, created_timestamp); INSERT INTO sessions VALUES ('s', 'n', '', '/w');")
+    writer.executemany("INSERT INTO messages VALUES (?, 's', 'user', ?, ?)", [(1, '[{"text":"a"}]', 5), (2, '[{"text":', 6), (3, None, 7), (4, '[{"text":"d"}]', 8)])
+    writer.commit()  # still in the log, as the writer is open
+    assert sorted(r.text for r in S.sqlite_rows(spark, "goose", [str(db)]).collect()) == ["a", "d"]
+    writer.close()
+    assert sorted(r.text for r in S.sqlite_rows(spark, "goose", [str(db)], ship=True).collect()) == ["a", "d"]
+    kv = tmp_path / "kv.db"
+    with sqlite3.connect(kv) as c:
+        c.execute("CREATE TABLE cursorDiskKV(key TEXT PRIMARY KEY, value)")
+        c.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", [("composerData:1", '{"createdAt": 1900000000000}'), ("composerData:2", "{"), ("bubbleId:1:a", '{"text":"x","timingInfo":{"clientStartTime":"odd"}}'), ("bubbleId:1:b", "{"), ("bubbleId:3:c", '{"text":"no thread"}')])
+    assert [(r.text, r.seen_at) for r in S.sqlite_rows(spark, "cursor", [str(kv)]).collect()] == [("x", 1900000000)]
+
+
+def test_lines_of_long_files_keep_their_numbers(spark, tmp_path):
+    expected = {}
+    for name, n in (("a b/one+.jsonl", 3000), ("two.jsonl", 7), ("empty.jsonl", 0)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        rows = [f'{{"i":{i},"pad":"{"x" * (i % 90)}"}}' if i % 5 else "" for i in range(n)]
+        (tmp_path / name).write_text("\r\n".join(rows))
+        expected |= {(name, i): x for i, x in enumerate(rows) if x}
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        lines = S.jsonl_lines(spark, "qwen", str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 0 and {(r.external_id, r.line_no): r.payload for r in lines.collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+
+
+def test_folders_of_editors(spark, tmp_path):
+    def put(path, value):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(json.dumps(value))
+
+    put("tasks/Code/tasks/1736000000123/api_conversation_history.json", LINES["cline"][0])
+    put("tasks/Code/tasks/1736000000123/task_metadata.json", {"cwd": "/srv/t"})
+    rows = S.task_files(spark, "cline", str(tmp_path / "tasks")).collect()
+    assert {(r.external_id, r.project_path, r.created_at) for r in rows} == {("Code/1736000000123", "/srv/t", 1736000000)} and all(r.ts > 1_700_000_000 for r in rows)
+    put("ws/h1/chatSessions/s.json", LINES["copilot"][0])
+    put("ws/h1/workspace.json", {"folder": "file:///srv/with%20blank"})
+    put("ws/h2/chatSessions/s.jsonl", LINES["copilot"][0])
+    got = {r.external_id: r.project_path for r in S.workspace_sessions(spark, "copilot", str(tmp_path / "ws")).collect()}
+    assert got == {"h1/chatSessions/s.json": "/srv/with blank", "h2/chatSessions/s.jsonl": None}
+    put("st/session/p/ses_1.json", {"id": "ses_1", "title": "T", "directory": "/d", "time": {"created": 1736000000000}})
+    put("st/message/ses_1/m1.json", {"id": "m1", "role": "user", "time": {"created": 1736000001000}})
+    put("st/message/ses_1/m2.json", {"id": "m2", "role": "assistant", "time": {"created": 1736000002000}})
+    for part, value in (("m1/b", {"type": "text", "text": "two"}), ("m1/a", {"type": "text", "text": "one"}), ("m1/c", {"type": "tool"}), ("m2/a", {"type": "text", "text": " "})):
+        put(f"st/part/{part}.json", value)
+    tree = S.session_tree(spark, "opencode", str(tmp_path / "st"))
+    assert [(r.external_id, r.title, r.project_path, r.role, r.text, r.ts) for r in tree.collect()] == [("ses_1", "T", "/d", "user", "one\ntwo", 1736000001)]
+    assert S.prefer(tree, tree).count() == 1
+
+
+def test_a_table_of_threads_wins_over_files(spark, tmp_path):
+    one, two = "0195b0c4-0000-7000-8000-000000000001", "0195b0c4-0000-7000-8000-000000000002"
+    for uid in (one, two):
+        (tmp_path / f"rollout-x-{uid}.jsonl").write_text("\n".join(json.dumps(v) for v in LINES["codex"]))
+    db = tmp_path / "state.sqlite"
+    with sqlite3.connect(db) as c:
+        c.execute("CREATE TABLE threads(id, title, cwd, git_branch, created_at, updated_at, rollout_path, first_user_message)")
+        c.execute("INSERT INTO threads VALUES (?, ' ', '/state', NULL, 1, 2, ?, 'First line\nmore')", (one, f"/old/place/rollout-x-{one}.jsonl"))
+    rows = S.with_state(S.parse_lines(S.jsonl_lines(spark, "codex", str(tmp_path))), S.state_threads(spark, [str(db)]))
+    threads = {r.external_id: (r.title, r.project_path, r.message_count) for r in S.thread_rows(rows).collect()}
+    assert threads == {one: ("First line", "/state", 3), two: (None, "/c", 3)}
+
+
+def test_projects_by_their_root(spark, tmp_path):
+    (tmp_path / "repo/.git").mkdir(parents=True)
+    (tmp_path / "repo/sub/deep").mkdir(parents=True)
+    (tmp_path / "plain").mkdir()
+    df = spark.createDataFrame([(p,) for p in (f"{tmp_path}/repo/sub/deep/", f" {tmp_path}/repo", f"{tmp_path}/plain/", "/no/such/place//", " ", None)], "project_path string")
+    root = os.path.realpath(tmp_path)
+    assert {r.project_path: r.project_key for r in S.project_roots(df).collect()} == {f"{tmp_path}/repo/sub/deep/": f"{root}/repo", f" {tmp_path}/repo": f"{root}/repo", f"{tmp_path}/plain/": f"{root}/plain", "/no/such/place//": "/no/such/place", " ": None, None: None}
 
 
 def test_knowledge_of_threads(spark):
