@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convolake.functions import text as X
+from convolake.session import cut
 
 FACTS = "thread_id bigint, kind string, text string, extractor string"
 
@@ -26,7 +27,8 @@ def distill(packed: DataFrame, complete: Callable[[str], str]) -> DataFrame:
                     continue
                 rows += [(tid, "summary", answer["summary"], "llm")] if answer["summary"] else []
                 rows += [(tid, kind, t, "llm") for kind, key in (("decision", "decisions"), ("gotcha", "gotchas")) for t in answer[key]]
-            yield pd.DataFrame(rows, columns=["thread_id", "kind", "text", "extractor"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["thread_id", "kind", "text", "extractor"])
 
     return packed.select("thread_id", "packed").mapInPandas(run, FACTS)
 
@@ -99,3 +101,91 @@ def answer_context(hits: DataFrame, packed: DataFrame, threads: int = 5) -> Data
     first = hits.groupBy("thread_id").agg(F.min("rank").alias("rank")).orderBy("rank").limit(threads)
     numbered = first.withColumn("n", F.row_number().over(Window.orderBy("rank")))  # over at most `threads` rows
     return packed.join(numbered, "thread_id").select("n", "thread_id", F.col("packed").alias("excerpt"))
+
+
+# ---------------------------------------------------------------- by a completion function: complete(prompt) -> answer
+
+ERROR = 160
+
+
+def _completed(rows: DataFrame, key: str, body: str, complete: Callable[[str], str], prompt: Callable[[str], str]) -> DataFrame:
+    """(key, answer, error) of each row, on the executors; of an error the first line, at most ERROR characters, and no answer."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, text in zip(b[key], b[body]):
+                try:
+                    out.append((k, str(complete(prompt(text or ""))), None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((k, None, (str(e).strip().split("\n")[0] or type(e).__name__)[:ERROR]))
+            yield pd.DataFrame(out, columns=[key, "answer", "error"])
+
+    return rows.select(key, body).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, answer string, error string")
+
+
+def synthesize(packed: DataFrame, complete: Callable[[str], str]) -> DataFrame:
+    """(thread_id, answer, error): each packed transcript as Markdown for export."""
+    return _completed(packed, "thread_id", "packed", complete, lambda t: f"Write what this conversation settled as Markdown sections.\n\n{t}")
+
+
+def project_brief(memory: DataFrame, complete: Callable[[str], str]) -> DataFrame:
+    """(project, answer, error): each project's notes as a brief."""
+    return _completed(memory, "project", "notes", complete, lambda t: f"Write a brief of this project from its notes.\n\n{t}")
+
+
+def answer(question: str, context: DataFrame, complete: Callable[[str], str]) -> tuple[str, list[int]]:
+    """(answer, thread ids) to a question from the numbered excerpts of answer_context, of which there are a handful."""
+    rows = context.orderBy("n").collect()
+    excerpts = "\n\n".join(f"[thread {r.n}]\n{r.excerpt}" for r in rows)
+    return complete(f"Answer from the excerpts and cite them by number.\n\nQuestion: {question}\n\n{excerpts}"), [r.thread_id for r in rows]
+
+
+def conflicts(decisions: DataFrame, complete: Callable[[str], str], most: int = 60) -> DataFrame:
+    """(project, a, b): pairs of fact ids that contradict each other, by a completion over a project's decisions, numbered by age in lists of `most`.
+
+    decisions: fact_id, project, text, created_at. A project with more decisions gives several lists, so none is left out and no prompt grows
+    with the project; pairs are found within a list. Answers that can't be read give no pairs.
+    """
+    by = Window.partitionBy("project").orderBy("created_at", "fact_id")
+    place = decisions.select("project", "fact_id", "text", (F.row_number().over(by) - 1).alias("k"))
+    lists = place.groupBy("project", F.floor(F.col("k") / most).alias("part")).agg(F.array_sort(F.collect_list(F.struct("k", "fact_id", "text"))).alias("rows")).where(F.size("rows") > 1)
+    body = F.array_join(F.transform("rows", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r["text"])), "\n")
+    keyed = lists.select(F.struct("project", "part").alias("__key"), F.col("rows.fact_id").alias("ids"), body.alias("body"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for project, ids, text in zip(b["project"], b["ids"], b["body"]):
+                try:
+                    pairs = X.read_pairs(complete(f"Which of these decisions contradict each other? Answer with pairs of numbers.\n\n{text}"), len(ids))
+                except Exception:  # noqa: BLE001, S112
+                    continue
+                out += [(project, int(ids[a - 1]), int(ids[c - 1])) for a, c in pairs]
+            if out:
+                yield pd.DataFrame(out, columns=["project", "a", "b"])
+
+    return keyed.select(F.col("__key.project").alias("project"), "ids", "body").mapInPandas(run, "project string, a bigint, b bigint")
+
+
+def distilled(packed: DataFrame, counts: DataFrame, complete: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
+    """(facts, state) of one drain of the worklist: the facts of `packed` threads, and of each thread whether they were drawn, at which count of messages, or the error.
+
+    counts: thread_id, distillable_count. Answers are computed once and kept in the shared folder, so that both results agree.
+    """
+    done = cut(_completed(packed, "thread_id", "packed", complete, lambda t: t))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for tid, text in zip(b["thread_id"], b["answer"]):
+                a = X.read_answer(text)
+                rows += [(tid, "summary", a["summary"], "llm")] if a["summary"] else []
+                rows += [(tid, kind, t, "llm") for kind, key in (("decision", "decisions"), ("gotcha", "gotchas")) for t in a[key]]
+            if rows:
+                yield pd.DataFrame(rows, columns=["thread_id", "kind", "text", "extractor"])
+
+    facts = done.where("error IS NULL").select("thread_id", "answer").mapInPandas(run, FACTS)
+    state = done.join(counts.select("thread_id", "distillable_count"), "thread_id", "left")
+    good = F.col("error").isNull()
+    return facts, state.select("thread_id", good.alias("knowledge_extracted"), F.when(good, F.col("distillable_count")).alias("knowledge_msg_count"), F.col("error").alias("knowledge_error"))

@@ -225,6 +225,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                     about["seen_at"] = int(changed)
                 for n, m in enumerate(said or [{}]):
                     rows.append({"source_kind": kind, "external_id": eid, "line_no": line, "block_no": n, "ts": about.get("seen_at")} | about | {k: x for k, x in m.items() if x is not None})
+            if not rows:  # an empty column of texts has no Arrow form here
+                continue
             frame = pd.DataFrame(rows, columns=_NAMES).astype(object)
             for c in [x.split()[0] for x in ROWS.split(", ") if x.endswith(("bigint", "int"))]:
                 frame[c] = pd.to_numeric(frame[c], errors="coerce").astype("Int64")

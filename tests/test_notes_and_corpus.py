@@ -44,6 +44,25 @@ def test_distilled_facts_keep_what_was_curated(spark):
         notes.record_fact(old, "/p", "todo", "x")
 
 
+def test_what_a_completion_function_gives(spark):
+    packed = spark.createDataFrame([(1, "x"), (3, "fail")], "thread_id bigint, packed string")
+
+    def complete(prompt):
+        if "fail" in prompt:
+            raise RuntimeError("w" * 300 + "\nmore")
+        return '{"summary": "s", "gotchas": ["g"]}' if prompt == "x" else f"[[1, 2]] {len(prompt)}"
+
+    facts, state = notes.distilled(packed, spark.createDataFrame([(1, 7), (3, 9)], "thread_id bigint, distillable_count bigint"), complete)
+    assert sorted((r.kind, r.text) for r in facts.collect()) == [("gotcha", "g"), ("summary", "s")]
+    assert {r.thread_id: (r.knowledge_extracted, r.knowledge_msg_count, r.knowledge_error) for r in state.collect()} == {1: (True, 7, None), 3: (False, None, "w" * 160)}
+    assert {r.thread_id: (r.answer is None, r.error is None) for r in notes.synthesize(packed, complete).collect()} == {1: (False, True), 3: (True, False)}
+    assert notes.project_brief(spark.createDataFrame([("/p", "n")], "project string, notes string"), complete).first().error is None
+    context = spark.createDataFrame([(2, 8, "two"), (1, 9, "one")], "n int, thread_id bigint, excerpt string")
+    assert notes.answer("why?", context, lambda p: p.index("[thread 1]") < p.index("[thread 2]") and "why?" in p) == (True, [9, 8])
+    decisions = spark.createDataFrame([(i, "/p", f"d{i}", i) for i in range(5)] + [(9, "/q", "alone", 1)], "fact_id bigint, project string, text string, created_at bigint")
+    assert sorted((r.project, r.a, r.b) for r in notes.conflicts(decisions, complete, most=2).collect()) == [("/p", 0, 1), ("/p", 2, 3)]
+
+
 def test_snapshots_and_exports(spark):
     packed = spark.createDataFrame([(1, "body"), (2, None)], "thread_id bigint, packed string")
     memory = spark.createDataFrame([(1, "notes")], "thread_id bigint, notes string")
