@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from convolake.tables import epoch_seconds
 
 BEFORE, AFTER, DAY, PER_THREAD = 3600, 86_400, 86_400, 5
+#: Levels of the tree over days; a cell of the top one is 2048 days wide.
+LEVELS = 12
 
 
 def clean_commits(commits: DataFrame) -> DataFrame:
@@ -30,19 +32,40 @@ def suffixes(path: Column) -> Column:
     return F.array_distinct(F.array_append(tails, path))
 
 
+def cells(first: Column, last: Column) -> Column:
+    """The span of days from first to last as an array of (level, cell) of a binary tree over days: at most two a level, and all of the top one.
+
+    A day lies under exactly one of a span's cells, so spans and days meet once by equality, however long a span is.
+    """
+    width = lambda level: F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+    low = lambda level: -F.floor(-first / width(level))
+    high = lambda level: F.floor((last + 1) / width(level)) - 1
+    two = lambda level: F.array(F.when(F.pmod(low(level), F.lit(2)) == 1, low(level)), F.when(F.pmod(high(level), F.lit(2)) == 0, high(level)))
+    every = lambda level: F.when(low(level) <= high(level), F.when(level == LEVELS - 1, F.sequence(low(level), high(level))).otherwise(F.array_distinct(two(level)))).otherwise(F.array().cast("array<bigint>"))
+    of = lambda level: F.transform(F.filter(every(level), lambda c: c.isNotNull()), lambda c: F.struct(level.alias("level"), c.alias("cell")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), of))
+
+
+def cells_of(day: Column) -> Column:
+    """The (level, cell) under which a day lies, one a level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda level: F.struct(level.alias("level"), F.floor(day / F.call_function("shiftleft", F.lit(1).cast("bigint"), level)).alias("cell")))
+
+
 def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, most: int | None = PER_THREAD) -> DataFrame:
     """(thread_id, sha, committed_at, overlap): per thread the `most` commits (all, if None) that share most files, among those from an hour before to a day after it.
 
     A mention and a file match if they are equal or one is an ending of the other at a slash, without regard to case. Both
-    sides are joined by equality of (project, day, ending), never pairwise: a thread stands under each day of its span,
-    a mention and a file under each of their endings, so a project with a third of all rows is spread over days and paths.
+    sides are joined by equality of (project, cell of days, ending), never pairwise: a thread stands under the few cells of its span, a
+    commit under the cells of its day, a mention and a file under each of their endings, so a project with a third of all rows is spread
+    over days and paths, and a thread of many years costs no more than two cells a level.
     """
-    days = F.sequence(F.floor((F.col("start_ts") - BEFORE) / DAY), F.floor((F.col("end_ts") + AFTER) / DAY))
-    by_day = spans.withColumn("day", F.explode(days))
-    said = mentions.select("thread_id", F.lower("path").alias("mention")).distinct().join(by_day, "thread_id")
-    changed = commits.select("sha", "project", "committed_at", F.floor(F.col("committed_at") / DAY).alias("day"), F.explode("files").alias("f")).withColumn("file", F.lower("f")).drop("f").distinct()
+    day = lambda c: F.floor(c / DAY)
+    by_cell = spans.withColumn("c", F.explode(cells(day(F.col("start_ts") - BEFORE), day(F.col("end_ts") + AFTER)))).select("*", "c.*").drop("c")
+    said = mentions.select("thread_id", F.lower("path").alias("mention")).distinct().join(by_cell, "thread_id")
+    changed = commits.select("sha", "project", "committed_at", F.explode("files").alias("f")).withColumn("file", F.lower("f")).drop("f").distinct()
+    changed = changed.withColumn("c", F.explode(cells_of(day(F.col("committed_at"))))).select("*", "c.*").drop("c")
     in_time = F.col("committed_at").between(F.col("start_ts") - BEFORE, F.col("end_ts") + AFTER)
-    on = ["project", "day", "key"]
+    on = ["project", "level", "cell", "key"]
     longer_mention = said.withColumn("key", F.explode(suffixes(F.col("mention")))).join(changed.withColumn("key", F.col("file")), on).where(in_time & (F.contains("file", F.lit("/")) | (F.col("file") == F.col("mention"))))
     longer_file = said.withColumn("key", F.col("mention")).join(changed.withColumn("key", F.explode(suffixes(F.col("file")))), on).where(in_time & F.contains("mention", F.lit("/")))
     pairs = longer_mention.select("thread_id", "sha", "committed_at", "file").union(longer_file.select("thread_id", "sha", "committed_at", "file"))

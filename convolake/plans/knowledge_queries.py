@@ -302,24 +302,27 @@ def proactive_recall(spark: SparkSession, d: str) -> DataFrame:
 _LINES_SQL = ", li AS (SELECT id, thread_id, seq, role, ts, generate_subscripts(ls, 1) AS line_no, trim(unnest(ls), ' ' || chr(9) || chr(13)) AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM m WHERE text IS NOT NULL))"
 
 
-@query(
+_TODOS_SQL = (
     _LINES_SQL
     + r""", raw AS (
   SELECT *, CASE WHEN regexp_matches(line, '^[-*] \[ ?\]') THEN regexp_extract(line, '^[-*] \[ ?\] ?(.*)$', 1)
     WHEN regexp_matches(lower(line), '(^|[^a-z0-9])todo([^a-z0-9]|$)') THEN regexp_replace(regexp_extract(line, '(?i)(?:^|[^a-z0-9])todo(|[^a-z0-9].*)$', 1), '^[: \t)(.*-]+', '')
     WHEN regexp_matches(lower(line), '(^|[^a-z0-9])fixme([^a-z0-9]|$)') THEN regexp_replace(regexp_extract(line, '(?i)(?:^|[^a-z0-9])fixme(|[^a-z0-9].*)$', 1), '^[: \t)(.*-]+', '') END AS r FROM li
-), good AS (SELECT *, trim(r, ' ' || chr(9) || chr(13)) AS todo FROM raw WHERE r IS NOT NULL)
-SELECT thread_id, seq, todo FROM (SELECT *, row_number() OVER (PARTITION BY thread_id, lower(todo) ORDER BY seq, line_no) AS n FROM good WHERE length(todo) >= 4 AND NOT regexp_matches(todo, '\\n|\||","|[{}]')) WHERE n = 1"""
+), good AS (SELECT *, trim(r, ' ' || chr(9) || chr(13)) AS todo FROM raw WHERE r IS NOT NULL), first_todos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY thread_id, lower(todo) ORDER BY seq, line_no) AS n FROM good WHERE length(todo) >= 4 AND NOT regexp_matches(todo, '\\n|\||","|[{}]')) WHERE n = 1)
+"""
 )
+
+
+@query(_TODOS_SQL + "SELECT thread_id, seq, todo FROM first_todos")
 def thread_todos(spark: SparkSession, d: str) -> DataFrame:
     """All different todos of each thread, in whole."""
     return X.todos(M.message_rows(spark, d, "text")).select("thread_id", "seq", "todo")
 
 
-@query()
+@query(_TODOS_SQL + f"SELECT thread_id, seq, CASE WHEN length(todo) > {X.TODO_SHOWN} THEN substring(todo, 1, {X.TODO_SHOWN}) || '…' ELSE todo END AS todo FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq, line_no, lower(todo)) AS k FROM first_todos) WHERE k <= {X.TODOS_A_THREAD}")
 def thread_todos_capped(spark: SparkSession, d: str) -> DataFrame:
     """The display report of the todos: 25 a thread, cut to 240 characters."""
-    return X.todos_shown(X.todos(M.message_rows(spark, d, "text")))
+    return X.todos_shown(X.todos(M.message_rows(spark, d, "text"))).select("thread_id", "seq", "todo")
 
 
 _STARTS = " OR ".join(f"starts_with(h, '{s}')" for s in X.ERROR_STARTS)

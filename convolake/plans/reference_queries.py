@@ -127,7 +127,15 @@ def search_indexed(spark: SparkSession, d: str) -> DataFrame:
     return T.ranked(T.Index(spark, path).bm25(QUERY).join(t, "thread_id", "left_semi"), len(T.query_terms(QUERY)), 100).select("id", "thread_id", "strict", "score", "rank")
 
 
-@query()
+_HIT = " OR ".join(f"len(list_filter(coalesce(regexp_extract_all(translate(lower(w), '{T.ACCENTED}', '{T.PLAIN}'), '[\\p{{L}}\\p{{N}}]+'), []), lambda x: starts_with(x, '{t[0]}'))) > 0" for t in T.query_terms(QUERY))
+
+
+@query(
+    _BM25_SQL
+    + f""", h AS (SELECT id, any_value(thread_id) AS thread_id, any_value(rank)::INT AS rank, string_split_regex(any_value(m.text), '\\s+') AS ws FROM (SELECT id, rank FROM kw WHERE rank <= 20) JOIN m USING (id) GROUP BY id
+), g AS (SELECT *, greatest(1, list_position(list_transform(ws, lambda w: {_HIT}), true) - 6) AS b FROM h)
+SELECT id, thread_id, rank, CASE WHEN b > 1 THEN '…' ELSE '' END || array_to_string(list_transform(ws[b:b + 11], lambda w: CASE WHEN {_HIT} THEN chr(1) || w || chr(2) ELSE w END), ' ') || CASE WHEN len(ws) >= b + 12 THEN '…' ELSE '' END AS snippet FROM g"""
+)
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
     """The best hits with a window of twelve words around the first match."""
     hits = _search(spark, d, QUERY, 20).select("id", "rank")

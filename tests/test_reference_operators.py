@@ -171,6 +171,16 @@ def test_commit_links_against_all_pairs(spark):
     assert G.thread_commits(*[x.limit(0) for x in df], None).count() == 0
 
 
+def test_spans_and_days_meet_once(spark):
+    rng = random.Random(2)
+    spans = [(i, a, a + rng.choice([-1, 0, 1, 7, 400, 9000])) for i in range(60) for a in [rng.randint(-3000, 9000)]]
+    days = sorted({rng.randint(-3100, 19_000) for _ in range(700)} | {x for _, a, b in spans for x in (a - 1, a, b, b + 1)})
+    s = spark.createDataFrame(spans, "i int, a bigint, b bigint").select("i", F.explode(G.cells(F.col("a"), F.col("b"))).alias("c"))
+    d = spark.createDataFrame([(x,) for x in days], "d bigint").select("d", F.explode(G.cells_of(F.col("d"))).alias("c"))
+    assert sorted((r.i, r.d) for r in s.join(d, "c").collect()) == [(i, x) for i, a, b in spans for x in days if a <= x <= b]
+    assert max(r["count"] for r in s.groupBy("i").count().collect()) <= 2 * G.LEVELS + 5
+
+
 def test_commits_by_the_beginnings_of_their_shas(spark):
     links = spark.createDataFrame([(1, "9f31c0"), (1, "9f3222"), (2, "07aa11"), (3, None)], "thread_id bigint, sha string")
     for needles in (["9F31", "  07aa11 ", " ", ""], ["9f", "9f3", "0"]):
