@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,11 +74,10 @@ QUERIES_A_CELL, ROWS_A_CELL, BLOCK = 2048, 16_384, 128
 def nearest_of_all(queries: DataFrame, rows: DataFrame, floor: float, k: int | None = None) -> DataFrame:
     """(query_id, query_no, owner, n, similarity, id): for each query the k owners (all, if k is None) with the most similar vector.
 
-    queries has query_id, query_no and embedding; rows has owner, id and embedding. n is the number of an owner's vectors of at least `floor`,
-    id that of the best, the smallest of equals. Both sides are dealt to the cells of a grid, so each pair meets in one cell; a cell's
+    queries has query_id, query_no and embedding; rows has owner, id and embedding. n, which comes only without k, is the number of an owner's vectors of at
+    least `floor`, id that of the best, the smallest of equals. Both sides are dealt to the cells of a grid, so each pair meets in one cell; a cell's
     k best owners hold all that can be among the k best. Null and zero vectors and those of another length match nothing.
     """
-    owner = rows.schema["owner"].dataType.simpleString()
     across, down = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERIES_A_CELL), (rows, ROWS_A_CELL)))
 
     def dealt(df: DataFrame, mine: str, parts: int, other: str, others: int, *key: str) -> DataFrame:
@@ -86,11 +86,14 @@ def nearest_of_all(queries: DataFrame, rows: DataFrame, floor: float, k: int | N
 
     q = dealt(queries.select("query_id", "query_no", "embedding"), "q", across, "r", down, "query_id", "query_no")
     r = dealt(rows.select("owner", "id", "embedding"), "r", down, "q", across, "owner", "id")
+    return _best_of_cells(q, r, ["q", "r"], floor, k)
 
-    def score(mine, theirs):
-        import numpy as np
-        import pandas as pd
 
+def _best_of_cells(q: DataFrame, r: DataFrame, cell: list[str], floor: float, k: int | None) -> DataFrame:
+    """The results of nearest_of_all from queries and rows that meet in cells, each pair in one at most."""
+    owner = r.schema["owner"].dataType.simpleString()
+
+    def score(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         out = []
         for length in set(mine["embedding"].map(len)) & set(theirs["embedding"].map(len)) - {0}:
             a, b = (df[df["embedding"].map(len) == length] for df in (mine, theirs))
@@ -116,13 +119,13 @@ def nearest_of_all(queries: DataFrame, rows: DataFrame, floor: float, k: int | N
                         out.append(pd.DataFrame({"query_id": a["query_id"].iloc[at + i], "query_no": a["query_no"].iloc[at + i], "owner": names.take(code[starts[hit]]), "n": count[i][hit], "similarity": best[i][hit], "id": ids[first]}))
         return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "query_no", "owner", "n", "similarity", "id"])
 
-    found = q.groupBy("q", "r").cogroup(r.groupBy("q", "r")).applyInPandas(score, f"query_id bigint, query_no bigint, owner {owner}, n bigint, similarity double, id bigint")
+    found = q.groupBy(*cell).cogroup(r.groupBy(*cell)).applyInPandas(score, f"query_id bigint, query_no bigint, owner {owner}, n bigint, similarity double, id bigint")
     best = found.groupBy("query_id", "query_no", "owner").agg(F.sum("n").alias("n"), F.max(F.struct("similarity", (-F.col("id")).alias("m"))).alias("s"))
     flat = best.select("query_id", "query_no", "owner", "n", F.col("s.similarity").alias("similarity"), (-F.col("s.m")).alias("id"))
     if k is None:
         return flat
     by = Window.partitionBy("query_id", "query_no").orderBy(F.col("similarity").desc(), "owner")
-    return flat.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= k).drop("__n")
+    return flat.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= k).drop("__n", "n")
 
 
 # ---------------------------------------------------------------- encoding

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from convolake.operators import extraction as X
 from convolake.operators import fulltext as T
 from convolake.operators import gitlink as G
-from convolake.operators import store
+from convolake.operators import ivf, store
 from convolake.operators import vector as V
 from convolake.session import table_path
 from convolake.tables import read
@@ -18,6 +18,8 @@ from . import model as M
 from .model import BASE_SQL
 
 QUERY, PUNCTUATED, DAY = "watcher cach", "main.rs régen-x watcher", 86_400
+#: Lists of the index of vectors, and how many of them a search looks into.
+LISTS, PROBES = 64, 8
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -202,6 +204,21 @@ def nearest_messages(spark: SparkSession, d: str) -> DataFrame:
     return near.select("query_id", "query_no", F.col("owner").alias("message_id"), "similarity")
 
 
+@query()
+def nearest_messages_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """nearest_messages by an index of inverted lists, which is written first, into the shared folder; LISTS lists, of which PROBES are looked into."""
+    path, rows = table_path(spark, "vectors"), _vectors(spark, d).withColumn("owner", F.col("id"))
+    ivf.write(rows, path, ivf.fit(rows, LISTS))
+    return ivf.search(spark, path, _queries(spark, d), V.FLOOR, 200, PROBES).select("query_id", "query_no", F.col("owner").alias("message_id"), "similarity")
+
+
+@query("SELECT true AS enough")
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the indexed search finds nine tenths of the ten nearest messages of each query vector, or more, against the exact one."""
+    near = lambda df: df.select("query_id", "query_no", F.col("message_id").alias("owner"), F.row_number().over(Window.partitionBy("query_id", "query_no").orderBy(F.col("similarity").desc(), "message_id")).alias("n")).where("n <= 10")
+    return ivf.recall(near(nearest_messages_indexed(spark, d)), near(nearest_messages(spark, d))).select((F.coalesce("recall", F.lit(1.0)) >= 0.9).alias("enough"))
+
+
 @query(
     _BM25_SQL
     + _QS_SQL

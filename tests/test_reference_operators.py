@@ -12,7 +12,7 @@ from convolake.functions.stem import stem
 from convolake.operators import extraction as X
 from convolake.operators import fulltext as T
 from convolake.operators import gitlink as G
-from convolake.operators import packing, store
+from convolake.operators import ivf, packing, store
 from convolake.operators import vector as V
 from convolake.sources import connectors as S
 
@@ -456,3 +456,23 @@ def test_paths_of_transcripts(spark):
     assert [r[0] for r in df.select(H.session_id(F.col("e"), F.col("s"))).collect()] == ["uuid-1", "uuid-2", "plain"]
     paths = spark.createDataFrame([("/home/x/.a/p/s.jsonl",), ("/home/x/.ab/p",), (None,)], "p string")
     assert [r[0] for r in paths.select(H.id_below(F.col("p"), "/home/x/.a/")).collect()] == ["p/s.jsonl", None, None]
+
+
+def test_inverted_lists(spark, tmp_path):
+    rng = random.Random(12)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(i % 400, i, vector()) for i in range(1500)] + [(7, 9001, None), (7, 9002, [0.0] * 6), (7, 9003, [1.0]), (3, 9004, [1.0] * 6), (3, 9004, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "owner bigint, id bigint, embedding array<float>")
+    q = spark.createDataFrame([(i, 0, vector()) for i in range(40)] + [(50, 0, None), (51, 0, [1.0])], "query_id bigint, query_no bigint, embedding array<float>")
+    path = str(tmp_path / "v")
+    centroids = ivf.fit(df, 12)
+    ivf.write(df, path, centroids)
+    key = lambda found: {tuple(r) for r in found.select("query_id", "query_no", "owner", "similarity", "id").collect()}
+    exact = V.nearest_of_all(q.where("query_id <> 51"), df.where("id <> 9003"), 0.35, 10)
+    assert key(ivf.search(spark, path, q, 0.35, 10, 12)) == key(exact)
+    some = ivf.recall(ivf.search(spark, path, q, 0.35, 10, 6), exact).first()
+    assert some.queries == 40 and some.recall >= 0.9
+    assert spark.read.parquet(path + "/lists").count() == 1502 and not (tmp_path / "v/assigned").exists()  # every vector that has a direction of the lists' dimensions
+    empty = str(tmp_path / "e")
+    ivf.write(df.limit(0), empty, ivf.fit(df.limit(0), 4))
+    assert ivf.search(spark, empty, q, 0.35, 10, 2).count() == 0
