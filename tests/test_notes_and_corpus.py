@@ -96,3 +96,51 @@ def test_corpus(spark):
     first = c.recent(1).first().id
     assert c.thread(first).count() >= 0 and c.project_memory().count() > 0
     assert set(c.audit(["a"], ["main.rs"])) == {"by_sha", "by_file", "recurring_errors", "project_memory"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data here")
+def test_every_door_of_a_corpus(spark, tmp_path):
+    import shutil
+
+    from convolake.corpus import Corpus
+    from convolake.operators import fulltext
+
+    for name in ("threads", "messages", "sources", "documents", "chunks", "embeddings", "commits"):
+        shutil.copyfile(f"{SMALL}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    c = Corpus(spark, str(tmp_path))
+    fulltext.write_index(c.messages("text"), str(tmp_path / "index"))
+    indexed = Corpus(spark, str(tmp_path), str(tmp_path / "index"))
+    hits = [tuple(r) for r in c.search("watcher rank", 20).select("id", "score", "rank").collect()]
+    assert hits and hits == [tuple(r) for r in indexed.search("watcher rank", 20).select("id", "score", "rank").collect()]
+    assert c.search("", 3).count() == 3 and c.search("watcher", 20, after=10**11).count() == 0
+    chunk = spark.read.parquet(f"{tmp_path}/chunks.parquet").orderBy("message_id").first()
+    assert c.nearest(list(chunk.embedding), 3).first().similarity == 1.0
+    assert 1 <= c.related(list(chunk.embedding), 500, subagents=True).count() <= 50
+    assert c.hybrid("watcher", list(chunk.embedding), 10).groupBy("thread_id").count().agg(F.max("count")).first()[0] <= 3
+    fact = spark.read.parquet(f"{tmp_path}/embeddings.parquet").orderBy("vec_id").first()
+    assert c.recall(list(fact.embedding), k=4, floor=-1.0).count() == 4 and c.prior_work(list(fact.embedding), floor=-1.0).count() > 0 and c.check(list(fact.embedding), 2, -1.0).count() == 2
+    for df in (c.tags(), c.projects(), c.pending(), c.coverage(), c.usage(), c.cleanup_candidates(2 * 10**9), c.packed(900), *c.stats().values(), *c.coach().values(), *c.audit(["a"], ["main"]).values()):
+        df.collect()
+    one = c.threads(subagents=True).orderBy("id").first().id
+    assert c.header(one).count() == 1 and c.knowledge(one).count() == 1 and c.thread(one).count() > 0 and c.linked_commits(one).count() >= 0
+    text, threads = c.ask("watcher", lambda prompt: str(prompt.count("[thread ")))
+    assert int(text) == len(threads) > 0
+    starred = c.threads(subagents=True, starred=True).count()
+    c.star(one, one % 4 != 0)
+    assert abs(c.threads(subagents=True, starred=True).count() - starred) == 1
+    c.tag(one, ["new", " new ", ""])
+    assert c.threads(subagents=True, tags=("new",)).count() == 1
+    todo = c.open_todos(limit=500).first()
+    c.complete_todo(todo.fact_id)
+    assert todo.fact_id not in {r.fact_id for r in c.open_todos(limit=500).collect()}
+    n = c.facts().count()
+    c.record("/p", "gotcha", "mind it")
+    assert c.facts().count() == n + 1 and c.facts().where("text = 'mind it' AND pinned").count() == 1
+    for label, at in (("by hand", 1), ("auto · x", 2), ("auto · y", 3)):
+        c.snapshot(one, label, at)
+    assert [r.label for r in c.snapshots().collect()] == ["auto · y", "by hand"]
+    paths = {tuple(r) for r in c.mentions().collect()}
+    c.write_mentions()
+    assert {tuple(r) for r in c.mentions().collect()} == paths
+    c.delete([one])
+    assert c.threads(subagents=True).where(F.col("id") == one).count() == 0 and c.thread(one).count() == 0 and c.snapshots().count() == 0
