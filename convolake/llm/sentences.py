@@ -153,12 +153,11 @@ STEPS = (
     (rf"[{_CLOSE}]", INSIDE, f"$1{MASK}"),
     (["."], NO_END, MASK),
     (None, ENDS, f"$1$2$3$4{CUT}"),
-    ([";", "\u037e"], GREEK_QUESTION, f"$1$2{CUT}"),
     (rf"[{_WIDE}]", WIDE, f"$1{CUT}"),
     (rf"[{_WIDE}]", WIDE_QUOTE, f"$1{CUT}"),
 )
 #: Only where some character is not ASCII.
-BEYOND_ASCII = (("wide", THAI_BLANK, f"$1{CUT}"), ("broken", HOLDS, f"$1{_HELD}"), ("broken", SPACELESS_BREAK, f"$1{CUT}"))
+BEYOND_ASCII = (("greek", GREEK_QUESTION, f"$1$2{CUT}"), ("spaceless", THAI_BLANK, f"$1{CUT}"), ("broken", HOLDS, f"$1{_HELD}"), ("broken", SPACELESS_BREAK, f"$1{CUT}"))
 
 #: The white space of Unicode.
 WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -190,7 +189,9 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.withColumn("kind", F.when(start.rlike(FENCE) | start.rlike(HEADING), 0).when(head.rlike(r"\A" + _MARKER), 1).otherwise(2)).withColumn("m", F.when(F.octet_length(b) > F.length(b), F.translate(b, MARKS_FROM, MARKS_TO)).otherwise(b))
     prose = F.col("kind") == 2
     wide = prose & (F.octet_length("m") > F.length("m"))
-    rows = rows.withColumns({"prose": prose, "wide": wide, "broken": wide & F.btrim("m").rlike(r"[\n\r\x{85}\x{2028}\x{2029}]")})
+    asks = F.col("m").contains(";") | F.col("m").contains("\u037e")
+    rows = rows.withColumns({"prose": prose, "greek": wide & asks & F.col("m").rlike(f"[{_GREEK}]"), "spaceless": wide & F.col("m").rlike(f"[{_SPACELESS}]")})
+    rows = rows.withColumn("broken", F.col("spaceless") & F.btrim("m").rlike(r"[\n\r\x{85}\x{2028}\x{2029}]"))
     for holds, pattern, to in STEPS:
         m, test = F.col("m"), F.col("prose")
         if holds:
@@ -200,7 +201,7 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
         rows = rows.withColumn("m", F.when(F.col(which), _sub(F.col("m"), pattern, to)).otherwise(F.col("m")))
     rows = rows.withColumn("m", F.when(F.col("broken"), F.replace("m", F.lit(_HELD), F.lit(""))).otherwise(F.col("m")))
     items = _sub(F.col("m"), rf"(?={_BREAK}{_MARKER})", CUT)
-    rows = rows.withColumn("us", F.split(F.when(F.col("kind") == 1, items).otherwise(F.col("m")), CUT)).drop("m", "kind", "prose", "wide", "broken")
+    rows = rows.withColumn("us", F.split(F.when(F.col("kind") == 1, items).otherwise(F.col("m")), CUT)).drop("m", "kind", "prose", "greek", "spaceless", "broken")
     found = _explode(rows, "us", ("u", "inside"))
     # trimming with a list of characters stops at the first other one
     found = found.withColumn("lead", F.length("u") - F.length(F.ltrim(F.col("u"), F.lit(WHITE)))).where(F.col("lead") < F.length("u"))
