@@ -58,15 +58,6 @@ def with_rank(top: DataFrame, *order: Column) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def prior_work(recalled: DataFrame, floor: float = PRIOR_FLOOR) -> DataFrame:
-    """Per project of recalled facts: how many, and the best one's similarity, kind and id."""
-    kept = recalled.where(F.col("similarity") >= floor)
-    return kept.groupBy("project").agg(
-        F.count(F.lit(1)).alias("n"), F.max("similarity").alias("best"),
-        F.max_by(F.struct("kind", "fact_id"), F.struct("similarity", -F.col("fact_id"))).alias("top"),
-    ).select("project", "n", "best", F.col("top.kind").alias("kind"), F.col("top.fact_id").alias("fact_id"))
-
-
 #: Vectors of a cell of the search for many queries, and queries scored at a time.
 QUERIES_A_CELL, ROWS_A_CELL, BLOCK = 2048, 16_384, 128
 

@@ -285,8 +285,8 @@ def pending_fact_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     R._FACT_QS_SQL
-    + """, best AS (SELECT query_id, rec.thread_id, max(similarity) AS similarity FROM rec JOIN facts USING (fact_id) WHERE rec.kind IN ('decision', 'gotcha') AND similarity >= 0.1 AND rec.thread_id <> query_id % 240 + 1 GROUP BY ALL)
-SELECT query_id, thread_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, thread_id) AS r FROM best) WHERE r <= 2""".replace("rec JOIN facts USING (fact_id)", "(SELECT rec.*, facts.thread_id FROM rec JOIN facts USING (fact_id)) rec")
+    + """, best AS (SELECT query_id, rec.thread_id, max(similarity) AS similarity FROM rec WHERE rec.kind IN ('decision', 'gotcha') AND similarity >= 0.1 AND rec.thread_id <> query_id % 240 + 1 GROUP BY ALL)
+SELECT query_id, thread_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, thread_id) AS r FROM best) WHERE r <= 2"""
 )
 def proactive_recall(spark: SparkSession, d: str) -> DataFrame:
     """For each query vector the two threads with the most similar fact that the session hasn't seen, which is here the fact's own thread. The floor is a parameter, 0.62 by default."""

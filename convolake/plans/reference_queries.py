@@ -182,7 +182,7 @@ _QS_SQL = """, qs AS (SELECT DISTINCT message_id AS query_id, chunk_no::BIGINT A
 ), near AS (SELECT * FROM sims WHERE similarity >= 0.35)
 """
 _FACT_QS_SQL = """, qs AS (SELECT DISTINCT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), rec AS (
-  SELECT query_id, f.fact_id, f.kind, f.project, f.text, round(list_cosine_similarity(v.embedding::DOUBLE[], e), 6) AS similarity
+  SELECT query_id, f.fact_id, f.thread_id, f.kind, f.project, f.text, f.rationale, round(list_cosine_similarity(v.embedding::DOUBLE[], e), 6) AS similarity
   FROM embeddings v JOIN facts f ON f.fact_id = v.vec_id, qs WHERE NOT f.hidden
 )
 """
@@ -281,18 +281,18 @@ def recall_facts(spark: SparkSession, d: str) -> DataFrame:
     return near.join(_facts_of(spark, d, "kind", "text"), "id").select("query_id", F.col("id").alias("fact_id"), "kind", "text", "similarity")
 
 
-@query(_FACT_QS_SQL + "SELECT query_id, project, count(*) AS n, max(similarity) AS best, arg_max(kind, (similarity, -fact_id)) AS kind, arg_max(fact_id, (similarity, -fact_id)) AS fact_id FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.1 GROUP BY query_id, project")
+@query(_FACT_QS_SQL + "SELECT query_id, thread_id, count(*) AS n, max(similarity) AS best, arg_max(kind, (similarity, -fact_id)) AS kind, arg_max(fact_id, (similarity, -fact_id)) AS fact_id FROM rec WHERE kind IN ('decision', 'gotcha') AND similarity >= 0.1 GROUP BY query_id, thread_id")
 def prior_work(spark: SparkSession, d: str) -> DataFrame:
-    """Projects by their facts that are like each query vector."""
-    near = _recall_all(spark, d, ("decision", "gotcha"), "project", 0.1)
-    return near.join(_facts_of(spark, d, "kind"), "id").select("query_id", F.col("owner").alias("project"), "n", F.col("similarity").alias("best"), "kind", F.col("id").alias("fact_id"))
+    """Threads by their facts that are like each query vector."""
+    near = _recall_all(spark, d, ("decision", "gotcha"), "thread_id", 0.1)
+    return near.join(_facts_of(spark, d, "kind"), "id").select("query_id", F.col("owner").alias("thread_id"), "n", F.col("similarity").alias("best"), "kind", F.col("id").alias("fact_id"))
 
 
-@query(_FACT_QS_SQL + "SELECT query_id, fact_id, project, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fact_id) AS r FROM rec WHERE kind = 'decision' AND similarity >= 0.12) WHERE r <= 8")
+@query(_FACT_QS_SQL + "SELECT query_id, fact_id, project, rationale, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, fact_id) AS r FROM rec WHERE kind = 'decision' AND similarity >= 0.12) WHERE r <= 8")
 def check_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Earlier decisions like each query vector."""
+    """Earlier decisions like each query vector, with their rationale."""
     near = _recall_all(spark, d, ("decision",), "fact_id", 0.12, 8)
-    return near.join(_facts_of(spark, d, "project"), "id").select("query_id", F.col("id").alias("fact_id"), "project", "similarity")
+    return near.join(_facts_of(spark, d, "project", "rationale"), "id").select("query_id", F.col("id").alias("fact_id"), "project", "rationale", "similarity")
 
 
 @query("SELECT (SELECT count(*) FROM t) AS threads, (SELECT count(*) FROM m) AS messages, (SELECT count(*) FROM sources) AS sources")
