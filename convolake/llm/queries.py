@@ -52,8 +52,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_masked(spark: SparkSession, d: str) -> DataFrame:
     """The texts of all messages with placeholders; repeated rows stay repeated. The key is the setting spark.convolake.pii.key; where it is unset a
     key is drawn, so that values are linked within one run only."""
-    key = spark.conf.get("spark.convolake.pii.key", None) or secrets.token_hex(32)
-    return pii.mask_texts(read(spark, d, "messages"), "id", "text", read(spark, d, "contributors"), key).withColumnRenamed("id", "message_id")
+    return pii.mask_texts(read(spark, d, "messages"), "id", "text", read(spark, d, "contributors"), _key(spark)).withColumnRenamed("id", "message_id")
+
+
+def _key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.convolake.pii.key", None) or secrets.token_hex(32)
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether what stands between the placeholders of each text stands in the text itself, in order and from its first character to its last."""
+    both = read(spark, d, "messages").select(F.struct("id", "text").alias("row"), "text")
+    masked = pii.mask_texts(both, "row", "text", read(spark, d, "contributors"), _key(spark)).where("text IS NOT NULL")
+    rest = F.split("text", r"\[(?:EMAIL|PHONE|NATIONAL_ID|ADDRESS|PERSON_NAME):[^\]]*\]")
+    own, found = F.col("row.text"), lambda at, part: F.call_function("locate", part, F.col("row.text"), at)
+    end = F.aggregate(rest, F.lit(1), lambda at, part: F.when((at > 0) & (found(at, part) > 0), found(at, part) + F.length(part)).otherwise(0))
+    kept = F.startswith(own, F.get(rest, F.lit(0))) & F.endswith(own, F.element_at(rest, -1)) & (end > 0)
+    return masked.select(F.col("row.id").alias("message_id"), kept.alias("kept")).distinct()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +82,14 @@ def p6_offsets(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_with_offsets(read(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the tokens of each document begin and end with its text and leave nothing out; a character of several tokens belongs to each."""
+    spans = p6_offsets(spark, d).select("doc_id", "starts", "ends").join(read(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")), "doc_id")
+    close = F.forall(F.zip_with("starts", "ends", lambda a, b: a < b), lambda x: x) & F.forall(F.zip_with(F.slice("starts", F.lit(2), F.size("starts")), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))), lambda a, b: a <= b), lambda x: x)
+    whole = F.when(F.size("starts") == 0, F.col("n") == 0).otherwise((F.get("starts", F.lit(0)) == 0) & (F.element_at("ends", -1) == F.col("n")) & close)
+    return spans.select("doc_id", whole.alias("whole"))
+
+
 def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     """The texts again, from their ids."""
     return encoding.decode(p6_ids(spark, d), "doc_id", "ids")
@@ -86,6 +108,28 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
 
 
+def p7_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source keeps its cap and comes to its target to within one of its documents, or to its cap where it can't reach it."""
+    copies, report = mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+    longest = copies.groupBy("key").agg(F.max("tokens").alias("longest"))
+    rows = report.withColumn("key", mixing.source_key(F.col("source"))).join(longest, "key", "left")
+    total = report.agg(F.sum("tokens")).scalar()
+    left = F.col("target_share") * total - F.col("mixed_tokens")
+    near = F.when(F.col("feasible"), (left >= -1e-6) & (left < F.col("longest"))).otherwise(F.col("mixed_tokens") == F.col("max_repeats") * F.col("tokens"))
+    return rows.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), F.coalesce(near, F.lit(False)).alias("near_target"))
+
+
+def p8_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the units of each document that isn't blank follow one another without sharing a character, and hold all that isn't white space."""
+    dark = lambda c: F.length(F.translate(c, sentences.WHITE, ""))
+    by = Window.partitionBy("doc_id").orderBy("start_pos")  # the units of one text
+    units = p8_units(spark, d).select("doc_id", "start_pos", "n_chars", dark(F.col("unit")).alias("dark"))
+    apart = F.coalesce(F.col("start_pos") >= F.lag(F.col("start_pos") + F.col("n_chars")).over(by), F.lit(True))
+    found = units.withColumn("apart", apart).groupBy("doc_id").agg(F.sum("dark").alias("dark"), F.every("apart").alias("apart"))
+    docs = read(spark, d, "documents").select("doc_id", dark(F.col("text")).alias("all")).where(F.col("all") > 0)
+    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce(F.col("dark") == F.col("all"), F.lit(False)).alias("covered"), F.coalesce("apart", F.lit(False)).alias("apart"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "start_pos")
 
@@ -94,7 +138,7 @@ def p8_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_conversations, p3_found, p3_masked, p5_found, p6_ids, p6_offsets, p6_decoded, p7_found, p7_mix, p7_report, p8_found, p8_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p2_found, p2_conversations, p3_found, p3_masked, p3_kept, p5_found, p6_ids, p6_offsets, p6_cover, p6_decoded, p7_found, p7_mix, p7_report, p7_bounds, p8_found, p8_units, p8_cover)}
 
 _TURNS = """
 WITH m AS (
@@ -141,5 +185,9 @@ WITH latest AS (
 )
 SELECT sha, thread_id FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY dist, thread_id) AS rn FROM pairs WHERE dist <= 7200) WHERE rn = 1
 """,
+    "p3_kept": "SELECT DISTINCT id AS message_id, true AS kept FROM messages WHERE text IS NOT NULL",
+    "p6_cover": "SELECT doc_id, true AS whole FROM documents",
+    "p7_bounds": "SELECT source, true AS within_repeats, true AS near_target FROM mix_targets",
+    "p8_cover": f"SELECT doc_id, true AS covered, true AS apart FROM documents WHERE regexp_matches(text, '[^{''.join(f'{chr(92)}x{{{ord(c):x}}}' for c in sentences.WHITE)}]')",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
