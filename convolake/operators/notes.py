@@ -96,6 +96,36 @@ def thread_note(threads: DataFrame, packed: DataFrame) -> DataFrame:
     return rows.select("thread_id", X.file_name(X.day(F.col("created_at")), name).alias("file"), F.concat_ws("\n", *lines).alias("note"))
 
 
+def agent_notes(facts: DataFrame, briefs: DataFrame | None = None, most: int | None = 60) -> DataFrame:
+    """(project, notes): a project's memory for an agent's own instructions: its name, a brief where there is one (project, answer), and a bold heading a kind over trimmed bullets."""
+    best = Window.partitionBy("project", "kind").orderBy(F.col("pinned").desc(), F.col("created_at").desc(), F.col("fact_id").desc())
+    top = facts.where(F.col("kind").isin("decision", "gotcha", "todo")).withColumn("n", F.row_number().over(best)).where(F.lit(most is None) | (F.col("n") <= (most or 0)))
+    heads = F.create_map(*[F.lit(x) for pair in (("decision", "**Decisions:**"), ("gotcha", "**Gotchas:**"), ("todo", "**Open todos:**")) for x in pair])
+    sections = top.groupBy("project", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("rows"))
+    body = F.concat_ws("\n", F.element_at(heads, F.col("kind")), F.array_join(F.transform("rows", lambda r: F.concat(F.lit("- "), F.trim(r["text"]))), "\n"), F.lit(""))
+    whole = sections.select("project", "kind", body.alias("s")).groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "s"))), lambda r: r["s"]), "\n").alias("body"))
+    name = F.concat(F.lit("# "), X.base_name(F.col("project")), F.lit("\n"))
+    if briefs is None:
+        return whole.select("project", F.concat_ws("\n", name, "body").alias("notes"))
+    both = whole.join(briefs.select("project", F.concat(F.trim("answer"), F.lit("\n")).alias("brief")), "project", "left")
+    return both.select("project", F.concat_ws("\n", name, "brief", "body").alias("notes"))
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Writes each row's note into its file (columns file, note) in a folder that all executors share; null notes are left out, and a file's name never leaves the folder."""
+
+    def write(part: Iterator) -> None:
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for r in part:
+            if r.note is not None and r.file:
+                with open(os.path.join(folder, os.path.basename(r.file)), "w", encoding="utf-8", errors="replace") as f:
+                    f.write(r.note)
+
+    rows.select("file", "note").foreachPartition(write)
+
+
 def answer_context(hits: DataFrame, packed: DataFrame, threads: int = 5) -> DataFrame:
     """(n, thread_id, excerpt): the first different threads of ranked hits, numbered from 1, with their transcripts, which the caller has packed into the excerpt's size."""
     first = hits.groupBy("thread_id").agg(F.min("rank").alias("rank")).orderBy("rank").limit(threads)

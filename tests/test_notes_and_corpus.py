@@ -63,7 +63,7 @@ def test_what_a_completion_function_gives(spark):
     assert sorted((r.project, r.a, r.b) for r in notes.conflicts(decisions, complete, most=2).collect()) == [("/p", 0, 1), ("/p", 2, 3)]
 
 
-def test_snapshots_and_exports(spark):
+def test_snapshots_and_exports(spark, tmp_path):
     packed = spark.createDataFrame([(1, "body"), (2, None)], "thread_id bigint, packed string")
     memory = spark.createDataFrame([(1, "notes")], "thread_id bigint, notes string")
     first = notes.snapshot(packed, "by hand", 1)
@@ -73,6 +73,11 @@ def test_snapshots_and_exports(spark):
     assert rows.where("thread_id = 1 AND created_at = 3").first().body == "notes\n---\nbody" and first.where("thread_id = 1").first().token_estimate == 1
     facts = spark.createDataFrame([("/p", "decision", f"d{i}", i == 2, i, i) for i in range(5)] + [("/p", "gotcha", "g\nh", False, 1, 8), ("/p", "summary", "no", False, 1, 9)], "project string, kind string, text string, pinned boolean, created_at bigint, fact_id bigint")
     assert notes.memory_markdown(facts, 2).first().notes == "## Decisions\n- d2\n- d4\n\n## Gotchas\n- g h"
+    briefs = spark.createDataFrame([("/p", " In brief. ")], "project string, answer string")
+    assert notes.agent_notes(facts, briefs, 1).first().notes == "# p\n\nIn brief.\n\n**Decisions:**\n- d2\n\n**Gotchas:**\n- g\nh\n"
+    files = spark.createDataFrame([("a.md", "x"), ("../b.md", "y"), ("c.md", None)], "file string, note string")
+    notes.write_files(files, str(tmp_path / "out"))
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a.md": "x", "b.md": "y"}
     once = notes.with_block("mine\n", "a", "notes")
     twice = notes.with_block(once, "b", "notes")
     assert once.count("begin notes") == twice.count("begin notes") == 1 and twice.startswith("mine\n") and "\nb\n" in twice and "\na\n" not in twice
