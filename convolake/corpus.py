@@ -128,8 +128,12 @@ class Corpus:
     def knowledge(self, thread_id: int) -> DataFrame:
         return K.thread_knowledge(self.spark, self.folder).where(F.col("thread_id") == thread_id)
 
-    def pending(self, limit: int = 25) -> DataFrame:
-        return K.pending_threads(self.spark, self.folder).orderBy(F.col("updated_at").desc_nulls_last(), "id").limit(limit)
+    def decisions(self, project: str) -> DataFrame:
+        return K.project_decisions(self.spark, self.folder).where(F.col("project") == project).orderBy(F.col("created_at").desc(), F.col("fact_id").desc())
+
+    def pending(self, limit: int = 25, project: str | None = None) -> DataFrame:
+        t = K.pending_threads(self.spark, self.folder)
+        return (t if project is None else t.where(F.col("project") == project)).orderBy(F.col("updated_at").desc_nulls_last(), "id").limit(limit)
 
     def project_memory(self, most: int | None = 60) -> DataFrame:
         return notes.memory_markdown(K._memory(self.spark, self.folder), most)

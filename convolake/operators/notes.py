@@ -172,14 +172,14 @@ def answer(question: str, context: DataFrame, complete: Callable[[str], str]) ->
 
 
 def conflicts(decisions: DataFrame, complete: Callable[[str], str], most: int = 60) -> DataFrame:
-    """(project, a, b): pairs of fact ids that contradict each other, by a completion over a project's decisions, numbered by age in lists of `most`.
+    """(project, a, b): pairs of fact ids that contradict each other, by a completion over a project's decisions, numbered by age in lists of about `most`.
 
-    decisions: fact_id, project, text, created_at. A project with more decisions gives several lists, so none is left out and no prompt grows
-    with the project; pairs are found within a list. Answers that can't be read give no pairs.
+    decisions: fact_id, project, text, created_at. A project with more decisions is dealt into several lists by hash, so none is left out, no prompt
+    grows with the project and no task holds one; pairs are found within a list. Answers that can't be read give no pairs.
     """
-    by = Window.partitionBy("project").orderBy("created_at", "fact_id")
-    place = decisions.select("project", "fact_id", "text", (F.row_number().over(by) - 1).alias("k"))
-    lists = place.groupBy("project", F.floor(F.col("k") / most).alias("part")).agg(F.array_sort(F.collect_list(F.struct("k", "fact_id", "text"))).alias("rows")).where(F.size("rows") > 1)
+    parts = decisions.groupBy("project").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    dealt = decisions.join(parts, "project").withColumn("part", F.pmod(F.xxhash64("fact_id"), F.col("parts")))
+    lists = dealt.groupBy("project", "part").agg(F.array_sort(F.collect_list(F.struct("created_at", "fact_id", "text"))).alias("rows")).where(F.size("rows") > 1)
     body = F.array_join(F.transform("rows", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r["text"])), "\n")
     keyed = lists.select(F.struct("project", "part").alias("__key"), F.col("rows.fact_id").alias("ids"), body.alias("body"))
 

@@ -60,7 +60,10 @@ def test_what_a_completion_function_gives(spark):
     context = spark.createDataFrame([(2, 8, "two"), (1, 9, "one")], "n int, thread_id bigint, excerpt string")
     assert notes.answer("why?", context, lambda p: p.index("[thread 1]") < p.index("[thread 2]") and "why?" in p) == (True, [9, 8])
     decisions = spark.createDataFrame([(i, "/p", f"d{i}", i) for i in range(5)] + [(9, "/q", "alone", 1)], "fact_id bigint, project string, text string, created_at bigint")
-    assert sorted((r.project, r.a, r.b) for r in notes.conflicts(decisions, complete, most=2).collect()) == [("/p", 0, 1), ("/p", 2, 3)]
+    assert [(r.project, r.a, r.b) for r in notes.conflicts(decisions, complete).collect()] == [("/p", 0, 1)]  # the two oldest
+    many = spark.range(400).selectExpr("id fact_id", "'/p' project", "'d' text", "id created_at")
+    lists = notes.conflicts(many, lambda p: str([[1, p.count(". d")]]), most=20)
+    assert 15 <= lists.count() <= 20 and all(r.a < r.b for r in lists.collect())
 
 
 def test_snapshots_and_exports(spark, tmp_path):
@@ -149,3 +152,17 @@ def test_every_door_of_a_corpus(spark, tmp_path):
     assert {tuple(r) for r in c.mentions().collect()} == paths
     c.delete([one])
     assert c.threads(subagents=True).where(F.col("id") == one).count() == 0 and c.thread(one).count() == 0 and c.snapshots().count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data here")
+def test_commands(spark, capsys):
+    import json
+
+    from convolake.__main__ import main
+
+    first = {}
+    for words in (["recent"], ["search", "watcher"], ["todos"], ["tags"], ["projects"], ["stats"], ["issues"], ["pending"]):
+        assert main([SMALL, *words, "--limit", "3"]) == 0
+        first[words[0]] = [json.loads(line) for line in capsys.readouterr().out.splitlines()]
+    assert len(first["recent"]) == 3 and first["search"][0]["rank"] == 1 and first["stats"][0]["threads"] > 0
+    assert main([SMALL, "show", str(first["recent"][0]["id"])]) == 0 and '"role"' in capsys.readouterr().out
