@@ -11,7 +11,7 @@ from convolake.operators import fulltext as T
 from convolake.operators import gitlink as G
 from convolake.operators import ivf, store
 from convolake.operators import vector as V
-from convolake.session import table_path
+from convolake.session import stored
 from convolake.tables import read
 
 from . import model as M
@@ -122,9 +122,8 @@ def search_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_BM25_SQL + "SELECT id, thread_id, strict, score, rank::INT AS rank FROM kw WHERE rank <= 100")
 def search_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """search_keyword answered by a stored index, of which it reads the postings of its prefixes only. The index is written first, into the shared folder."""
-    path = table_path(spark, "index")
-    T.write_index(M.messages(spark, d, "text"), path)
+    """search_keyword answered by a stored index, of which it reads the postings of its prefixes only. The index of a state of the messages is written once, into the shared folder."""
+    path = stored(spark, "index", f"{d}/messages.parquet", lambda to: T.write_index(M.messages(spark, d, "text"), to))
     t = search_filters(M.threads(spark, d), spark, d).select(F.col("id").alias("thread_id"))
     return T.ranked(T.Index(spark, path).bm25(QUERY).join(t, "thread_id", "left_semi"), len(T.query_terms(QUERY)), 100).select("id", "thread_id", "strict", "score", "rank")
 
@@ -206,9 +205,9 @@ def nearest_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def nearest_messages_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """nearest_messages by an index of inverted lists, which is written first, into the shared folder; LISTS lists, of which PROBES are looked into."""
-    path, rows = table_path(spark, "vectors"), _vectors(spark, d).withColumn("owner", F.col("id"))
-    ivf.write(rows, path, ivf.fit(rows, LISTS))
+    """nearest_messages by an index of inverted lists, written once for a state of the chunks, into the shared folder; LISTS lists, of which PROBES are looked into."""
+    rows = _vectors(spark, d).withColumn("owner", F.col("id"))
+    path = stored(spark, "vectors", f"{d}/chunks.parquet", lambda to: ivf.write(rows, to, ivf.fit(rows, LISTS)))
     return ivf.search(spark, path, _queries(spark, d), V.FLOOR, 200, PROBES).select("query_id", "query_no", F.col("owner").alias("message_id"), "similarity")
 
 
@@ -238,7 +237,8 @@ def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     near = V.nearest_of_all(q, _vectors(spark, d).join(allowed, "id", "left_semi").withColumn("owner", F.col("id")), V.FLOOR, 100)
     key = ["query_id", "query_no"]
     sem = near.select(*key, F.col("owner").alias("id"), "similarity", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("similarity").desc(), "owner")).alias("rank"))
-    words = q.where("embedding IS NOT NULL").select(*key).distinct().crossJoin(_search(spark, d, QUERY, 100).select("id", "rank"))
+    hits = _search(spark, d, QUERY, 100).agg(F.collect_list(F.struct("id", "rank"))).scalar()  # the one list of hits, of 100 at most, for every query vector
+    words = q.where("embedding IS NOT NULL").select(*key).distinct().select(*key, F.explode(hits).alias("hit")).select(*key, "hit.*")
     named = lambda df: df.withColumn("id", F.struct(*key, "id"))
     fused = V.fuse(named(words), named(sem), "id").select("id.*", "rrf")
     best = Window.partitionBy(*key).orderBy(F.col("rrf").desc(), "id")

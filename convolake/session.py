@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,28 @@ def cut(df: DataFrame) -> DataFrame:
 def table_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for a written table."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, name: str, source: str, write: Callable[[str], None]) -> str:
+    """The path of what `write` makes of a source, in the shared folder: made once for each state of the source, then found again.
+
+    The state is the source's path, latest change and length. It is written beside its place and put there by one rename, so that a run that fails leaves no half.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    at = path(source)
+    files = at.getFileSystem(conf)
+    about = files.getContentSummary(at)
+    changed = max([files.getFileStatus(at).getModificationTime(), *(f.getModificationTime() for f in files.listStatus(at))])
+    state = hashlib.blake2b(f"{source} {changed} {about.getLength()}".encode(), digest_size=12).hexdigest()
+    final = f"{shared_dir(spark).rstrip('/')}/{name}-{state}"
+    here = path(final)
+    fs = here.getFileSystem(conf)
+    if not fs.exists(here):
+        beside = table_path(spark, name)
+        write(beside)
+        if not fs.rename(path(beside), here) or fs.exists(path(f"{final}/{path(beside).getName()}")):
+            # another run was faster; where a rename moves into a folder that is there, its copy goes too
+            fs.delete(path(beside), True)
+            fs.delete(path(f"{final}/{path(beside).getName()}"), True)
+    return final

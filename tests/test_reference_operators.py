@@ -14,6 +14,7 @@ from convolake.operators import fulltext as T
 from convolake.operators import gitlink as G
 from convolake.operators import ivf, packing, store
 from convolake.operators import vector as V
+from convolake.session import stored
 from convolake.sources import connectors as S
 
 M = "thread_id bigint, id bigint, seq bigint, role string, text string, ts bigint"
@@ -476,3 +477,17 @@ def test_inverted_lists(spark, tmp_path):
     empty = str(tmp_path / "e")
     ivf.write(df.limit(0), empty, ivf.fit(df.limit(0), 4))
     assert ivf.search(spark, empty, q, 0.35, 10, 2).count() == 0
+
+
+def test_what_is_stored_once(spark, tmp_path):
+    source, calls = tmp_path / "t.parquet", []
+
+    def write(path):
+        calls.append(path)
+        spark.range(3).write.parquet(path + "/x")
+
+    spark.range(1).write.parquet(str(source))
+    one = stored(spark, "test", str(source), write)
+    assert stored(spark, "test", str(source), write) == one and len(calls) == 1 and spark.read.parquet(one + "/x").count() == 3 and not os.path.exists(calls[0])
+    spark.range(9).write.mode("overwrite").parquet(str(source))
+    assert stored(spark, "test", str(source), write) != one and len(calls) == 2
