@@ -154,7 +154,7 @@ class Corpus:
 
     def recurring_issues(self, since: int = 0, limit: int = 20, **filters) -> DataFrame:
         m = model.message_rows(self.spark, self.folder, "role", "text", "ts").where(F.col("role").isin("user", "tool") & (F.col("ts") >= since))
-        return extraction.recurring(extraction.error_lines(m.join(self.threads(**filters).select(F.col("id").alias("thread_id")), "thread_id", "left_semi")), limit)
+        return extraction.recurring(extraction.error_lines(extraction.error_candidates(m).join(self.threads(**filters).select(F.col("id").alias("thread_id")), "thread_id", "left_semi")), limit)
 
     def thread_commits(self) -> DataFrame:
         spans = gitlink.windows(model.threads(self.spark, self.folder), model.messages(self.spark, self.folder, "ts"))
@@ -240,6 +240,11 @@ class Corpus:
         """Stores the paths of all threads, so that searches by file and links to commits read no texts."""
         self._write("file_mentions", extraction.paths(model.message_rows(self.spark, self.folder, "text")))
 
+    def compact(self, *names: str, file_mb: int = 128) -> None:
+        """Rewrites tables, all of the folder's own that are named, into files of about file_mb."""
+        for name in names:
+            store.compact(self.spark, f"{self.folder}/{name}.parquet", file_mb)
+
     def delete(self, ids: list[int]) -> None:
         """Removes threads and what belongs to them from the tables that the folder has; each is rewritten, and so compacted."""
         gone = self.spark.createDataFrame([(i,) for i in ids], "thread_id bigint")

@@ -90,6 +90,15 @@ def is_error(line: Column) -> Column:
     return head.rlike(f"^(?:{starts})|(?:{parts})")
 
 
+#: The words, and their forms, of which a message must hold one before its lines are looked at.
+ERROR_WORDS = r"errors?|panick(?:ed|ing)|exceptions?|tracebacks?|fatal"
+
+
+def error_candidates(messages: DataFrame) -> DataFrame:
+    """The messages whose text holds one of ERROR_WORDS as a word; the others, almost all, are never cut into lines."""
+    return messages.where(F.col("text").rlike(rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{ERROR_WORDS})(?![\p{{L}}\p{{N}}])"))
+
+
 def error_lines(messages: DataFrame, test: Callable[[Column], Column] = is_error) -> DataFrame:
     """(thread_id, id, ts, key, line): each message's error lines, or those of another test, equal ones once (the first)."""
     rows = lines(messages, "thread_id", "id", "ts").where(F.octet_length("line").between(6, 400) & test(F.col("line")))

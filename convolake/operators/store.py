@@ -62,6 +62,13 @@ def swap_write(spark: SparkSession, df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
+def compact(spark: SparkSession, path: str, file_mb: int = 128) -> None:
+    """Rewrites a table into files of about file_mb, as many as its present size asks for."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    swap_write(spark, spark.read.parquet(path).repartition(max(1, -(-size // (file_mb << 20)))), path)
+
+
 # ---------------------------------------------------------------- knowledge
 
 

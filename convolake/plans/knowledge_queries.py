@@ -328,7 +328,7 @@ def thread_todos_capped(spark: SparkSession, d: str) -> DataFrame:
 _STARTS = " OR ".join(f"starts_with(h, '{s}')" for s in X.ERROR_STARTS)
 _PARTS = " OR ".join(f"contains(h, '{s}')" for s in X.ERROR_PARTS)
 _ERRORS_SQL = (
-    _LINES_SQL
+    _LINES_SQL.replace("WHERE text IS NOT NULL", f"WHERE regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}])({X.ERROR_WORDS})([^\\p{{L}}\\p{{N}}]|$)')")
     + f""", er AS (
   SELECT * FROM (SELECT *, lower(substring(line, 1, 64)) AS h FROM li WHERE role IN ('user', 'tool') AND strlen(line) BETWEEN 6 AND 400 AND thread_id IN (SELECT id FROM t WHERE NOT is_subagent)) WHERE ({_STARTS} OR {_PARTS})
 ), ke AS (
@@ -339,10 +339,10 @@ _ERRORS_SQL = (
 )
 
 
-def _errors(spark: SparkSession, d: str, test=X.is_error) -> DataFrame:
+def _errors(spark: SparkSession, d: str, test=X.is_error, candidates=X.error_candidates) -> DataFrame:
     m = M.message_rows(spark, d, "role", "text", "ts").where(F.col("role").isin("user", "tool") & F.col("text").isNotNull())
     t = M.threads(spark, d).where(~F.col("is_subagent")).select(F.col("id").alias("thread_id"))
-    return X.error_lines(m.join(t, "thread_id", "left_semi"), test)
+    return X.error_lines(candidates(m).join(t, "thread_id", "left_semi"), test)
 
 
 @query(_ERRORS_SQL + "SELECT key, count(*) AS n, count(DISTINCT thread_id) AS threads FROM one GROUP BY key")
@@ -363,6 +363,16 @@ def recurring_issues(spark: SparkSession, d: str) -> DataFrame:
     return X.recurring(_errors(spark, d), 20).drop("example")
 
 
+@query(
+    _ERRORS_SQL.replace(f"regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}])({X.ERROR_WORDS})([^\\p{{L}}\\p{{N}}]|$)')", "contains(text, 'return')").replace(f"({_STARTS} OR {_PARTS})", "contains(line, 'return')")
+    + "SELECT key, count(*) AS n, count(DISTINCT thread_id) AS threads, min(ts) AS first_seen, max(ts) AS last_seen FROM one WHERE ts IS NOT NULL GROUP BY key HAVING count(*) >= 2 ORDER BY n DESC, last_seen DESC, key LIMIT 20"
+)
+def recurring_returns(spark: SparkSession, d: str) -> DataFrame:
+    """recurring_issues for the lines that say `return`, as texts without error lines leave that one empty."""
+    said = lambda c: F.contains(c, F.lit("return"))
+    return X.recurring(_errors(spark, d, said, lambda m: m.where(said(F.col("text")))), 20).drop("example")
+
+
 @query(R._ALL_LINKS_SQL + ", p AS (SELECT id AS thread_id, project FROM t) SELECT thread_id, sha, overlap, 'new' AS written FROM links JOIN p USING (thread_id) WHERE project ILIKE '%harbor%' UNION ALL SELECT thread_id, sha, 0, 'old' FROM (SELECT thread_id, sha FROM links JOIN p USING (thread_id) WHERE NOT coalesce(project ILIKE '%harbor%', false))")
 def links_after_rewrite(spark: SparkSession, d: str) -> DataFrame:
     """The stored links when those of some projects are written anew: theirs go and the new ones come, all others stay."""

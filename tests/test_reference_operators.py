@@ -93,6 +93,8 @@ def test_error_keys_hold_what_stays_the_same(spark):
     assert [a == b for a, b in keys.values()] == [same for *_, same in pairs]
     quiet = messages(spark, "an error happened long ago", "x" * 401 + " error: y", "abc", None, " " * 70 + "error: late", role="tool")
     assert [r.line for r in X.error_lines(quiet).collect()] == ["error: late"]
+    words = messages(spark, "an error", "ERRORS: x", "terror", "error_code", "panicking!", "command not found", None)
+    assert sorted(r.id for r in X.error_candidates(words).collect()) == [1, 2, 4, 5]
     twice = X.recurring(X.error_lines(messages(spark, "fatal: a /x\nfatal: a /y", "ok", "fatal: a /z")), 5).collect()
     assert [(r.n, r.threads, r.first_seen, r.last_seen, r.example) for r in twice] == [(2, 1, 100, 102, "fatal: a /z")]
 
@@ -479,6 +481,13 @@ def test_inverted_lists(spark, tmp_path):
     assert ivf.search(spark, empty, q, 0.35, 10, 2).count() == 0
 
 
+def test_compaction(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(100).repartition(9).write.parquet(path)
+    store.compact(spark, path)
+    assert spark.read.parquet(path).count() == 100 and len(list((tmp_path / "t.parquet").glob("*.parquet"))) == 1
+
+
 def test_what_is_stored_once(spark, tmp_path):
     source, calls = tmp_path / "t.parquet", []
 
