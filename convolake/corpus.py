@@ -142,9 +142,7 @@ class Corpus:
 
     def mentions(self) -> DataFrame:
         """The paths of each thread, from the table file_mentions where there is one, else from the texts."""
-        if exists(self.spark, self.folder, "file_mentions"):
-            return read(self.spark, self.folder, "file_mentions").select("thread_id", "path")
-        return extraction.paths(model.message_rows(self.spark, self.folder, "text"))
+        return model.mentions(self.spark, self.folder)
 
     def threads_for_file(self, path: str, limit: int = 40) -> DataFrame:
         return fulltext.threads_with_file(self.mentions(), model.threads(self.spark, self.folder), path, limit)

@@ -51,8 +51,8 @@ def cells_of(day: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda level: F.struct(level.alias("level"), F.floor(day / F.call_function("shiftleft", F.lit(1).cast("bigint"), level)).alias("cell")))
 
 
-def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, most: int | None = PER_THREAD) -> DataFrame:
-    """(thread_id, sha, committed_at, overlap): per thread the `most` commits (all, if None) that share most files, among those from an hour before to a day after it.
+def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, most: int | None = PER_THREAD, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+    """(thread_id, sha, committed_at, overlap): per thread the `most` commits (all, if None) that share most files, among those from `before` seconds (an hour) before to `after` (a day) after it.
 
     A mention and a file match if they are equal or one is an ending of the other at a slash, without regard to case. Both
     sides are joined by equality of (project, cell of days, ending), never pairwise: a thread stands under the few cells of its span, a
@@ -60,11 +60,11 @@ def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, mo
     over days and paths, and a thread of many years costs no more than two cells a level.
     """
     day = lambda c: F.floor(c / DAY)
-    by_cell = spans.withColumn("c", F.explode(cells(day(F.col("start_ts") - BEFORE), day(F.col("end_ts") + AFTER)))).select("*", "c.*").drop("c")
+    by_cell = spans.withColumn("c", F.explode(cells(day(F.col("start_ts") - before), day(F.col("end_ts") + after)))).select("*", "c.*").drop("c")
     said = mentions.select("thread_id", F.lower("path").alias("mention")).distinct().join(by_cell, "thread_id")
     changed = commits.select("sha", "project", "committed_at", F.explode("files").alias("f")).withColumn("file", F.lower("f")).drop("f").distinct()
     changed = changed.withColumn("c", F.explode(cells_of(day(F.col("committed_at"))))).select("*", "c.*").drop("c")
-    in_time = F.col("committed_at").between(F.col("start_ts") - BEFORE, F.col("end_ts") + AFTER)
+    in_time = F.col("committed_at").between(F.col("start_ts") - before, F.col("end_ts") + after)
     on = ["project", "level", "cell", "key"]
     longer_mention = said.withColumn("key", F.explode(suffixes(F.col("mention")))).join(changed.withColumn("key", F.col("file")), on).where(in_time & (F.contains("file", F.lit("/")) | (F.col("file") == F.col("mention"))))
     longer_file = said.withColumn("key", F.col("mention")).join(changed.withColumn("key", F.explode(suffixes(F.col("file")))), on).where(in_time & F.contains("mention", F.lit("/")))

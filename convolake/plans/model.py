@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convolake.operators import extraction
 from convolake.sources import stand_ins
 from convolake.tables import epoch_seconds, exists, read
 
@@ -62,6 +63,11 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "facts") if exists(spark, d, "facts") else stand_ins.facts(read(spark, d, "documents"))
 
 
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    """(thread_id, path) of all paths of each thread: the table file_mentions where the folder has one, else drawn from the texts."""
+    return read(spark, d, "file_mentions").select("thread_id", "path") if exists(spark, d, "file_mentions") else extraction.paths(message_rows(spark, d, "text"))
+
+
 def fact_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the facts whose id is that of a vector."""
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding", "label")

@@ -418,7 +418,7 @@ def threads_for_file_capped(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SQL["threads_for_file_capped"].replace(_PATHS_SQL, _ALL_PATHS_SQL), base=False)
 def threads_for_file(spark: SparkSession, d: str) -> DataFrame:
-    return T.threads_with_file(X.paths(M.message_rows(spark, d, "text")), M.threads(spark, d), "rank/main", 40).select("id", "title")
+    return T.threads_with_file(M.mentions(spark, d), M.threads(spark, d), "rank/main", 40).select("id", "title")
 
 
 _LINKS_SQL = (
@@ -437,9 +437,10 @@ _LINKS_SQL = (
 )
 
 
-def _links(spark: SparkSession, d: str, paths: int | None = X.PATHS_A_THREAD, most: int | None = G.PER_THREAD) -> DataFrame:
+def _links(spark: SparkSession, d: str, paths: int | None = X.PATHS_A_THREAD, most: int | None = G.PER_THREAD, **around: int) -> DataFrame:
     spans = G.windows(M.threads(spark, d), M.messages(spark, d, "ts"))
-    return G.thread_commits(spans, X.paths(M.message_rows(spark, d, "text"), paths), G.clean_commits(read(spark, d, "commits")), most)
+    said = M.mentions(spark, d) if paths is None else X.paths(M.message_rows(spark, d, "text"), paths)
+    return G.thread_commits(spans, said, G.clean_commits(read(spark, d, "commits")), most, **around)
 
 
 @query(_LINKS_SQL + "SELECT thread_id, sha, committed_at, overlap FROM links")
@@ -481,3 +482,9 @@ def commits_by_sha(spark: SparkSession, d: str) -> DataFrame:
     """The links of the commits that a list names by their short shas, here in capitals and with blanks."""
     needles = read(spark, d, "commits").select(F.concat(F.lit(" "), F.upper("short_sha")).alias("needle"))
     return G.by_sha(_links(spark, d, None, None), needles).select("thread_id", "sha", "overlap")
+
+
+@query(_ALL_LINKS_SQL.replace("sp.s - 3600 AND sp.e + 86400", "sp.s - 2592000 AND sp.e + 2592000") + "SELECT thread_id, sha, committed_at, overlap FROM links")
+def thread_commits_month(spark: SparkSession, d: str) -> DataFrame:
+    """All commits that share files with a thread, from a month before to a month after it."""
+    return _links(spark, d, None, None, before=30 * DAY, after=30 * DAY)
