@@ -56,16 +56,20 @@ def first_of(rows: DataFrame, value: str, most: int | None, order: list[str]) ->
     return flat.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= most).select("thread_id", *others)
 
 
-def paths(messages: DataFrame, most: int | None = None) -> DataFrame:
-    """(thread_id, path): the different paths of a thread, or the first `most`, with the case first seen."""
+def all_paths(messages: DataFrame) -> DataFrame:
+    """(thread_id, seq, word_no, path): every path of every text, as often as it is there."""
     words = F.split("text", r"""[\s()\[\]{}"'`,;<>|=]+""")
     rows = messages.where("text IS NOT NULL").select("thread_id", "seq", F.posexplode(words).alias("word_no", "path"))
     rows = rows.withColumn("path", F.btrim("path", F.lit(".:*#!?@")))
     ending = F.substring_index("path", ".", -1)
     stem = F.expr("substring(path, 1, length(path) - length(substring_index(path, '.', -1)) - 1)")
     good = F.octet_length("path").between(3, 200) & ~F.contains("path", F.lit("://")) & F.contains("path", F.lit(".")) & ending.rlike("^[A-Za-z0-9]+$") & ~ending.rlike("^[0-9]+$") & (F.length(stem) > 0)
-    kept = rows.where(good & (F.contains("path", F.lit("/")) | F.lower(ending).isin(*ENDINGS)))
-    return first_of(kept, "path", most, ["seq", "word_no"]).select("thread_id", "path")
+    return rows.where(good & (F.contains("path", F.lit("/")) | F.lower(ending).isin(*ENDINGS)))
+
+
+def paths(messages: DataFrame, most: int | None = None) -> DataFrame:
+    """(thread_id, path): the different paths of a thread, or the first `most`, with the case first seen."""
+    return first_of(all_paths(messages), "path", most, ["seq", "word_no"]).select("thread_id", "path")
 
 
 def normal_error(line: Column) -> Column:

@@ -51,24 +51,35 @@ def cells_of(day: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda level: F.struct(level.alias("level"), F.floor(day / F.call_function("shiftleft", F.lit(1).cast("bigint"), level)).alias("cell")))
 
 
+def meeting(rows: DataFrame, keys: Column) -> DataFrame:
+    """rows under each of their (kind, key), with `at`, a hash of project, cell, kind and key, in place of cell and key."""
+    under = rows.withColumn("k", F.explode(keys)).withColumn("at", F.xxhash64("project", "level", "cell", "k.kind", "k.key"))
+    return under.drop("level", "cell", "k")
+
+
 def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, most: int | None = PER_THREAD, before: int = BEFORE, after: int = AFTER) -> DataFrame:
     """(thread_id, sha, committed_at, overlap): per thread the `most` commits (all, if None) that share most files, among those from `before` seconds (an hour) before to `after` (a day) after it.
 
     A mention and a file match if they are equal or one is an ending of the other at a slash, without regard to case. Both
     sides are joined by equality of (project, cell of days, ending), never pairwise: a thread stands under the few cells of its span, a
     commit under the cells of its day, a mention and a file under each of their endings, so a project with a third of all rows is spread
-    over days and paths, and a thread of many years costs no more than two cells a level.
+    over days and paths, and a thread of many years costs no more than two cells a level. There is one join, by a hash of these as one
+    bigint, after which the rows are compared themselves: each join more, and each key of several columns, which as a broadcast takes
+    64 MB however few rows it has, is memory of the driver.
     """
     day = lambda c: F.floor(c / DAY)
     by_cell = spans.withColumn("c", F.explode(cells(day(F.col("start_ts") - before), day(F.col("end_ts") + after)))).select("*", "c.*").drop("c")
     said = mentions.select("thread_id", F.lower("path").alias("mention")).distinct().join(by_cell, "thread_id")
     changed = commits.select("sha", "project", "committed_at", F.explode("files").alias("f")).withColumn("file", F.lower("f")).drop("f").distinct()
     changed = changed.withColumn("c", F.explode(cells_of(day(F.col("committed_at"))))).select("*", "c.*").drop("c")
+    mention, file = F.col("mention"), F.col("file")
+    kinds = lambda endings, whole: F.concat(*[F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))) for kind, keys in ((0, endings), (1, whole))])
+    said = meeting(said, kinds(suffixes(mention), F.filter(F.array(mention), lambda k: F.contains(k, F.lit("/")))))
+    changed = meeting(changed, kinds(F.array(file), suffixes(file))).withColumnRenamed("project", "of")
+    slash = F.lit("/")
+    match = (mention == file) | (F.contains(file, slash) & F.endswith(mention, F.concat(slash, file))) | (F.contains(mention, slash) & F.endswith(file, F.concat(slash, mention)))
     in_time = F.col("committed_at").between(F.col("start_ts") - before, F.col("end_ts") + after)
-    on = ["project", "level", "cell", "key"]
-    longer_mention = said.withColumn("key", F.explode(suffixes(F.col("mention")))).join(changed.withColumn("key", F.col("file")), on).where(in_time & (F.contains("file", F.lit("/")) | (F.col("file") == F.col("mention"))))
-    longer_file = said.withColumn("key", F.col("mention")).join(changed.withColumn("key", F.explode(suffixes(F.col("file")))), on).where(in_time & F.contains("mention", F.lit("/")))
-    pairs = longer_mention.select("thread_id", "sha", "committed_at", "file").union(longer_file.select("thread_id", "sha", "committed_at", "file"))
+    pairs = said.join(changed, "at").where((F.col("project") == F.col("of")) & in_time & match)
     overlap = pairs.groupBy("thread_id", "sha", "committed_at").agg(F.countDistinct("file").alias("overlap"))
     if most is None:
         return overlap
@@ -93,7 +104,7 @@ def by_sha(links: DataFrame, needles: list[str] | DataFrame) -> DataFrame:
         lengths = wanted.agg(F.collect_set(F.length("needle"))).scalar()  # no more than a sha has characters
         at = links.withColumn("n", F.explode(F.sequence(F.lit(1), F.length("sha")))).where(F.array_contains(lengths, F.col("n")))
         at = at.withColumn("needle", F.col("sha").substr(F.lit(1), F.col("n"))).drop("n")
-        return at.join(wanted, "needle", "left_semi").drop("needle").distinct()
+        return at.join(wanted.hint("merge"), "needle", "left_semi").drop("needle").distinct()
     test = F.lit(False)
     for n in [n.strip().lower() for n in needles if n and n.strip()]:
         test = test | F.col("sha").startswith(n)

@@ -63,9 +63,15 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "facts") if exists(spark, d, "facts") else stand_ins.facts(read(spark, d, "documents"))
 
 
-def mentions(spark: SparkSession, d: str) -> DataFrame:
-    """(thread_id, path) of all paths of each thread: the table file_mentions where the folder has one, else drawn from the texts."""
-    return read(spark, d, "file_mentions").select("thread_id", "path") if exists(spark, d, "file_mentions") else extraction.paths(message_rows(spark, d, "text"))
+def mentions(spark: SparkSession, d: str, repeated: bool = False) -> DataFrame:
+    """(thread_id, path) of all paths of each thread: the table file_mentions where the folder has one, else drawn from the texts.
+
+    repeated: equal ones may come as often as they are there, for operators that drop repeats themselves.
+    """
+    if exists(spark, d, "file_mentions"):
+        return read(spark, d, "file_mentions").select("thread_id", "path")
+    rows = message_rows(spark, d, "text")
+    return extraction.all_paths(rows).select("thread_id", "path") if repeated else extraction.paths(rows)
 
 
 def fact_vectors(spark: SparkSession, d: str) -> DataFrame:

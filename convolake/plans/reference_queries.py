@@ -438,8 +438,8 @@ _LINKS_SQL = (
 
 
 def _links(spark: SparkSession, d: str, paths: int | None = X.PATHS_A_THREAD, most: int | None = G.PER_THREAD, **around: int) -> DataFrame:
-    spans = G.windows(M.threads(spark, d), M.messages(spark, d, "ts"))
-    said = M.mentions(spark, d) if paths is None else X.paths(M.message_rows(spark, d, "text"), paths)
+    spans = G.windows(M.threads(spark, d), M.message_rows(spark, d, "ts"))  # repeats don't move the first and the last
+    said = M.mentions(spark, d, repeated=True) if paths is None else X.paths(M.message_rows(spark, d, "text"), paths)
     return G.thread_commits(spans, said, G.clean_commits(read(spark, d, "commits")), most, **around)
 
 

@@ -174,6 +174,21 @@ def test_commit_links_against_all_pairs(spark):
     assert G.thread_commits(*[x.limit(0) for x in df], None).count() == 0
 
 
+def test_commit_links_by_one_join_on_one_number(spark):
+    spans = spark.createDataFrame([(1, "/p", 1000, 2000)], "thread_id bigint, project string, start_ts bigint, end_ts bigint")
+    commits = spark.createDataFrame([("c", "/p", 1500, ["a/b.rs", "x/a/b.rs", "b.rs"])], "sha string, project string, committed_at bigint, files array<string>")
+    links = G.thread_commits(spans, spark.createDataFrame([(1, "a/b.rs")], "thread_id bigint, path string"), commits, None)
+    assert [r.overlap for r in links.collect()] == [2]
+    joins = [x for x in links._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert len(joins) == 2 and not any(" AND (level" in x or "key#" in x for x in joins)
+
+
+def test_commits_by_shas_without_a_relation_of_strings(spark):
+    links = spark.createDataFrame([(1, "9f31c0")], "thread_id bigint, sha string")
+    found = G.by_sha(links, spark.range(1).selectExpr("'9F' AS needle"))
+    assert found.count() == 1 and "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_spans_and_days_meet_once(spark):
     rng = random.Random(2)
     spans = [(i, a, a + rng.choice([-1, 0, 1, 7, 400, 9000])) for i in range(60) for a in [rng.randint(-3000, 9000)]]
