@@ -58,8 +58,8 @@ def with_rank(top: DataFrame, *order: Column) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-#: Vectors of a cell of the search for many queries, and queries scored at a time.
-QUERIES_A_CELL, ROWS_A_CELL, BLOCK = 2048, 16_384, 128
+#: Queries and numbers in the vectors of a cell of the search for many queries, vectors of a part of the index, and queries and vectors scored at a time.
+QUERIES_A_CELL, NUMBERS_A_CELL, ROWS_A_CELL, BLOCK, TILE = 4096, 3_145_728, 16_384, 128, 8192
 
 
 def nearest_of_all(queries: DataFrame, rows: DataFrame, floor: float, k: int | None = None) -> DataFrame:
@@ -67,9 +67,11 @@ def nearest_of_all(queries: DataFrame, rows: DataFrame, floor: float, k: int | N
 
     queries has query_id, query_no and embedding; rows has owner, id and embedding. n, which comes only without k, is the number of an owner's vectors of at
     least `floor`, id that of the best, the smallest of equals. Both sides are dealt to the cells of a grid, so each pair meets in one cell; a cell's
-    k best owners hold all that can be among the k best. Null and zero vectors and those of another length match nothing.
+    k best owners hold all that can be among the k best, and a cell holds as many vectors as their length allows, as each returns k rows a query.
+    Null and zero vectors and those of another length match nothing.
     """
-    across, down = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERIES_A_CELL), (rows, ROWS_A_CELL)))
+    numbers = rows.agg(F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(1))), F.lit(0))).first()[0]
+    across, down = (max(1, -(-n // size)) for n, size in ((queries.count(), QUERIES_A_CELL), (numbers, NUMBERS_A_CELL)))
 
     def dealt(df: DataFrame, mine: str, parts: int, other: str, others: int, *key: str) -> DataFrame:
         numbered = df.where("embedding IS NOT NULL").withColumn(mine, F.pmod(F.xxhash64(*key, "embedding"), F.lit(parts).cast("bigint")))
@@ -80,6 +82,54 @@ def nearest_of_all(queries: DataFrame, rows: DataFrame, floor: float, k: int | N
     return _best_of_cells(q, r, ["q", "r"], floor, k)
 
 
+def _best_owners(x: np.ndarray, y: np.ndarray, code: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity) of the k owners with the most similar row of at least `floor`, for each of the queries x; ties by owner, then by row.
+
+    Rows are in the order of their owners' codes. Similarities in single precision, tile by tile, only leave out what lies below the k-th best owner
+    so far by more than their error and the rounding; what is left is computed in double.
+    """
+    length = x.shape[1]
+    slack = 2e-6 + 2 * (length + 8) * 1.2e-7
+    nx, ny = (np.sqrt((v * v).sum(axis=1)) for v in (x, y))
+    fx, fy = (x / nx[:, None]).astype("float32"), np.ascontiguousarray((y / ny[:, None]).astype("float32").T)
+    owners = int(code[-1]) + 1
+    out = []
+    for at in range(0, len(x), BLOCK):
+        block = fx[at : at + BLOCK]
+        least = np.full(len(block), floor - slack, "float32")
+        held, fresh, done, next_cut = (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "float32")), [], 0, 1
+        for tile, start in enumerate(range(0, len(y), TILE), 1):
+            s = block @ fy[:, start : start + TILE]
+            hit = np.flatnonzero(s >= least[:, None])
+            i, j = np.divmod(hit, s.shape[1])
+            fresh.append((i, j + start, s.ravel()[hit]))
+            done += len(hit)
+            if tile < next_cut and done < 4 * k * len(block):
+                continue
+            next_cut, done = max(next_cut, 2 * tile), 0
+            i, j, v = (np.concatenate(c) for c in zip(held, *fresh))
+            fresh = []
+            order = np.lexsort((-v, code[j], i))
+            i, j, v = i[order], j[order], v[order]
+            first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (code[j[1:]] != code[j[:-1]])][: len(i)])
+            top = first[np.lexsort((-v[first], i[first]))]
+            rank = np.arange(len(top)) - np.searchsorted(i[top], i[top])
+            kth = top[rank == k - 1]
+            least[i[kth]] = np.maximum(least[i[kth]], v[kth] - np.float32(slack))
+            keep = v >= least[i]
+            held = (i[keep], j[keep], v[keep])
+        i, j, v = (np.concatenate(c) for c in zip(held, *fresh))
+        exact = np.round(np.einsum("ij,ij->i", x[at + i], y[j]) / (nx[at + i] * ny[j]), 6)
+        i, j, exact = (c[exact >= floor] for c in (i, j, exact))
+        order = np.lexsort((j, -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        first = np.sort(np.unique(i * owners + code[j], return_index=True)[1])
+        i, j, exact = i[first], j[first], exact[first]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((at + i[best], j[best], exact[best]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _best_of_cells(q: DataFrame, r: DataFrame, cell: list[str], floor: float, k: int | None) -> DataFrame:
     """The results of nearest_of_all from queries and rows that meet in cells, each pair in one at most."""
     owner = r.schema["owner"].dataType.simpleString()
@@ -96,6 +146,10 @@ def _best_of_cells(q: DataFrame, r: DataFrame, cell: list[str], floor: float, k:
             if not len(a) or not len(b):
                 continue
             code, ids = b["code"].to_numpy(), b["id"].to_numpy()
+            if k is not None:
+                i, j, best = _best_owners(x, y, code, floor, k)
+                out.append(pd.DataFrame({"query_id": a["query_id"].to_numpy()[i], "query_no": a["query_no"].to_numpy()[i], "owner": names.take(code[j]), "n": 1, "similarity": best, "id": ids[j]}))
+                continue
             starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
             ends = np.r_[starts[1:], len(code)]
             for at in range(0, len(x), BLOCK):
@@ -103,8 +157,6 @@ def _best_of_cells(q: DataFrame, r: DataFrame, cell: list[str], floor: float, k:
                 best, count = np.maximum.reduceat(s, starts, axis=1), np.add.reduceat((s >= floor).astype("int64"), starts, axis=1)
                 for i in range(len(s)):
                     hit = np.flatnonzero(best[i] >= floor)
-                    if k is not None and len(hit) > k:
-                        hit = hit[np.argsort(-best[i][hit], kind="stable")[:k]]
                     if len(hit):
                         first = [starts[g] + int(np.argmax(s[i, starts[g] : ends[g]])) for g in hit]
                         out.append(pd.DataFrame({"query_id": a["query_id"].iloc[at + i], "query_no": a["query_no"].iloc[at + i], "owner": names.take(code[starts[hit]]), "n": count[i][hit], "similarity": best[i][hit], "id": ids[first]}))

@@ -4,6 +4,7 @@ import random
 import re
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +175,22 @@ def test_commit_links_against_all_pairs(spark):
     assert G.thread_commits(*[x.limit(0) for x in df], None).count() == 0
 
 
+def test_best_owners_over_many_tiles_against_all_scores():
+    rng = np.random.default_rng(3)
+    x, y, k = rng.normal(size=(150, 4)), np.round(rng.normal(size=(20_000, 4)), 1), 40
+    y = y[(y * y).sum(axis=1) > 0]
+    y[9000:9300] = y[17000:17300]  # equal similarities in different tiles
+    code = np.sort(rng.integers(0, 9000, len(y)))
+    code = np.unique(code, return_inverse=True)[1]
+    i, j, s = V._best_owners(x, y, code, 0.35, k)
+    whole = np.round(x @ y.T / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1))[None, :], 6)
+    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    best = np.maximum.reduceat(whole, starts, axis=1)
+    for q in range(150):
+        top = np.argsort(-best[q], kind="stable")[:k]
+        assert code[j[i == q]].tolist() == top.tolist() and np.allclose(s[i == q], best[q][top], atol=1e-9)
+
+
 def test_commit_links_by_one_join_on_one_number(spark):
     spans = spark.createDataFrame([(1, "/p", 1000, 2000)], "thread_id bigint, project string, start_ts bigint, end_ts bigint")
     commits = spark.createDataFrame([("c", "/p", 1500, ["a/b.rs", "x/a/b.rs", "b.rs"])], "sha string, project string, committed_at bigint, files array<string>")
