@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from convolake.operators import extraction as X
 from convolake.operators import notes, packing, store
 from convolake.operators import vector as V
+from convolake.session import cut
 from convolake.tables import read
 
 from . import model as M
@@ -375,9 +376,12 @@ def recurring_returns(spark: SparkSession, d: str) -> DataFrame:
 
 @query(R._ALL_LINKS_SQL + ", p AS (SELECT id AS thread_id, project FROM t) SELECT thread_id, sha, overlap, 'new' AS written FROM links JOIN p USING (thread_id) WHERE project ILIKE '%harbor%' UNION ALL SELECT thread_id, sha, 0, 'old' FROM (SELECT thread_id, sha FROM links JOIN p USING (thread_id) WHERE NOT coalesce(project ILIKE '%harbor%', false))")
 def links_after_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    """The stored links when those of some projects are written anew: theirs go and the new ones come, all others stay."""
+    """The stored links when those of some projects are written anew: theirs go and the new ones come, all others stay.
+
+    The links are computed once, into the shared folder: they are read three times, and three times their plan is more than a small driver holds.
+    """
     project = M.threads(spark, d).select(F.col("id").alias("thread_id"), "project")
-    links = R._links(spark, d, None, None).join(project, "thread_id").select("thread_id", "sha", "project", "overlap")
+    links = cut(R._links(spark, d, None, None).join(project, "thread_id").select("thread_id", "sha", "project", "overlap"))
     stored = links.withColumns({"overlap": F.lit(0).cast("bigint"), "written": F.lit("old")})
     fresh = links.where(F.col("project").ilike("%harbor%")).withColumn("written", F.lit("new"))
     return store.rewrite_partitions(stored, fresh, "project").select("thread_id", "sha", "overlap", "written")

@@ -63,3 +63,9 @@ def test_all_todos_in_whole(spark):
     found = X.todos(spark.createDataFrame([(1, 1, 0, text)], "thread_id bigint, id bigint, seq bigint, text string"))
     assert sorted(int(r.todo.split()[-1]) for r in found.collect()) == list(range(40))
     assert {len(r.todo) for r in X.todos_shown(found).collect()} == {241} and X.todos_shown(found).count() == 25
+
+
+def test_links_are_computed_once_for_a_rewrite(spark):
+    df = entry.queries()["links_after_rewrite"](spark, "/root/testdata/sf0.001")
+    assert "Relation [" not in df._jdf.queryExecution().optimizedPlan().toString()  # all of it reads the links that are kept
+    assert df.select("thread_id", "sha").distinct().count() == df.count()
