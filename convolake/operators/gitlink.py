@@ -64,12 +64,12 @@ def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, mo
     sides are joined by equality of (project, cell of days, ending), never pairwise: a thread stands under the few cells of its span, a
     commit under the cells of its day, a mention and a file under each of their endings, so a project with a third of all rows is spread
     over days and paths, and a thread of many years costs no more than two cells a level. There is one join, by a hash of these as one
-    bigint, after which the rows are compared themselves: each join more, and each key of several columns, which as a broadcast takes
-    64 MB however few rows it has, is memory of the driver.
+    bigint, after which the rows are compared themselves. What a side is before it is exploded says nothing of its size after, so neither is
+    ever broadcast: the estimate would send a side of any size through the driver.
     """
     day = lambda c: F.floor(c / DAY)
     by_cell = spans.withColumn("c", F.explode(cells(day(F.col("start_ts") - before), day(F.col("end_ts") + after)))).select("*", "c.*").drop("c")
-    said = mentions.select("thread_id", F.lower("path").alias("mention")).distinct().join(by_cell, "thread_id")
+    said = mentions.select("thread_id", F.lower("path").alias("mention")).distinct().join(by_cell.hint("merge"), "thread_id")
     changed = commits.select("sha", "project", "committed_at", F.explode("files").alias("f")).withColumn("file", F.lower("f")).drop("f").distinct()
     changed = changed.withColumn("c", F.explode(cells_of(day(F.col("committed_at"))))).select("*", "c.*").drop("c")
     mention, file = F.col("mention"), F.col("file")
@@ -79,7 +79,7 @@ def thread_commits(spans: DataFrame, mentions: DataFrame, commits: DataFrame, mo
     slash = F.lit("/")
     match = (mention == file) | (F.contains(file, slash) & F.endswith(mention, F.concat(slash, file))) | (F.contains(mention, slash) & F.endswith(file, F.concat(slash, mention)))
     in_time = F.col("committed_at").between(F.col("start_ts") - before, F.col("end_ts") + after)
-    pairs = said.join(changed, "at").where((F.col("project") == F.col("of")) & in_time & match)
+    pairs = said.hint("merge").join(changed.hint("merge"), "at").where((F.col("project") == F.col("of")) & in_time & match)
     overlap = pairs.groupBy("thread_id", "sha", "committed_at").agg(F.countDistinct("file").alias("overlap"))
     if most is None:
         return overlap

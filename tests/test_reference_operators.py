@@ -200,6 +200,14 @@ def test_commit_links_by_one_join_on_one_number(spark):
     assert len(joins) == 2 and not any(" AND (level" in x or "key#" in x for x in joins)
 
 
+def test_commit_links_are_never_broadcast(spark):
+    spans = spark.range(1).selectExpr("id thread_id", "'/p' project", "1000L start_ts", "2000L end_ts")
+    commits = spark.range(1).selectExpr("'c' sha", "'/p' project", "1500L committed_at", "transform(sequence(0, 9), i -> 'a/b' || i) files")
+    links = G.thread_commits(spans, spark.range(1).selectExpr("id thread_id", "'A/b3' path"), commits, None)
+    assert [r.overlap for r in links.collect()] == [1]
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_commits_by_shas_without_a_relation_of_strings(spark):
     links = spark.createDataFrame([(1, "9f31c0")], "thread_id bigint, sha string")
     found = G.by_sha(links, spark.range(1).selectExpr("'9F' AS needle"))
