@@ -50,8 +50,11 @@ def record_fact(facts: DataFrame, project: str, kind: str, text: str) -> DataFra
 
 
 def snapshot(packed: DataFrame, label: str, created_at: int, memory: DataFrame | None = None) -> DataFrame:
-    """(thread_id, label, body, token_estimate, created_at) of packed threads, with a project's memory (thread_id, notes) before them."""
-    rows = packed if memory is None else packed.join(memory, "thread_id", "left")
+    """(thread_id, label, body, token_estimate, created_at) of packed threads, with a project's memory before them: (thread_id, notes), or (project, notes) where packed has the thread's project.
+
+    By project, the notes of each project are joined once as they are, and never stand beside every thread in a relation of their own.
+    """
+    rows = packed if memory is None else packed.join(memory, "project" if "project" in memory.columns else "thread_id", "left")
     notes = F.lit(None).cast("string") if memory is None else F.col("notes")
     body = F.when(notes.isNotNull() & (notes != ""), F.concat(notes, F.lit("\n---\n"), F.col("packed"))).otherwise(F.col("packed"))
     return rows.select("thread_id", F.lit(label).alias("label"), body.alias("body"), X.token_estimate(body).alias("token_estimate"), F.lit(created_at).cast("bigint").alias("created_at"))

@@ -198,8 +198,8 @@ def ask_context(spark: SparkSession, d: str) -> DataFrame:
 def cli_payload(spark: SparkSession, d: str) -> DataFrame:
     """What a thread is opened with elsewhere: its project's memory and its packed transcript."""
     project = M.threads(spark, d).select(F.col("id").alias("thread_id"), "project")
-    memory = project.join(memory_notes(spark, d), "project").select("thread_id", "notes")
-    return notes.snapshot(_packed(spark, d, BUDGET), "cli", 0, memory).select("thread_id", F.col("body").alias("payload"))
+    packed = _packed(spark, d, BUDGET).join(project, "thread_id")
+    return notes.snapshot(packed, "cli", 0, memory_notes(spark, d)).select("thread_id", F.col("body").alias("payload"))
 
 
 _SNAPSHOTS_SQL = (

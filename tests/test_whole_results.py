@@ -65,6 +65,13 @@ def test_all_todos_in_whole(spark):
     assert {len(r.todo) for r in X.todos_shown(found).collect()} == {241} and X.todos_shown(found).count() == 25
 
 
+def test_notes_of_a_project_are_not_joined_to_threads_before_their_transcripts(spark):
+    df = entry.queries()["cli_payload"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    last = next(x for x in plan if "Join " in x)
+    assert "LeftOuter, (project#" in last and df.count() == df.select("thread_id").distinct().count()
+
+
 def test_links_are_computed_once_for_a_rewrite(spark):
     df = entry.queries()["links_after_rewrite"](spark, "/root/testdata/sf0.001")
     assert "Relation [" not in df._jdf.queryExecution().optimizedPlan().toString()  # all of it reads the links that are kept
