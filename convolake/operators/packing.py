@@ -20,19 +20,25 @@ def _head(thread: str = "thread_id") -> Column:
     return F.concat(F.lit("<reference_thread"), attribute("source", F.col("source")), attribute("title", F.col("title")), attribute("project", F.col("project")), F.lit(">"))
 
 
-def pack(messages: DataFrame, budget: int, threads: DataFrame | None = None) -> DataFrame:
+def pack(messages: DataFrame, budget: int, threads: DataFrame | None = None, repeated: bool = False) -> DataFrame:
     """(thread_id, mode, turns, packed): all turns if they fit into `budget` bytes, else those that are no tool's, else the first and last six, each cut short.
 
     messages: thread_id, seq, role, text and, if there, tool_name; threads: thread_id, source, title and project, which the head of the
     envelope names (blank where missing). Elided turns leave a line that counts them; what still is too long is cut to the budget. Only rows
     that fit the budget, or twelve of a thread, are ever collected into one value, so the longest thread does not
-    matter. Null texts are empty; threads without messages have no row.
+    matter. Null texts are empty; threads without messages have no row. repeated: messages, with id, may come more than once; for the sizes
+    the repeats are dropped when the texts are gone.
     """
     tool_name = F.col("tool_name") if "tool_name" in messages.columns else F.lit(None).cast("string")
-    m = messages.select("thread_id", "seq", F.coalesce("role", F.lit("")).alias("role"), tool_name.alias("tool_name"), F.coalesce("text", F.lit("")).alias("text"))
+    m = messages.select(*["id"] * repeated, "thread_id", "seq", F.coalesce("role", F.lit("")).alias("role"), tool_name.alias("tool_name"), F.coalesce("text", F.lit("")).alias("text"))
     m = m.withColumns({"line": _rendered(F.col("role"), F.col("tool_name"), F.col("text")), "tool": F.col("tool_name").isNotNull() | (F.col("role") == "tool")})
     size = F.octet_length("line") + 1  # a line break between turns
-    sizes = m.groupBy("thread_id").agg(F.sum(size).alias("all_bytes"), F.coalesce(F.sum(F.when(~F.col("tool"), size)), F.lit(0)).alias("talk_bytes"), F.count_if(~F.col("tool")).alias("talk"), F.count(F.lit(1)).alias("n"))
+    counted = m.select(*["id"] * repeated, "thread_id", "tool", size.alias("size"))
+    if repeated:
+        counted, m = counted.dropDuplicates(["id"]), m.drop("line", "tool").dropDuplicates(["id"]).drop("id")
+        m = m.withColumns({"line": _rendered(F.col("role"), F.col("tool_name"), F.col("text")), "tool": F.col("tool_name").isNotNull() | (F.col("role") == "tool")})
+    size = F.col("size")
+    sizes = counted.groupBy("thread_id").agg(F.sum(size).alias("all_bytes"), F.coalesce(F.sum(F.when(~F.col("tool"), size)), F.lit(0)).alias("talk_bytes"), F.count_if(~F.col("tool")).alias("talk"), F.count(F.lit(1)).alias("n"))
     if threads is None:
         sizes = sizes.withColumns(dict.fromkeys(("source", "title", "project"), F.lit("")))
     else:

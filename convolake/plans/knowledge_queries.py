@@ -173,7 +173,7 @@ def _pack_sql(budget: int) -> str:
 
 def _packed(spark: SparkSession, d: str, budget: int) -> DataFrame:
     t = M.threads(spark, d).join(M.sources(spark, d), "source_id").select(F.col("id").alias("thread_id"), F.col("kind").alias("source"), "title", "project")
-    return packing.pack(M.messages(spark, d, "role", "text", "tool_name"), budget, t).join(t.select("thread_id"), "thread_id", "left_semi")
+    return packing.pack(M.message_rows(spark, d, "role", "text", "tool_name"), budget, t, repeated=True).join(t.select("thread_id"), "thread_id", "left_semi")
 
 
 @query(_pack_sql(BUDGET) + "SELECT thread_id, mode, turns, packed FROM packed")

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from convolake.operators import extraction as X
 from convolake.operators import gitlink as G
+from convolake.operators import packing
 from convolake.operators import vector as V
 
 DOC = "doc_id bigint, kind string, text string, project_key string, created_at timestamp"
@@ -76,3 +77,9 @@ def test_links_are_computed_once_for_a_rewrite(spark):
     df = entry.queries()["links_after_rewrite"](spark, "/root/testdata/sf0.001")
     assert "Relation [" not in df._jdf.queryExecution().optimizedPlan().toString()  # all of it reads the links that are kept
     assert df.select("thread_id", "sha").distinct().count() == df.count()
+
+
+def test_repeated_messages_are_packed_once(spark):
+    m = spark.createDataFrame([(1, 7, 0, "user", "a"), (2, 7, 1, "tool", "b"), (2, 7, 1, "tool", "b")], "id bigint, thread_id bigint, seq bigint, role string, text string")
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    assert rows(packing.pack(m, 6000, repeated=True)) == rows(packing.pack(m.distinct(), 6000)) and rows(packing.pack(m, 6000, repeated=True))[0][2] == 2
